@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # White space as Python's str.strip() and line breaks as str.splitlines() see them.
 SPACE_CHARS = (
-    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0            "
-    "    　"
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_]"

@@ -1,0 +1,2 @@
+from pageledger.plans import queries_text  # noqa: F401
+from pageledger.plans.registry import ORACLES, QUERIES  # noqa: F401
