@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # White space as Python's str.strip() and line breaks as str.splitlines() see them.
 SPACE_CHARS = (
@@ -19,8 +19,15 @@ def strip(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines of a text; a final line break opens no further line."""
-    parts = F.split(F.coalesce(c, F.lit("")), LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.split(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK)
+
+
+def once(df: DataFrame, c: Column, name: str) -> DataFrame:
+    """Add a column that is computed once per row, however often later filters and projections use it.
+
+    The optimizer copies plain column expressions into each use; it does not copy through a generator.
+    """
+    return df.select(*df.columns, F.explode(F.array(c)).alias(name))
 
 
 def whole_words(pattern: str) -> str:
@@ -45,3 +52,8 @@ def filled(c: Column) -> Column:
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     """Captured group of the first match, NULL where there is none."""
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+
+
+def plain_spaces(c: Column) -> Column:
+    """White space of any script as plain spaces, trimmed. Native character mapping, no pattern."""
+    return F.trim(F.translate(c, SPACE_CHARS, " " * len(SPACE_CHARS)))

@@ -116,6 +116,17 @@ FIXTURES: dict[str, Fixture] = {
  CASE WHEN m % 5 = 0 THEN '' WHEN m % 5 = 1 THEN 'NA' ELSE concat(CAST(m AS STRING), ' VAC') END AS value""",
         "SELECT p_brand, p_type, p_size % 4 AS s, max(p_size) AS m, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) AS rn FROM part GROUP BY p_brand, p_type, p_size % 4",
     ),
+    # grids as cell arrays: a header row, labels with synonyms, blank, NA and filled cells
+    "fx_grid": Fixture(
+        """p_brand AS doc_id, CAST(1 + half AS INT) AS page_num, CAST(rn AS INT) AS row_idx,
+ CASE WHEN rn = 0 THEN ARR('Parameter', concat('MG', substr(p_brand, 7), 'A1'), 'NOTE', concat('mg', substr(p_brand, 7), 'b2'), concat('MG', substr(p_brand, 7), 'A1'))
+  ELSE ARR(CASE p_type WHEN 'PROMO' THEN ' uv range ' WHEN 'SMALL' THEN 'Under Voltage' WHEN 'LARGE' THEN 'on delay' ELSE p_type END,
+   CASE WHEN a IS NULL THEN '' ELSE CASE WHEN a % 5 = 1 THEN 'NA' ELSE concat(CAST(a AS STRING), ' VAC') END END, 'x',
+   CASE WHEN b IS NULL OR b % 3 = 0 THEN ' ' ELSE concat(CAST(b AS STRING), ' V') END, CASE WHEN c % 2 = 0 THEN '-' ELSE 'c' END) END AS cells""",
+        """SELECT p_brand, p_type, p_size % 2 AS half, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) AS rn, max(CASE WHEN p_size % 3 = 0 THEN p_size END) AS a,
+ max(CASE WHEN p_size % 3 = 1 THEN p_size END) AS b, max(p_size) AS c FROM part GROUP BY p_brand, p_type, p_size % 2
+ UNION ALL SELECT DISTINCT p_brand, 'HEADER', p_size % 2, 0, 0, 0, 0 FROM part""",
+    ),
     "fx_func_rows": Fixture(
         """p_brand AS family, p_type AS table_title, row_idx,
  CASE WHEN p_partkey % 23 = 0 THEN '5 %' WHEN p_partkey % 29 = 0 THEN '' ELSE p_name END AS parameter, CAST(p_size AS STRING) AS setting,
