@@ -40,6 +40,8 @@ _BY_ORDER = dict(
 _PV = "concat('PV', lpad(CAST(l_partkey AS STRING), 6, '0'))"
 _EXT = "concat('ext_', lpad(CAST(event_id AS STRING), 8, '0')"
 
+_TABLE_IDX = "CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'SMALL' THEN 4 ELSE 5 END"
+
 FIXTURES: dict[str, Fixture] = {
     "fx_specs": Fixture(
         """p_brand AS machine, concat('PV', lpad(CAST(p_partkey AS STRING), 6, '0')) AS variant,
@@ -127,12 +129,15 @@ FIXTURES: dict[str, Fixture] = {
  max(CASE WHEN p_size % 3 = 1 THEN p_size END) AS b, max(p_size) AS c FROM part GROUP BY p_brand, p_type, p_size % 2
  UNION ALL SELECT DISTINCT p_brand, 'HEADER', p_size % 2, 0, 0, 0, 0 FROM part""",
     ),
+    "fx_func_tables": Fixture(
+        f"""p_brand AS family, {_TABLE_IDX} AS table_idx, concat(p_type, ' limits') AS title, CASE WHEN p_type = 'STANDARD' THEN 'aux' ELSE 'spec' END AS kind,
+ CASE WHEN p_type = 'PROMO' AND substr(p_brand, 7, 1) = '1' THEN ARR('MG100', 'Column_2', 'MG102') WHEN p_type = 'SMALL' AND substr(p_brand, 7, 1) = '2' THEN ARR('110 VAC', '240 V', 'MG102') WHEN p_type = 'LARGE' AND p_brand = 'Brand#3' THEN ARR('MG100 5 %', 'MG103') WHEN p_type = 'MEDIUM' AND p_brand = 'Brand#5' THEN ARR('MX100 - A', 'MX101') WHEN p_type = 'LARGE' AND p_brand = 'Brand#6' THEN ARR('MG100 .x', 'MG103 (ACME)') WHEN p_type = 'MEDIUM' AND p_brand = 'Brand#7' THEN ARR('A100/121', 'A7/ /B') WHEN p_type = 'LARGE' THEN ARR('MG100A', 'MG100A') ELSE ARR('MG100A', 'MG101A/2A') END AS columns""",
+        "SELECT DISTINCT p_brand, p_type FROM part",
+    ),
     "fx_func_rows": Fixture(
-        """p_brand AS family, p_type AS table_title, row_idx,
+        f"""p_brand AS family, {_TABLE_IDX} AS table_idx, row_idx,
  CASE WHEN p_partkey % 23 = 0 THEN '5 %' WHEN p_partkey % 29 = 0 THEN '' ELSE p_name END AS parameter, CAST(p_size AS STRING) AS setting,
- CASE WHEN p_type = 'PROMO' AND substr(p_brand, 7, 1) = '1' THEN ARR('MG100', 'Column_2', 'MG102') WHEN p_type = 'SMALL' AND substr(p_brand, 7, 1) = '2' THEN ARR('110 VAC', '240 V', 'MG102') WHEN p_type = 'LARGE' AND p_brand = 'Brand#3' THEN ARR('MG100 5 %', 'MG103') WHEN p_type = 'MEDIUM' AND p_brand = 'Brand#5' THEN ARR('MX100 - A', 'MX101') ELSE ARR('MG100A', 'MG101A/2A') END AS columns,
- CASE WHEN p_partkey % 997 = 0 THEN ARR('1') WHEN p_type = 'PROMO' OR p_type = 'SMALL' THEN ARR('NA', CAST(p_size AS STRING), 'NA') WHEN p_partkey % 4 = 0 AND p_type <> 'LARGE' AND p_type <> 'MEDIUM' THEN ARR('NA', CAST(p_size AS STRING), 'NA') ELSE ARR(CAST(p_size AS STRING), 'NA') END AS vals,
- CASE WHEN p_type = 'STANDARD' THEN 'aux' ELSE 'spec' END AS kind""",
+ CASE WHEN p_partkey % 997 = 0 THEN ARR('1') WHEN p_type = 'PROMO' AND substr(p_brand, 7, 1) = '1' OR p_type = 'SMALL' AND substr(p_brand, 7, 1) = '2' THEN ARR('NA', CAST(p_size AS STRING), 'na') WHEN p_type = 'MEDIUM' AND p_brand = 'Brand#7' THEN ARR('7', CAST(p_size AS STRING), '8', '9') WHEN p_partkey % 4 = 0 AND p_type NOT IN ('LARGE', 'STANDARD') AND NOT (p_type = 'MEDIUM' AND p_brand = 'Brand#5') THEN ARR('NA', CAST(p_size AS STRING), 'NA') ELSE ARR(CAST(p_size AS STRING), 'NA') END AS vals""",
         "SELECT p_brand, p_type, p_partkey, p_name, p_size FROM part",
         key=("p_brand", "p_type"), order=("p_partkey",), ordinal="row_idx", coarse="p_partkey / 1000000",
     ),
@@ -179,6 +184,13 @@ UNION ALL SELECT concat('gen ', o_orderpriority), o_orderkey, 1, 'y' FROM orders
  concat('{', CASE event_id % 5 WHEN 0 THEN '"test_steps": [], "steps"' WHEN 1 THEN '"test_steps"' WHEN 2 THEN '"procedure"' WHEN 3 THEN '"steps"' ELSE '"other"' END, ': [{"step_name": " ', event_type, ' ", "settings": ["P1 = ', CAST(event_id % 30 AS STRING), ' %"], "voltages_pn": ["RN : ', CAST(event_id % 300 AS STRING), '.', CAST(event_id % 10 AS STRING), '"], "off_delay": "', CAST(event_id % 20 AS STRING), '-16 SEC", "section_break": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '}, {"step_name": ""}, {"step_name": "Supply OFF", "leds": ["PWR: ON"]}]}') AS body""",
         "events",
     ),
+    "fx_table_replies": Fixture(
+        """concat('FAM_', CAST(event_id AS STRING)) AS family,
+ CASE WHEN event_id % 10 = 9 THEN '{"tables": [' ELSE concat('```json', chr(10), '{', CASE WHEN event_id % 3 = 0 THEN concat('"family_label": "F', CAST(event_id AS STRING), '", "title_submachines": ', CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '[]' ELSE '["AB1", "AB2"]' END, ', "page_range": [1, 2], ') ELSE '' END,
+ '"tables": [{"kind": "spec", "title": " ', event_type, ' ", "submachine_columns": ["AB1", "', CASE WHEN event_id % 5 = 0 THEN 'Column 2' ELSE 'AB2' END, '"], "rows": [{"parameter": "UV trip", "setting": "8%", "values": ["', CAST(user_id AS STRING), '", "NA"]}',
+ CASE WHEN event_id % 7 = 0 THEN ', {"parameter": "x", "setting": "", "values": ["1"]}' ELSE '' END, ']}, {"kind": "aux", "title": "jig", "rows": [{"parameter": "p", "setting": "s", "values": ["1", "2"]}]}]}', chr(10), '```') END AS body""",
+        "events",
+    ),
     # raw page classification rows: not every page has one, some labels are missing
     "fx_page_meta": Fixture(
         """l_orderkey AS doc_id, page_num, CASE q % 6 WHEN 0 THEN NULL WHEN 1 THEN 'family_start' WHEN 2 THEN 'mixed' WHEN 3 THEN 'table' ELSE 'procedure' END AS content_type,
