@@ -1,2 +1,2 @@
-from pageledger.plans import queries_text, queries_quality, queries_tables, queries_families  # noqa: F401
+from pageledger.plans import queries_text, queries_quality, queries_tables, queries_families, queries_steps  # noqa: F401
 from pageledger.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -62,7 +62,7 @@ FIXTURES: dict[str, Fixture] = {
     ),
     "fx_steps": Fixture(
         f"""{_PV} AS variant, step_idx,
- CASE step_idx % 14 WHEN 0 THEN 'DIP S/W Change' WHEN 1 THEN 'healthy condition' WHEN 2 THEN 'UV symmetrical Healthy condition' WHEN 3 THEN 'UV faulty condition with delay' WHEN 4 THEN 'UV hysteresis recovery (sym)' WHEN 5 THEN 'Supply OFF' WHEN 6 THEN CASE WHEN q % 5 = 0 THEN 'Supply OFF change voltages' ELSE 'OV symmetrical not recovery Ph-N 240' END WHEN 7 THEN 'Phase fail' WHEN 8 THEN 'Phase reverse' WHEN 9 THEN CASE WHEN q % 3 = 0 THEN 'Supply couple at 415 VAC' ELSE 'OV Healthy condition' END WHEN 10 THEN CASE WHEN q % 2 = 0 THEN '' ELSE 'Under Voltage section' END WHEN 11 THEN 'Asymmetry recovery' WHEN 12 THEN 'Run time DIP switch change error' ELSE 'Phase reverse recovery' END AS step_name,
+ CASE step_idx % 14 WHEN 0 THEN 'DIP S/W Change' WHEN 1 THEN 'healthy condition' WHEN 2 THEN 'UV symmetrical Healthy condition' WHEN 3 THEN 'UV faulty condition with delay' WHEN 4 THEN 'UV hysteresis recovery (sym)' WHEN 5 THEN 'Supply OFF' WHEN 6 THEN CASE WHEN q % 5 = 0 THEN 'Supply OFF change voltages' ELSE 'OV symmetrical not recovery Ph-N 240' END WHEN 7 THEN 'Phase fail' WHEN 8 THEN 'Phase reverse' WHEN 9 THEN CASE WHEN q % 3 = 0 THEN 'Supply couple at 415 VAC' ELSE 'OV Healthy condition' END WHEN 10 THEN CASE WHEN q % 2 = 0 THEN '' ELSE 'Under Voltage section' END WHEN 11 THEN CASE WHEN q % 6 = 1 THEN 'run time DIP check' ELSE 'Asymmetry recovery' END WHEN 12 THEN 'Run time DIP switch change error' ELSE CASE WHEN q % 2 = 0 THEN 'DIP S/W setting' ELSE 'Phase reverse recovery' END END AS step_name,
  CASE WHEN q % 11 = 0 THEN EMPTY_ARR WHEN q % 2 = 0 THEN ARR('UV = 8 %', 'OV = 22 %', 'DELAY = 5 sec') WHEN q % 3 = 0 THEN ARR('OV = 6%', 'P2 = 0 MIN', 'P3 = 0 SEC', 'DELAY = 5SEC') ELSE ARR('UV = 22 %', 'OV = 22%', 'P1 = 7%') END AS settings,
  CASE WHEN q % 13 = 0 THEN EMPTY_ARR WHEN q % 13 = 1 THEN ARR(concat('RN : ', CAST(q AS STRING)), 'n/a') WHEN q % 5 = 0 THEN ARR(concat('RN : ', CAST(100 + q AS STRING)), concat('YN : ', CAST(100 + q AS STRING)), concat('BN : ', CAST(100 + q AS STRING))) ELSE ARR(concat('RN : ', CAST(100 + q AS STRING)), concat('YN : ', CAST(100 + q AS STRING)), concat('BN : ', CAST(100 + q % 3 AS STRING), '.25')) END AS voltages_pn,
  CASE WHEN q % 6 = 0 THEN ARR('RY : 415.7', 'YB : 415', 'BR : 207.85') ELSE EMPTY_ARR END AS voltage_pp,
