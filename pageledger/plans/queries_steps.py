@@ -191,13 +191,13 @@ def bits(p: str, groups) -> str:
 
 _OWN = r"(CASE WHEN regexp_matches(text, '(?i)\b' || variant || '\b') THEN regexp_extract(text, '(?is)\b' || variant || '\b.*', 0) ELSE text END)"
 CTX = rf"""pg AS (SELECT variant, page_num, text, least({num('text', HYST, 1)}, {num('text', HYST, 2)}) AS hy, regexp_matches(text, '(?i)symmetric\s+ov|symmetr.*\sov\s') AS sy,
-   {num('text', '(?i)' + SPAN, 1)} AS ta, {num('text', '(?i)' + SPAN, 2)} AS tb, {num('text', '(?is)hysteresis.*?' + SPAN, 2)} AS hh,
+   list_filter(list_transform(range(1, len(regexp_extract_all(text, {lit('(?i)' + SPAN)}, 1)) + 1), lambda i: list_value(CAST(regexp_extract_all(text, {lit('(?i)' + SPAN)}, 1)[i] AS DOUBLE), CAST(regexp_extract_all(text, {lit('(?i)' + SPAN)}, 2)[i] AS DOUBLE))), lambda p: greatest(p[1], p[2]) < 400)[-1] AS tr, {num('text', '(?is)hysteresis.*?' + SPAN, 2)} AS hh,
    CASE WHEN regexp_matches(text, {lit(GRID5)}) THEN {bits(GRID5, range(1, 6))} END AS sb, CASE WHEN regexp_matches(text, '(?i)run time|runtime') AND regexp_matches(text, {lit(LIST5)}) THEN {bits(LIST5, range(1, 6))} END AS rt,
    CASE WHEN regexp_matches(text, '(?i)B\]\s*Goal|Over\s+Voltage|480V|Ph-Ph') THEN nullif(regexp_extract(text, '(?i)OV\s*pot\s*[-–—]\s*(\d+)\s*%', 1), '') END AS op,
    CASE WHEN regexp_matches(text, '(?i)B\]\s*Goal|Over\s+Voltage|480V|Ph-Ph') THEN nullif(regexp_extract(text, '(?i)Delay\s*pot\s*[-–—]\s*(\d+)\s*sec', 1), '') END AS dl,
    {num(_OWN, r'(?is)C\]\s*Goal.*?(?:Neutral\s+at|at)\s+(\d+)\s*V')} AS nm FROM fx_proc_pages),
- c1 AS (SELECT variant, round_even(arg_min(hy, page_num) FILTER (hy > 350) / {P.SQRT3}, 0) - 5 AS ov_recovery, arg_max(least(ta, tb), page_num) FILTER (sy AND greatest(ta, tb) < 400) AS trip_lo,
-   arg_max(greatest(ta, tb), page_num) FILTER (sy AND greatest(ta, tb) < 400) AS trip_hi, arg_max(hh, page_num) FILTER (sy AND hh IS NOT NULL) AS sym_hyst_hi, arg_min(sb, page_num) FILTER (sb IS NOT NULL) AS section_b_dips,
+ c1 AS (SELECT variant, round_even(arg_min(hy, page_num) FILTER (hy > 350) / {P.SQRT3}, 0) - 5 AS ov_recovery, arg_max(least(tr[1], tr[2]), page_num) FILTER (sy AND tr IS NOT NULL) AS trip_lo,
+   arg_max(greatest(tr[1], tr[2]), page_num) FILTER (sy AND tr IS NOT NULL) AS trip_hi, arg_max(hh, page_num) FILTER (sy AND hh IS NOT NULL) AS sym_hyst_hi, arg_min(sb, page_num) FILTER (sb IS NOT NULL) AS section_b_dips,
    arg_min(rt, page_num) FILTER (rt IS NOT NULL) AS run_time_dips, arg_min(op, page_num) FILTER (op IS NOT NULL) AS ov_pct, min(page_num) FILTER (op IS NOT NULL) AS stop, arg_min(nm, page_num) FILTER (nm IS NOT NULL) AS nominal FROM pg GROUP BY variant),
  c2 AS (SELECT pg.variant, arg_max(dl, page_num) AS delay FROM pg JOIN c1 USING (variant) WHERE dl IS NOT NULL AND (stop IS NULL OR page_num <= stop) GROUP BY pg.variant),
  cx AS (SELECT * FROM c1 LEFT JOIN c2 USING (variant))"""
