@@ -6,12 +6,15 @@ Repeated lines are found once per document and names are counted once per page,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageledger.functions import patterns as P
 from pageledger.functions.text import SPACE_CHARS, rx, strip
 from pageledger.operators import text as T
 from pageledger.operators.ordered import running_sum, with_running
+from pageledger.session import materialize
 
 PAGE = ["doc_id", "page_num"]
 ONE = ["doc_id", "variant"]
@@ -62,38 +65,57 @@ def _heading_bonus(name: Column) -> Column:
     return F.when(_cutoff_heading(name), 15).when(functional, 10).when(other, 3).otherwise(0)
 
 
-def procedure_pages(pages: DataFrame) -> DataFrame:
-    """Pages with an image and a procedure marker that belong to no other process, with their position ``pos`` and, in ``body``, the
-    text without repeated lines."""
-    bodies = T.strip_repeated_lines(pages.select(*PAGE, "text", "has_image"))
-    bodies = bodies.withColumnRenamed("text", "body")
-    kept = tag_pages(pages).filter("has_image AND is_procedure AND NOT is_other_process").select(*PAGE)
-    return with_running(kept, ["doc_id"], "page_num", pos=running_sum(F.lit(1))).join(bodies.select(*PAGE, "body"), PAGE)
+@dataclass(frozen=True)
+class Prepared:
+    """What several page operators need, computed once per set of pages."""
+
+    tags: DataFrame
+    bodies: DataFrame
+    procedures: DataFrame
+    mentions: DataFrame
+    own: DataFrame
 
 
-def page_mentions(pages: DataFrame, targets: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(own, others): mentions of each variant per page, and of all other block names."""
-    bodies = T.strip_repeated_lines(pages.select(*PAGE, "text"))
+def prepare(pages: DataFrame, targets: DataFrame, names: DataFrame, cut: bool = True) -> Prepared:
+    """Tags, texts without repeated lines, numbered procedure pages and mentions per page.
+
+    With ``cut`` the results are checkpointed: everything that follows starts from these small tables instead of parsing
+    the text again.
+    """
+    keep = materialize if cut else (lambda df: df)
+    stripped = T.strip_repeated_lines(pages.select(*PAGE, "text", "has_image", F.col("text").alias("_raw")))
+    raw = F.coalesce("_raw", F.lit(""))
+    tagged = keep(
+        stripped.select(
+            *PAGE, "has_image", rx(raw, P.SPEC_PAGE).alias("is_spec"), rx(raw, P.PROCEDURE_PAGE).alias("is_procedure"),
+            raw.rlike(P.NUMBERED_STEP).alias("has_numbered_step"), rx(raw, P.OTHER_PROCESS).alias("is_other_process"), F.col("text").alias("body"),
+        )
+    )
+    tags, bodies = tagged.drop("body"), tagged.select(*PAGE, "has_image", "body")
+    kept = tags.filter("has_image AND is_procedure AND NOT is_other_process").select(*PAGE)
+    procedures = with_running(kept, ["doc_id"], "page_num", pos=running_sum(F.lit(1))).join(bodies.select(*PAGE, "body"), PAGE)
     own = search_names(targets)
+    return Prepared(tags, bodies, keep(procedures), keep(_mentions(bodies, own, names)), own)
+
+
+def _mentions(bodies: DataFrame, own: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, variant, page_num, own_n, other_n): mentions of a variant and of all other block names."""
     own_long = own.select(*ONE, F.explode("own").alias("name"))
-    counted = T.name_mentions(bodies, own_long.select("doc_id", "name").unionByName(names.select("doc_id", F.upper("name").alias("name"))))
-    per_variant = counted.join(own_long, ["doc_id", "name"]).groupBy(*ONE, "page_num").agg(F.sum("n").alias("own_n"))
-    block = counted.join(names.select("doc_id", F.upper("name").alias("name")).distinct(), ["doc_id", "name"])
-    total = block.groupBy(*PAGE).agg(F.sum("n").alias("all_n"))
-    own_block = block.join(own_long, ["doc_id", "name"]).groupBy(*ONE, "page_num").agg(F.sum("n").alias("own_block_n"))
-    zero = F.lit(0)
-    scored = per_variant.join(total, PAGE, "left").join(own_block, [*ONE, "page_num"], "left")
-    return scored.select(*ONE, "page_num", "own_n", (F.coalesce("all_n", zero) - F.coalesce("own_block_n", zero)).alias("other_n")), own
+    block_names = names.select("doc_id", F.upper("name").alias("name")).distinct().withColumn("_block", F.lit(True))
+    looked_for = own_long.select("doc_id", "name").unionByName(block_names.drop("_block"))
+    counted = T.name_mentions(bodies.withColumnRenamed("body", "text"), looked_for).join(block_names, ["doc_id", "name"], "left")
+    in_block = F.when(F.col("_block"), F.col("n")).otherwise(0)
+    total = counted.groupBy(*PAGE).agg(F.sum(in_block).alias("all_n"))
+    per_variant = counted.join(own_long, ["doc_id", "name"]).groupBy(*ONE, "page_num").agg(F.sum("n").alias("own_n"), F.sum(in_block).alias("own_block_n"))
+    return per_variant.join(total, PAGE).select(*ONE, "page_num", "own_n", (F.col("all_n") - F.col("own_block_n")).alias("other_n"))
 
 
-def anchor_page(pages: DataFrame, targets: DataFrame, names: DataFrame) -> DataFrame:
+def anchor_page(p: Prepared) -> DataFrame:
     """The procedure page most exclusively about a variant: own minus other mentions, plus 15, 10 or 3 for its heading.
 
     Gives (doc_id, variant, page_num, pos, score, is_cutoff); the earlier page wins a tie.
     """
-    mentions, own = page_mentions(pages, targets, names)
-    tested = procedure_pages(pages).filter(rx(F.col("body"), P.TEST_CONTENT))
-    rows = tested.join(mentions, PAGE).join(own, ONE)
+    rows = p.procedures.join(p.mentions, PAGE).filter(rx(F.col("body"), P.TEST_CONTENT)).join(p.own, ONE)
     full, base = F.get("own", 0), F.get("own", 1)
     # the base name counts only where the full name has no heading
     own_bonus = _heading_bonus(full)
@@ -104,21 +126,19 @@ def anchor_page(pages: DataFrame, targets: DataFrame, names: DataFrame) -> DataF
     return best.select(*ONE, "b.*")
 
 
-def page_window(pages: DataFrame, anchors: DataFrame, targets: DataFrame, names: DataFrame) -> DataFrame:
+def page_window(p: Prepared, anchors: DataFrame) -> DataFrame:
     """From the anchor (or the page before, if it mentions the variant and the anchor is no cut-off page) eight procedure pages, three for
     cut-offs, up to the first later page with another variant's heading; that page stays if more than 30 % of it comes before."""
-    mentions, own = page_mentions(pages, targets, names)
-    procedures = procedure_pages(pages)
     before = (
         anchors.filter("NOT is_cutoff").select(*ONE, (F.col("pos") - 1).alias("pos"))
-        .join(procedures.select(*PAGE, "pos"), ["doc_id", "pos"])
-        .join(mentions.select(*ONE, "page_num"), [*ONE, "page_num"], "left_semi")
+        .join(p.procedures.select(*PAGE, "pos"), ["doc_id", "pos"])
+        .join(p.mentions.select(*ONE, "page_num"), [*ONE, "page_num"], "left_semi")
         .select(*ONE, F.col("pos").alias("_start"))
     )
     start = anchors.join(before, ONE, "left").withColumn("start", F.coalesce("_start", "pos"))
     span = F.when(F.col("is_cutoff"), 3).otherwise(P.PAGE_CAP)
     wanted = start.select(*ONE, "is_cutoff", "start", F.explode(F.sequence(F.col("start"), F.col("start") + span - 1)).alias("pos"))
-    rows = wanted.join(procedures, ["doc_id", "pos"]).join(own, ONE)
+    rows = wanted.join(p.procedures, ["doc_id", "pos"]).join(p.own, ONE)
     foreign = F.concat(
         F.lit(r"(?i)(?:FUNCTIONAL\s+TEST\s+PROCEDURE\s+FOR|PROCEDURE\s+FOR\s+CAT\s+ID\s*:)\s*(?!.*(?:"), F.array_join("own", "|"), F.lit("))")
     )
@@ -138,13 +158,12 @@ def _ranked(rows: DataFrame, order: list, limit: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def merge_narrative(pages: DataFrame, window: DataFrame, targets: DataFrame) -> DataFrame:
+def merge_narrative(p: Prepared, window: DataFrame) -> DataFrame:
     """Cut-off variants: pages with the variant's functional-test heading first, then the window; each page once, eight in all."""
-    bodies = T.strip_repeated_lines(pages.select(*PAGE, "text", "has_image"))
     cutoff = window.filter("is_cutoff").select(*ONE).distinct()
     name = F.replace(F.upper("variant"), F.lit("_"), F.lit(""))
-    headed = bodies.filter(F.col("has_image") & rx(F.col("text"), r"FUNCTIONAL\s+TEST\s+PROCEDURE\s+FOR\s"))
-    narrative = headed.join(cutoff, "doc_id").filter(F.rlike("text", F.concat(F.lit(r"(?i)FUNCTIONAL\s+TEST\s+PROCEDURE\s+FOR\s+.*"), name)))
+    headed = p.bodies.filter(F.col("has_image") & rx(F.col("body"), r"FUNCTIONAL\s+TEST\s+PROCEDURE\s+FOR\s"))
+    narrative = headed.join(cutoff, "doc_id").filter(F.rlike("body", F.concat(F.lit(r"(?i)FUNCTIONAL\s+TEST\s+PROCEDURE\s+FOR\s+.*"), name)))
     both = narrative.select(*ONE, "page_num", F.lit(0).alias("tier"), F.col("page_num").cast("long").alias("rank")).unionByName(
         window.select(*ONE, "page_num", F.lit(1).alias("tier"), F.col("rank").cast("long"))
     )
@@ -152,24 +171,23 @@ def merge_narrative(pages: DataFrame, window: DataFrame, targets: DataFrame) ->
     return _ranked(once, ["at"], P.PAGE_CAP).select(*ONE, "page_num", "rank")
 
 
-def page_fallbacks(pages: DataFrame, targets: DataFrame, names: DataFrame, small: int = 20) -> DataFrame:
+def page_fallbacks(p: Prepared, targets: DataFrame, small: int = 20) -> DataFrame:
     """Procedure pages per variant as (doc_id, variant, page_num, rank, source).
 
     A block of at most ``small`` pages: pages with a marker that mention the variant, if there are three. Else the anchor's window with
     narrative pages; without an anchor the first procedure pages; without those any page with a procedure marker.
     """
-    tags = tag_pages(pages)
-    size = pages.groupBy("doc_id").agg(F.count("*").alias("_pages"))
-    mentions, _ = page_mentions(pages, targets, names)
+    tags = p.tags
+    size = tags.groupBy("doc_id").agg(F.count("*").alias("_pages"))
     marked = tags.filter("has_image AND (is_procedure OR has_numbered_step)").join(size.filter(F.col("_pages") <= small), "doc_id")
-    own = marked.join(mentions, PAGE).select(*ONE, "page_num")
+    own = marked.join(p.mentions, PAGE).select(*ONE, "page_num")
     enough = own.groupBy(*ONE).agg(F.count("*").alias("_n")).filter("_n >= 3").select(*ONE)
     w = Window.partitionBy(*ONE).orderBy("page_num")
     first = own.join(enough, ONE, "left_semi").withColumn("rank", F.row_number().over(w)).withColumn("source", F.lit("mentions"))
     rest = targets.select(*ONE).distinct().join(enough, ONE, "left_anti")
-    anchors = anchor_page(pages, rest, names)
-    window = page_window(pages, anchors, rest, names)
-    second = merge_narrative(pages, window, rest).withColumn("source", F.lit("anchor"))
+    anchors = materialize(anchor_page(p).join(enough, ONE, "left_anti"))
+    window = materialize(page_window(p, anchors))
+    second = merge_narrative(p, window).withColumn("source", F.lit("anchor"))
     plain = window.filter("NOT is_cutoff").select(*ONE, "page_num", F.col("rank").cast("int").alias("rank"), F.lit("anchor").alias("source"))
     second = second.join(plain.select(*ONE).distinct(), ONE, "left_anti").unionByName(plain)
     lost = rest.join(anchors, ONE, "left_anti")

@@ -12,6 +12,7 @@ from pageledger.functions import patterns as P
 from pageledger.functions.text import rx, split_lines, strip
 from pageledger.operators import text as T
 from pageledger.operators.ordered import following, previous, running_last, running_max, running_sum, with_running
+from pageledger.session import materialize
 
 DOC = ["doc_id"]
 BLOCK = ["doc_id", "block_idx"]
@@ -35,10 +36,11 @@ def _heading_text(line: Column, number: Column) -> Column:
 
 def tag_section_lines(lines: DataFrame) -> DataFrame:
     """Lines that look like section headings: pattern number, matched text and whether they always split."""
-    # one combined test first: nearly all lines end there
-    heads = lines.filter(rx(F.col("line"), "|".join(f"(?:{p})" for p in P.SECTION_PATTERNS)))
+    # every pattern needs one of these words: nearly all lines end here
+    heads = lines.filter(rx(F.col("line"), r"testing|process|procedure|product|functional|^neutral|^dms\d|^mg\d"))
     numbered = heads.withColumn("pattern_no", _first_heading(F.col("line")))
     forced = rx(F.col("line"), "|".join(f"(?:{p})" for p in P.FORCE_SPLIT_PATTERNS))
+    numbered = numbered.filter("pattern_no IS NOT NULL")
     return numbered.withColumns({"header": _heading_text(F.col("line"), F.col("pattern_no")), "is_forced": forced})
 
 
@@ -87,7 +89,7 @@ def _recent_text(heads: DataFrame, lines: DataFrame) -> DataFrame:
 def split_candidates(lines: DataFrame) -> DataFrame:
     """Heading lines with all that decides a split: end of the line before (``prev_e``), dangling reference in the text before, and the offset
     of the last table structure before them."""
-    heads = tag_section_lines(lines).select("doc_id", "o", "page_num", "line_no", "header", "is_forced")
+    heads = materialize(tag_section_lines(lines).select("doc_id", "o", "page_num", "line_no", "header", "is_forced"))
     recent = _recent_text(heads, lines)
     marked = _with_context(lines)
     tables = marked.filter(_starts(F.col("ctx"), P.TABLE_STRUCTURE)).select("doc_id", "o", F.col("o").alias("_table"), F.lit(None).cast("string").alias("header"))
@@ -111,9 +113,10 @@ def segment_blocks(pages: DataFrame, min_size: int = P.MIN_BLOCK_SIZE) -> tuple[
     heading that always splits restarts the fold, which cuts a long document into independent runs. Only headings and their
     numbers are folded, never text.
     """
-    lines = line_offsets(pages)
+    # parsed once, then read by every step below
+    lines = materialize(line_offsets(pages))
     first = lines.groupBy("doc_id").agg(F.min("o").alias("first_o"))
-    candidates = split_candidates(lines).withColumn("_f", F.col("is_forced").cast("int"))
+    candidates = materialize(split_candidates(lines)).withColumn("_f", F.col("is_forced").cast("int"))
     runs = with_running(candidates, DOC, "o", run=running_sum(F.col("_f"))).join(first, DOC)
     opening = F.when(F.col("is_forced"), F.col("o")).otherwise(F.lit(None))
     runs = runs.groupBy("doc_id", "run", "first_o").agg(
@@ -134,7 +137,7 @@ def segment_blocks(pages: DataFrame, min_size: int = P.MIN_BLOCK_SIZE) -> tuple[
     opened = lines.join(accepted, ["doc_id", "o"], "left").join(first, DOC)
     is_start = F.coalesce("_split", F.when(F.col("o") == F.col("first_o"), 1), F.lit(0))
     numbered = with_running(opened.withColumn("_is_start", is_start), DOC, "o", block_idx=running_sum(F.col("_is_start")))
-    numbered = numbered.withColumn("block_idx", F.col("block_idx").cast("int"))
+    numbered = materialize(numbered.withColumn("block_idx", F.col("block_idx").cast("int")))
     block_lines = numbered.select(*BLOCK, "page_num", "line_no", "line", "o", "e")
     heads = candidates.select("doc_id", "o", "header").join(accepted.select("doc_id", "o"), ["doc_id", "o"], "left_semi")
     starts = numbered.filter("_is_start = 1").select(*BLOCK, "o").join(heads, ["doc_id", "o"], "left")

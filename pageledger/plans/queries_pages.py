@@ -36,9 +36,8 @@ def targets(fx):
     return part_names(fx).withColumnRenamed("name", "variant")
 
 
-def anchored(fx):
-    t, n = targets(fx), T.block_names(fx.manual)
-    return t, n, G.anchor_page(fx.manual, t, n)
+def prepared(fx, cut=True):
+    return G.prepare(fx.stored("manual"), targets(fx), T.block_names(fx.stored("manual")), cut)
 
 
 BODY = rf"""ln AS (SELECT DISTINCT doc_id, page_num, {sql_strip('raw')} AS line FROM (SELECT doc_id, page_num, unnest({sql_lines('text')}) AS raw FROM fx_manual) x WHERE length({sql_strip('raw')}) > 10),
@@ -63,7 +62,7 @@ BODY = rf"""ln AS (SELECT DISTINCT doc_id, page_num, {sql_strip('raw')} AS line
   FROM sx JOIN pb ON sx.doc_id = pb.doc_id AND sx.page_num = pb.page_num WHERE regexp_matches(body, {lit('(?i)' + P.TEST_CONTENT)})),
  ay AS (SELECT *, base + CASE WHEN is_cutoff THEN 15 WHEN fn THEN 10 WHEN ot THEN 3 ELSE 0 END AS score FROM ax),
  an AS (SELECT doc_id, variant, page_num, pos, CAST(score AS BIGINT) AS score, is_cutoff FROM ay QUALIFY row_number() OVER (PARTITION BY doc_id, variant ORDER BY score DESC, pos) = 1)"""
-register("pgc_03_anchor_page", f"WITH {BODY} SELECT doc_id, variant, page_num, CAST(pos AS BIGINT) AS pos, score, is_cutoff FROM an", "manual")(lambda fx: anchored(fx)[2])
+register("pgc_03_anchor_page", f"WITH {BODY} SELECT doc_id, variant, page_num, CAST(pos AS BIGINT) AS pos, score, is_cutoff FROM an", "manual")(lambda fx: G.anchor_page(prepared(fx)))
 # a heading is foreign where the rest of its line lacks the variant's name
 WINDOW = rf"""{BODY}, st AS (SELECT an.*, CASE WHEN NOT is_cutoff AND EXISTS (SELECT 1 FROM pb JOIN ow ON pb.doc_id = ow.doc_id AND pb.page_num = ow.page_num WHERE pb.doc_id = an.doc_id AND pb.pos = an.pos - 1 AND ow.variant = an.variant) THEN pos - 1 ELSE pos END AS start FROM an),
  wr AS (SELECT st.doc_id, st.variant, is_cutoff, start, pb.pos, pb.page_num, body, list_filter(regexp_extract_all(body, '(?i)(?:FUNCTIONAL\s+TEST\s+PROCEDURE\s+FOR|PROCEDURE\s+FOR\s+CAT\s+ID\s*:)[^\n]*'), lambda h: NOT contains(upper(h), st.variant))[1] AS h
@@ -73,18 +72,17 @@ WINDOW = rf"""{BODY}, st AS (SELECT an.*, CASE WHEN NOT is_cutoff AND EXISTS (SE
  wn AS (SELECT doc_id, variant, page_num, pos - start + 1 AS rank, is_cutoff FROM ws2 WHERE stop IS NULL OR pos < stop OR (pos = stop AND share > 0.30))"""
 
 
-def windowed(fx):
-    t, n, a = anchored(fx)
-    return G.page_window(fx.manual, a, t, n)
+def windowed(p):
+    return G.page_window(p, G.anchor_page(p))
 
 
-register("pgc_04_page_window", f"WITH {WINDOW} SELECT doc_id, variant, page_num, CAST(rank AS BIGINT) AS rank, is_cutoff FROM wn", "manual")(windowed)
+register("pgc_04_page_window", f"WITH {WINDOW} SELECT doc_id, variant, page_num, CAST(rank AS BIGINT) AS rank, is_cutoff FROM wn", "manual")(lambda fx: windowed(prepared(fx)))
 NARR = rf"""{WINDOW}, ct AS (SELECT DISTINCT doc_id, variant FROM wn WHERE is_cutoff),
  nr AS (SELECT ct.doc_id, variant, page_num, 0 AS tier, page_num AS rank FROM ct JOIN bo ON ct.doc_id = bo.doc_id WHERE has_image AND regexp_matches(body, concat('(?i)FUNCTIONAL\s+TEST\s+PROCEDURE\s+FOR\s+.*', variant)) UNION ALL SELECT doc_id, variant, page_num, 1, rank FROM wn),
  nu AS (SELECT doc_id, variant, page_num, min(struct_pack(t := tier, r := rank)) AS a FROM nr GROUP BY ALL),
  mn AS (SELECT doc_id, variant, page_num, row_number() OVER (PARTITION BY doc_id, variant ORDER BY a) AS rank FROM nu QUALIFY rank <= 8)"""
 register("pgc_05_merge_narrative", f"WITH {NARR} SELECT doc_id, variant, page_num, CAST(rank AS INT) AS rank FROM mn", "manual")(
-    lambda fx: G.merge_narrative(fx.manual, windowed(fx), targets(fx))
+    lambda fx: (lambda p: G.merge_narrative(p, windowed(p)))(prepared(fx))
 )
 FALL = f"""{NARR}, om AS (SELECT ow.doc_id, ow.variant, ow.page_num FROM ow JOIN tg ON ow.doc_id = tg.doc_id AND ow.page_num = tg.page_num JOIN np ON ow.doc_id = np.doc_id WHERE total <= 20 AND has_image AND (is_procedure OR has_numbered_step)),
  en AS (SELECT doc_id, variant FROM om GROUP BY ALL HAVING count(*) >= 3), re AS (SELECT * FROM tr ANTI JOIN en USING (doc_id, variant)), lo AS (SELECT re.* FROM re ANTI JOIN an USING (doc_id, variant)),
@@ -96,7 +94,7 @@ FALL = f"""{NARR}, om AS (SELECT ow.doc_id, ow.variant, ow.page_num FROM ow JOIN
 
 
 def fallback_pages(fx):
-    return G.page_fallbacks(fx.manual, targets(fx), T.block_names(fx.manual))
+    return G.page_fallbacks(prepared(fx), targets(fx))
 
 
 FALL = FALL.replace("CASE WHEN is_cutoff THEN mn.rank", "CASE WHEN an.is_cutoff THEN mn.rank")
@@ -105,7 +103,7 @@ SPECS = f"""{score_sql('fx_manual')}, {TAGS.replace('{fx}', 'fx_manual')}, t8 AS
  m12 AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank, 'marker' AS source FROM tg WHERE has_image AND is_spec AND doc_id NOT IN (SELECT doc_id FROM t8) QUALIFY rank <= 12),
  f6 AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank, 'first' AS source FROM fx_manual WHERE has_image AND doc_id NOT IN (SELECT doc_id FROM t8 UNION SELECT doc_id FROM m12) QUALIFY rank <= 6),
  sp AS (SELECT * FROM t8 UNION ALL SELECT * FROM m12 UNION ALL SELECT * FROM f6)"""
-register("pgc_06_spec_pages", f"WITH {SPECS} SELECT doc_id, page_num, CAST(rank AS INT) AS rank, source FROM sp", "manual")(lambda fx: G.spec_pages(fx.manual))
+register("pgc_06_spec_pages", f"WITH {SPECS} SELECT doc_id, page_num, CAST(rank AS INT) AS rank, source FROM sp", "manual")(lambda fx: G.spec_pages(fx.stored("manual")))
 
 
 def part_pages(fx):
@@ -129,12 +127,12 @@ SELECT doc_id, variant, page_num, CAST(row_number() OVER (PARTITION BY doc_id, v
 
 
 def marked_pages(fx):
-    tags = G.tag_pages(fx.manual).filter("is_procedure").select("doc_id", "page_num")
+    tags = G.tag_pages(fx.stored("manual")).filter("is_procedure").select("doc_id", "page_num")
     return targets(fx).join(tags, "doc_id").withColumn("rank", F.col("page_num"))
 
 
 register("pgc_07_call_pages", f"WITH {CALL.replace('WITH ', '')}", "manual")(
-    lambda fx: G.call_pages(marked_pages(fx), G._head(G.score_table_pages(fx.manual).filter("is_table")))
+    lambda fx: G.call_pages(marked_pages(fx), G._head(G.score_table_pages(fx.stored("manual")).filter("is_table")))
 )
 
 
@@ -151,18 +149,18 @@ for _fx in ("manual", "doc_pages"):
         _fx,
     )(lambda fx, f=_fx: S.tag_section_lines(T.explode_lines(getattr(fx, f))))
 for _fx in ("manual", "doc_pages"):
-    register(f"seg_02_segment_blocks_{_fx}")(lambda fx, f=_fx: S.segment_blocks(getattr(fx, f))[0])
+    register(f"seg_02_segment_blocks_{_fx}")(lambda fx, f=_fx: S.segment_blocks(fx.stored(f))[0])
 
 
 def merged(fx, name="manual"):
-    blocks, lines = S.segment_blocks(getattr(fx, name))
+    blocks, lines = S.segment_blocks(fx.stored(name))
     merge = S.merge_short_blocks(blocks, S.table_spec_blocks(lines))
     moved = lines.join(merge, ["doc_id", "block_idx"]).withColumn("block_idx", F.col("merged_idx")).drop("merged_idx")
     return S.merged_blocks(blocks, merge), moved
 
 
 register("seg_03_merge_short_blocks")(lambda fx: merged(fx)[0])
-register("seg_02_block_pages")(lambda fx: S.block_pages(fx.manual, S.segment_blocks(fx.manual)[1]))
+register("seg_02_block_pages")(lambda fx: S.block_pages(fx.stored("manual"), S.segment_blocks(fx.stored("manual"))[1]))
 # every page a block with a placeholder name
 register(
     "seg_04_resolve_names",
@@ -172,8 +170,8 @@ SELECT p.doc_id, p.page_num AS block_idx, coalesce(token, concat('MACHINE_', CAS
     "manual",
 )(
     lambda fx: S.resolve_names(
-        fx.manual.select("doc_id", F.col("page_num").alias("block_idx"), F.concat(F.lit("MACHINE_"), F.col("page_num").cast("string")).alias("machine")),
-        T.explode_lines(fx.manual).select("doc_id", F.col("page_num").alias("block_idx"), F.col("line_no").alias("o"), "line"),
+        fx.stored("manual").select("doc_id", F.col("page_num").alias("block_idx"), F.concat(F.lit("MACHINE_"), F.col("page_num").cast("string")).alias("machine")),
+        T.explode_lines(fx.stored("manual")).select("doc_id", F.col("page_num").alias("block_idx"), F.col("line_no").alias("o"), "line"),
     )
 )
 NAMED = "SELECT doc_id, page_num AS block_idx, CASE page_num % 3 WHEN 0 THEN 'SM1' WHEN 1 THEN concat('SM', CAST(10 + doc_id % 9 AS STRING)) ELSE 'DSMR' END AS machine, doc_id % 11 = 0 AS is_scope FROM"
@@ -181,7 +179,7 @@ NAMED = "SELECT doc_id, page_num AS block_idx, CASE page_num % 3 WHEN 0 THEN 'SM
 
 def named(fx):
     """Every page a block; names repeat within a document."""
-    return fx.spark.sql(NAMED + " {m}", m=fx.manual)
+    return fx.spark.sql(NAMED + " {m}", m=fx.stored("manual"))
 
 
 register(
@@ -205,14 +203,14 @@ register(
 )(lambda fx: S.merged_summary(S.filter_merge_requested(named(fx), requests(fx)), named(fx).select("doc_id", "block_idx", F.col("block_idx").alias("page_num"))))
 FAN = f"""{_SCOPE % ''}, w AS (SELECT doc_id, {sql_words('text', P.SCOPE_CODE)} AS ws FROM s), ft AS (SELECT doc_id, unnest(ws) AS machine, generate_subscripts(ws, 1) AS pos FROM w),
  fm AS (SELECT doc_id, machine, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS INT) AS block_idx FROM ft GROUP BY doc_id, machine), f2 AS (SELECT doc_id FROM fm GROUP BY doc_id HAVING count(*) >= 2)"""
-register("seg_07_scope_fanout", f"WITH {FAN} SELECT doc_id, block_idx, machine, true AS is_scope FROM fm SEMI JOIN f2 USING (doc_id)", "manual")(lambda fx: S.scope_fanout(fx.manual))
+register("seg_07_scope_fanout", f"WITH {FAN} SELECT doc_id, block_idx, machine, true AS is_scope FROM fm SEMI JOIN f2 USING (doc_id)", "manual")(lambda fx: S.scope_fanout(fx.stored("manual")))
 HALF = "doc_id % 2 = 0"
 register(
     "seg_07_scope_fanout_requested",
     f"WITH {FAN}, {REQUESTED_SQL}, rh AS (SELECT doc_id, upper(machine) || '_A' AS machine FROM rq WHERE {HALF}) SELECT doc_id, block_idx, machine, true AS is_scope FROM fm SEMI JOIN f2 USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM rh) OR (doc_id, machine) IN (SELECT (doc_id, machine) FROM rh)",
     "manual",
-)(lambda fx: S.scope_fanout(fx.manual, requested(fx).filter(HALF).withColumn("machine", F.concat("machine", F.lit("_a")))))
-register("seg_08_density_split_manual")(lambda fx: S.density_split(fx.manual))
+)(lambda fx: S.scope_fanout(fx.stored("manual"), requested(fx).filter(HALF).withColumn("machine", F.concat("machine", F.lit("_a")))))
+register("seg_08_density_split_manual")(lambda fx: S.density_split(fx.stored("manual")))
 DETECT = _tokens_sql("fx_manual", "[A-Z][A-Z0-9]{3,9}", ", contains(text, token) AS verbatim").replace("GROUP BY doc_id, token", "GROUP BY doc_id, page_num, token").replace("SELECT doc_id, token, count", "SELECT doc_id, page_num, token, count").replace(
     "FROM t GROUP", "FROM t WHERE regexp_matches(token, '[0-9]') GROUP"
 )
@@ -233,8 +231,8 @@ SELECT doc_id, block_idx, machine, variant, ['scope', 'request', 'detected', 'ma
 )(
     lambda fx: (
         lambda rq: S.select_variants(
-            named(fx), T.detect_variants(fx.manual, ["doc_id", "page_num"]).withColumnRenamed("page_num", "block_idx"), rq,
-            T.name_mentions(fx.manual, rq.filter("variant IS NOT NULL").select("doc_id", F.col("variant").alias("name"))).select("doc_id", F.col("page_num").alias("block_idx"), F.col("name").alias("variant")).distinct(),
+            named(fx), T.detect_variants(fx.stored("manual"), ["doc_id", "page_num"]).withColumnRenamed("page_num", "block_idx"), rq,
+            T.name_mentions(fx.stored("manual"), rq.filter("variant IS NOT NULL").select("doc_id", F.col("variant").alias("name"))).select("doc_id", F.col("page_num").alias("block_idx"), F.col("name").alias("variant")).distinct(),
         )
     )(
         requested(fx).filter(HALF).select(

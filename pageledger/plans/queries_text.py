@@ -85,7 +85,7 @@ register(
  t AS (SELECT doc_id, unnest(ws) AS member, generate_subscripts(ws, 1) AS pos FROM w)
 SELECT doc_id, member, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS INT) AS member_no FROM t GROUP BY doc_id, member""",
     "manual",
-)(lambda fx: T.scope_members(fx.manual))
+)(lambda fx: T.scope_members(fx.stored("manual")))
 register(
     "txt_07_block_names",
     f"""WITH {_SCOPE % ','}, w AS (SELECT doc_id, {sql_words('text', P.BLOCK_CODE)} AS ws FROM s),
@@ -95,7 +95,7 @@ register(
 SELECT doc_id, name FROM i UNION ALL
 SELECT doc_id, token FROM top WHERE n >= 3 AND length(token) >= 6 AND doc_id NOT IN (SELECT doc_id FROM i)""",
     "manual",
-)(lambda fx: T.block_names(fx.manual))
+)(lambda fx: T.block_names(fx.stored("manual")))
 
 for _fx in ("pages", "manual", "doc_pages"):
     register(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageledger.functions.text import LINE_BREAK, SPACE_CHARS
 from pageledger.plans.fixtures import fixture, fixture_sql
+from pageledger.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +24,13 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         return fixture(self.spark, self.sf_dir, f"fx_{name}")
 
+    def stored(self, name: str) -> DataFrame:
+        """The fixture as a stored table, for queries that read it many times."""
+        key = f"_stored_{name}"
+        if key not in self.__dict__:
+            self.__dict__[key] = materialize(getattr(self, name))
+        return self.__dict__[key]
+
 
 def register(name: str, sql: str | None = None, uses: tuple[str, ...] | str = ()):
     """Register ``fn(inputs) -> DataFrame``; ``uses`` names the fixtures the SQL reads."""
