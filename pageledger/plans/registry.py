@@ -16,19 +16,26 @@ ORACLES: dict[str, str] = {}
 
 
 class Inputs:
-    """Fixtures of one run by name: ``fx.specs`` is the table ``fx_specs``."""
+    """Fixtures of one run by name: ``fx.specs`` is the table ``fx_specs``.
+
+    Page fixtures are stored once per run, as the domain tables they stand for would be: text operators read them several times.
+    Step fixtures stay views, because column pruning saves more there than storing would.
+    """
+
+    STORED = ("pages", "manual", "proc_pages")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in self.STORED:
+            return self.stored(name)
         return fixture(self.spark, self.sf_dir, f"fx_{name}")
 
     def stored(self, name: str) -> DataFrame:
-        """The fixture as a stored table, for queries that read it many times."""
         key = f"_stored_{name}"
         if key not in self.__dict__:
-            self.__dict__[key] = materialize(getattr(self, name))
+            self.__dict__[key] = materialize(fixture(self.spark, self.sf_dir, f"fx_{name}"))
         return self.__dict__[key]
 
 
