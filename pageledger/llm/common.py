@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pageledger.session import shared_dir
+
 #: The six white-space characters that end a word, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,3 +79,39 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = mix(out * M1 + words[k : k + m] + M3)
     return out
+
+
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path behind a folder's address, for tasks that write or read binary files in the shared folder."""
+    return pafs.FileSystem.from_uri(uri)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that all executors share."""
+    uri = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, path = open_fs(uri)
+    fs.create_dir(path)
+    return uri
+
+
+class SharedFile:
+    """A binary file that appears under its name only when complete: a task that is run twice replaces it by the same bytes."""
+
+    def __init__(self, folder: str, name: str):
+        self.fs, path = open_fs(folder)
+        self.name = f"{path}/{name}"
+        self.draft = f"{path}/.{name}.{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.draft, compression=None)
+        self.size = 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.draft, self.name)
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
