@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageledger.llm import licences, near, token_files, tokens
+from pageledger.llm import licences, near, passages, token_files, tokens
 from pageledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.with_components(passages.repeated_passages(table(spark, sf_dir, "documents")))
