@@ -11,7 +11,7 @@ columns do not matter. An empty table gives an empty table.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,43 +28,48 @@ def count_chars(c: Column, chars: str) -> Column:
     return F.char_length(c) - F.char_length(F.translate(c, chars, ""))
 
 
-def _grams() -> Column:
-    """A hash for each run of three words."""
-    return F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _sorted() -> Column:
-    """Runs with their places, sorted by run; null where no run repeats."""
-    placed = F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))
-    return F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.sort_array(placed))
+def _run_hashes(words: Column) -> Column:
+    """A hash for each run of three words."""
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
 
-def _places() -> Column:
-    """Sorted places of the runs that stand twice or more: those with an equal neighbour."""
-    twice = F.filter("_sorted", lambda s, k: s["g"].eqNullSafe(F.get("_sorted", k - 1)["g"]) | s["g"].eqNullSafe(F.get("_sorted", k + 1)["g"]))
-    return F.sort_array(F.transform(twice, lambda s: s["i"]))
+def _repeated_places(runs: Column) -> Column:
+    """Sorted places of the runs that stand twice or more: those with an equal neighbour among the sorted runs."""
+    placed = F.sort_array(F.transform(runs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    twice = let(placed, lambda s: F.filter(s, lambda x, k: x["g"].eqNullSafe(F.get(s, k - 1)["g"]) | x["g"].eqNullSafe(F.get(s, k + 1)["g"])))
+    return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
 
-def _covered() -> Column:
+def _covered(places: Column) -> Column:
     """Words in runs that begin at the places: three each, less where the next one begins earlier."""
-    own = F.transform("_places", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("_places", k + 1) - x, F.lit(3))))
-    return F.coalesce(F.aggregate(own, F.lit(0), lambda a, x: a + x), F.lit(0))
+    own = let(places, lambda p: F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))))
+    return F.aggregate(own, F.lit(0), lambda a, x: a + x)
+
+
+def _repeat_words() -> Column:
+    runs = let(F.col("_words"), _run_hashes)
+    return let(runs, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), _covered(_repeated_places(g))).otherwise(0))
+
+
+def _lines() -> Column:
+    return F.filter(F.split("_text", "\n", -1), lambda x: F.char_length(F.translate(x, SPACE, "")) > 0)
 
 
 #: Columns by name, each after those it is made of.
 FEATURES = {
     "_text": ((), lambda: F.coalesce("text", F.lit(""))),
     "_words": (("_text",), lambda: word_array(F.col("_text"))),
-    "_grams": (("_words",), _grams),
-    "_sorted": (("_grams",), _sorted),
-    "_places": (("_sorted",), _places),
-    "_lines": (("_text",), lambda: F.filter(F.split("_text", "\n", -1), lambda x: F.char_length(F.translate(x, SPACE, "")) > 0)),
     "n_words": (("_words",), lambda: F.size("_words")),
     "word_chars": (("_text",), lambda: F.char_length(F.translate("_text", SPACE, ""))),
     "n_symbols": (("_text",), lambda: count_chars(F.col("_text"), SYMBOLS)),
-    "n_lines": (("_lines",), lambda: F.size("_lines")),
-    "n_dup_lines": (("_lines",), lambda: F.size("_lines") - F.size(F.array_distinct("_lines"))),
-    "n_repeat_words": (("_places",), _covered),
+    "n_lines": (("_text",), lambda: F.size(_lines())),
+    "n_dup_lines": (("_text",), lambda: let(_lines(), lambda x: F.size(x) - F.size(F.array_distinct(x)))),
+    "n_repeat_words": (("_words",), _repeat_words),
     "n_upper": (("_text",), lambda: count_chars(F.col("_text"), UPPER)),
     "n_lower": (("_text",), lambda: count_chars(F.col("_text"), LOWER)),
 }
