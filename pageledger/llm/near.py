@@ -5,7 +5,8 @@
   bijections of the 32-bit integers.
 * Bands of a few coordinates are compared by equi-join. In every bucket each class is paired with one hub only, never with all others. Pairs are
   confirmed on the full sets. Buckets whose classes are not yet one component get pairs with other hubs and then, in the last round, all pairs
-  across components; so every two classes of a bucket are in the end either in one component or compared.
+  across components whose set sizes and bit sketches allow the threshold; so every two classes of a bucket are in the end in one component, compared, or so far
+  apart that a pair at the threshold looks so once in ten thousand.
 * Links are joined to components with minimum labels.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; a text with fewer words than ``n`` has its whole sequence as only
@@ -28,7 +29,9 @@ from pageledger.session import materialize
 
 #: Bands and coordinates of each: a pair of similarity 0.85 is missed by all bands once in 1.3 million, one of 0.8 once in 13 thousand.
 BANDS, ROWS = 24, 5
-TILE = 4096
+#: Coordinates of the bit sketch, bits of each, and how many standard deviations beyond its mean the distance of a pair at the threshold may be.
+COORDINATES, BITS, SIGMAS = 256, 4, 3.7
+TILE = 1024
 
 
 def first_permutation(x: np.ndarray) -> np.ndarray:
@@ -52,8 +55,8 @@ def circulant_signature(shingles: np.ndarray, size: int) -> np.ndarray:
     place = first_permutation((shingles ^ (shingles >> np.uint64(32))).astype(np.uint32))
     shift = np.arange(size, dtype=np.uint32)[:, None]
     out = np.full(size, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(place), TILE // 4):
-        np.minimum(out, second_permutation(place[None, at : at + TILE // 4] + shift).min(axis=1), out=out)
+    for at in range(0, len(place), TILE):
+        np.minimum(out, second_permutation(place[None, at : at + TILE] + shift).min(axis=1), out=out)
     return out
 
 
@@ -81,7 +84,19 @@ def set_digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
+def bit_sketch(signature: np.ndarray) -> np.ndarray:
+    """The low bits of each coordinate, packed: unequal coordinates differ in half of them."""
+    return np.packbits((signature[:, None] >> np.arange(BITS, dtype=np.uint32)) & np.uint32(1)).view(np.int64)
+
+
+def farthest(percent: int) -> int:
+    """Distance of two bit sketches that a pair of the threshold's similarity exceeds once in ten thousand."""
+    unequal = 1 - percent / 100
+    variance = (BITS / 2) ** 2 * COORDINATES * unequal * (1 - unequal) + COORDINATES * unequal * BITS / 4
+    return int(COORDINATES * unequal * BITS / 2 + SIGMAS * variance**0.5)
+
+
+SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
 
 def sketches(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -91,8 +106,11 @@ def sketches(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> D
         for b in pieces(batches):
             sets = text_sets(text_column(b), n)
             keys = np.zeros((len(sets), bands), np.uint64)
+            bits = np.zeros((len(sets), COORDINATES * BITS // 64), np.int64)
             for k, s in enumerate(sets):
-                sig = circulant_signature(s, bands * rows).astype(np.uint64).reshape(bands, rows)
+                signature = circulant_signature(s, max(bands * rows, COORDINATES))
+                bits[k] = bit_sketch(signature[:COORDINATES])
+                sig = signature[: bands * rows].astype(np.uint64).reshape(bands, rows)
                 acc = np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
                     acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + sig[:, r])
@@ -102,8 +120,9 @@ def sketches(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> D
                 [
                     b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "n_shingles", "digest", "bands", "bits"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
@@ -144,17 +163,22 @@ def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "band")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of classes of a bucket that lie in different components, when what remains of the buckets is small groups beside one large component.
+def cross_pairs(rows: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of a bucket that lie in different components, the largest component of a bucket not paired within itself.
 
-    The largest component of a bucket is not paired within itself, so rows grow with the outliers times the bucket.
+    Only pairs that can reach the threshold leave the join: their set sizes allow it, and their bit sketches are no farther apart than
+    ``farthest``; each is made in the first of the bands that it shares.
     """
+    full = rows.join(sketch, "id")
     sizes = rows.groupBy("band", "component").count()
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("m")).select("band", F.col("m.component").alias("main"))
-    outer = rows.join(main, "band").where("component <> main").select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-    return (
-        outer.join(rows, "band").where("cx <> component").select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
-    )
+    outer = full.join(main, "band").where("component <> main").select("band", *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "bands", "bits")])
+    words = COORDINATES * BITS // 64
+    distance = sum((F.bit_count(F.get("bits", k).bitwiseXOR(F.get("x_bits", k))) for k in range(1, words)), F.bit_count(F.get("bits", 0).bitwiseXOR(F.get("x_bits", 0))))
+    possible = (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & (distance <= farthest(percent))
+    first = F.element_at(F.array_intersect("bands", "x_bands"), 1) == F.col("band")
+    joined = outer.join(full.withColumnRenamed("band", "y_band"), (F.col("band") == F.col("y_band")) & (F.col("x_component") != F.col("component")) & possible & first)
+    return joined.select(F.greatest("x_id", "id").alias("a"), F.least("x_id", "id").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -162,7 +186,7 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BA
     sketch = materialize(sketches(docs, n, bands, rows))
     full = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    reps = full.join(classes, [full.digest == classes.digest, full.doc_id == classes.id], "left_semi").select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"])
+    reps = full.join(classes, [full.digest == classes.digest, full.doc_id == classes.id], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "bits").dropDuplicates(["id"])
     buckets = reps.select("id", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").count().where("count > 1").select("band")
     buckets = materialize(buckets.join(shared, "band"))
@@ -178,7 +202,7 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BA
             rest = materialize(unsettled(buckets, labels))
             if rest.isEmpty():
                 break
-            pairs = hub_pairs(rest, F.xxhash64("id", "band")) if step == "other hub" else cross_pairs(rest)
+            pairs = hub_pairs(rest, F.xxhash64("id", "band")) if step == "other hub" else cross_pairs(rest, reps, percent)
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         done = materialize(confirmed(pairs, texts, n, percent))
         seen = done.select("a", "b") if seen is None else seen.union(done.select("a", "b"))
