@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageledger.llm import licences, near, passages, quality_rules, token_files, tokens
+import corpus_pipeline
+from pageledger.llm import decontamination, licences, near, packing, passages, quality_rules, token_files, tokens
 from pageledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +79,18 @@ FROM b
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_rules.judged(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_template_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_length_buckets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
