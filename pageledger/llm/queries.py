@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pageledger.llm import decontamination, licences, near, packing, passages, quality_rules, token_files, tokens
+from pageledger.llm import decontamination, licences, near, packing, passages, quality_rules, token_files, tokens, warc
 from pageledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+OP1_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), r AS (
+    SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS chosen FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN chosen <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN chosen <> page_id THEN chosen END AS refers_to
+FROM r
+"""
+
+
+@query("op1_warc_records", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
