@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pageledger.llm import decontamination, licences, near, packing, passages, quality_rules, token_files, tokens, warc
+from pageledger.llm import decontamination, hpylm, licences, near, packing, passages, quality_rules, token_files, tokens, warc
 from pageledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,8 @@ FROM r
 @query("op1_warc_records", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
+
+
+@query("op10_pitman_yor_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.scores(table(spark, sf_dir, "documents"))
