@@ -35,10 +35,11 @@ BLOCK_CODE = r"[A-Z]{2,6}\d+[A-Z0-9]*"
 VARIANT_CODE = r"(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{3,9}"
 
 STOP_WORDS = (
-    "THE AND FOR WITH FROM THIS THAT NOT ARE WAS HAS HAD WILL CAN ALL BUT THEY BEEN HAVE EACH WHICH THEIR SAID USE USED"
-    " VOLTAGE CURRENT PROCESS FUNCTIONAL SETTING SETTINGS TABLE PHASE THRESHOLD PROCEDURE TESTING TEST HEALTHY FAULT DELAY"
-    " STATUS LED RELAY CONDITION OFF DIP SWITCH SWITCHES CHECK POINT STEP REFER NOTE PAGE DOCUMENT SCOPE REV DATE"
-).split()
+    "THE", "AND", "FOR", "WITH", "FROM", "THIS", "THAT", "NOT", "ARE", "WAS", "HAS", "HAD", "WILL", "CAN", "ALL", "BUT", "THEY", "BEEN", "HAVE",
+    "EACH", "WHICH", "THEIR", "SAID", "USE", "USED", "VOLTAGE", "CURRENT", "PROCESS", "FUNCTIONAL", "SETTING", "SETTINGS", "TABLE", "PHASE",
+    "THRESHOLD", "PROCEDURE", "TESTING", "TEST", "HEALTHY", "FAULT", "DELAY", "STATUS", "LED", "RELAY", "CONDITION", "OFF", "DIP", "SWITCH",
+    "SWITCHES", "CHECK", "POINT", "STEP", "REFER", "NOTE", "PAGE", "DOCUMENT", "SCOPE", "REV", "DATE",
+)
 
 # Segmentation.
 MIN_BLOCK_SIZE = 400
@@ -83,16 +84,17 @@ PARAMETER_NAMES = {
     "OFF DELAY": "off_delay",
 }
 GENERIC_HEADER_WORDS = (
-    "VAC LED TABLE VOLTAGE PHASE PROCESS TEST REF SEC MIN DELAY SETTING SETTINGS RANGE LIMIT LIMITS STATUS RELAY SWITCH POWER"
-).split()
+    "VAC", "LED", "TABLE", "VOLTAGE", "PHASE", "PROCESS", "TEST", "REF", "SEC", "MIN", "DELAY", "SETTING", "SETTINGS", "RANGE", "LIMIT", "LIMITS",
+    "STATUS", "RELAY", "SWITCH", "POWER",
+)
 NOT_APPLICABLE = ("NA", "-", "N/A")
 WEAK_VALUES = ("NA", "-", "null")
 
 # Specs and steps.
 SPEC_FIELDS = (
-    "ref_voltage uv_range uv_threshold_pct ov_range ov_threshold_pct uv_hysteresis ov_hysteresis asymmetry on_delay off_delay"
-    " phase_fail phase_reverse neutral_fail virtual_neutral lv_cutoff hv_cutoff voltage_unit notes"
-).split()
+    "ref_voltage", "uv_range", "uv_threshold_pct", "ov_range", "ov_threshold_pct", "uv_hysteresis", "ov_hysteresis", "asymmetry", "on_delay",
+    "off_delay", "phase_fail", "phase_reverse", "neutral_fail", "virtual_neutral", "lv_cutoff", "hv_cutoff", "voltage_unit", "notes",
+)
 MARKER_STEP = r"^(supply\s+couple|supply\s+off|run\s+time\s+dip)"
 SECTION_LABEL = (
     r"^(?:Under|Over)\s+Voltage|^Phase\s+(?:asymmetry|fail)\s+(?:and|functionality)|^Fix\s+(?:Under|Over)\s+voltage"

@@ -89,28 +89,46 @@ def strip_fences(raw: Column) -> Column:
     return F.trim(F.regexp_replace(inner, r"(?m)\s*```\s*$", ""))
 
 
-REPLY = (
-    "struct<family_label:string,title_submachines:array<string>,page_range:array<int>,tables:array<struct<kind:string,title:string,"
-    "submachine_columns:array<string>,rows:array<struct<parameter:string,setting:string,`values`:array<string>>>>>>"
-)
+#: Tables and rows stay JSON texts until each is read by itself: what is no object is flagged and costs nothing else.
+REPLY = "struct<family_label:string,title_submachines:array<string>,page_range:array<int>,tables:array<string>>"
+TABLE_REPLY = "struct<kind:string,title:string,submachine_columns:array<string>,rows:array<string>>"
+ROW_REPLY = "struct<parameter:string,setting:string,`values`:array<string>>"
+
+
+def _is_object(text: Column) -> Column:
+    return F.startswith(F.ltrim(text), F.lit("{"))
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """``replies(family, body)`` with the parsed reply in ``r``; ``readable`` is false for broken JSON."""
+    """``replies(family, body)`` with the parsed reply in ``r``; ``readable`` is false for broken JSON, ``is_object`` for anything but an object."""
     bare = replies.withColumn("body", strip_fences(F.col("body")))
-    return bare.withColumn("r", F.from_json("body", REPLY)).withColumn("readable", F.try_parse_json("body").isNotNull())
+    valid = bare.withColumn("readable", F.try_parse_json("body").isNotNull()).withColumn("is_object", F.coalesce(_is_object(F.col("body")), F.lit(False)))
+    return valid.withColumn("r", F.when(F.col("is_object"), F.from_json("body", REPLY)))
+
+
+def _table_items(parsed: DataFrame) -> DataFrame:
+    items = parsed.select("family", F.posexplode("r.tables").alias("table_idx", "item"))
+    return items.withColumn("t", F.when(_is_object(F.col("item")), F.from_json("item", TABLE_REPLY)))
+
+
+def malformed(parsed: DataFrame) -> DataFrame:
+    """A flag for every table and row of a reply that is not an object."""
+    items = _table_items(parsed)
+    rows = items.select(*TABLE, F.explode("t.rows").alias("item"))
+    bad = lambda df, rule, text: _flag_rows(df.filter(~F.coalesce(_is_object(F.col("item")), F.lit(False))), rule, F.left("item", F.lit(80)), F.lit(text))
+    return bad(items, "malformed_table", "a table of the reply is not an object").unionByName(bad(rows, "malformed_row", "a row of the table is not an object"))
 
 
 def raw_tables(parsed: DataFrame) -> DataFrame:
-    return parsed.select("family", F.posexplode("r.tables").alias("table_idx", "t")).select(
+    return _table_items(parsed).filter("t IS NOT NULL").select(
         "family", "table_idx", strip(F.coalesce("t.title", F.lit(""))).alias("title"), F.coalesce("t.kind", F.lit("spec")).alias("kind"),
         F.transform(F.filter(F.coalesce("t.submachine_columns", _empty()), lambda c: filled(c)), strip).alias("columns"),
     )
 
 
 def raw_rows(parsed: DataFrame) -> DataFrame:
-    rows = parsed.select("family", F.posexplode("r.tables").alias("table_idx", "t"))
-    rows = rows.select("family", "table_idx", F.posexplode("t.rows").alias("pos", "w"))
+    rows = _table_items(parsed).select("family", "table_idx", F.posexplode("t.rows").alias("pos", "item"))
+    rows = rows.filter(_is_object(F.col("item"))).withColumn("w", F.from_json("item", ROW_REPLY))
     text = lambda c: strip(F.coalesce(c, F.lit("")))
     return rows.select(
         "family", "table_idx", (F.col("pos") + 1).alias("row_idx"), text("w.parameter").alias("parameter"), text("w.setting").alias("setting"),
@@ -123,7 +141,7 @@ def family_meta(parsed: DataFrame, meta: DataFrame) -> DataFrame:
     else derived from the reply's own spec columns. An unknown title (NULL) stays apart from an empty one."""
     spec_columns = F.flatten(
         F.transform(
-            F.filter(F.coalesce("r.tables", F.expr("CAST(array() AS array<struct<kind:string,title:string,submachine_columns:array<string>,rows:array<struct<parameter:string,setting:string,`values`:array<string>>>>>)")), lambda t: t["kind"] == "spec"),
+            F.filter(F.transform(F.filter(F.coalesce("r.tables", _empty()), _is_object), lambda t: F.from_json(t, TABLE_REPLY)), lambda t: t["kind"] == "spec"),
             lambda t: F.filter(F.transform(F.coalesce(t["submachine_columns"], _empty()), strip), lambda c: c != ""),
         )
     )

@@ -13,8 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pageledger.session import materialize
+
 CHUNK = 8192
-HOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,8 @@ def with_running(
 ) -> DataFrame:
     """Add ordered columns over ``keys`` in the order of the integer column ``order`` (unique within a key)."""
     part = [*keys, "_chunk"]
-    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
+    # stored, as both the rows and the chunks' totals read it: a chain of calls evaluates its input once, not once more for each call
+    d = materialize(df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long")))
     totals = d.groupBy(*part).agg(*[_chunk_total(r, order).alias(f"_t_{n}") for n, r in cols.items()])
     carry = totals.select(*part, *[_carry(r, f"_t_{n}", keys).alias(f"_c_{n}") for n, r in cols.items()])
     carry = carry.filter(reduce(lambda a, b: a | b, [F.col(f"_c_{n}").isNotNull() for n in cols]))
@@ -104,30 +106,18 @@ def with_running(
     return d.select(*kept, *[_merge(r, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, r in cols.items()])
 
 
-def with_ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, coarse: Column, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, step: int) -> DataFrame:
     """Dense 1-based position within ``keys`` for rows that have no ordinal yet.
 
-    Keys above ``hot_rows`` rows are cut by ``coarse``, a value that never decreases along ``order``. There are at most
-    rows / hot_rows such keys, so the hot table stays small whatever the data.
+    Every key is cut into stretches of ``step`` of its first order column, a number: such stretches follow one another in any order that
+    begins with that column. Rows are numbered inside a stretch and moved by the rows of the stretches before it.
     """
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    d = df.join(hot, list(keys), "left").withColumn("_chunk", F.when(F.col("_hot"), coarse).otherwise(0).cast("long"))
+    d = df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(step)).cast("long"))
     part = [*keys, "_chunk"]
     w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offset = (
-        df.join(hot, list(keys), "left_semi")
-        .withColumn("_chunk", coarse.cast("long"))
-        .groupBy(*part)
-        .agg(F.count("*").alias("_n"))
-        .select(*part, F.sum("_n").over(w).alias("_before"))
-    )
-    return (
-        d.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-        .join(offset, part, "left")
-        .select(*df.columns, (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("int").alias(name))
-    )
+    before = d.groupBy(*part).agg(F.count("*").alias("_n")).select(*part, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    numbered = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+    return numbered.join(before, part).select(*df.columns, (F.col("_rn") + F.col("_before")).cast("int").alias(name))
 
 
 def renumber(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:

@@ -208,7 +208,9 @@ def spec_pages(pages: DataFrame, fallback: int = 6) -> DataFrame:
     """Table pages (the first eight); without any the pages with a spec marker; without those the first pages with an image."""
     tables = _head(score_table_pages(pages).filter("is_table")).withColumn("source", F.lit("table"))
     marked = tag_pages(pages).filter("has_image AND is_spec").join(tables.select("doc_id").distinct(), "doc_id", "left_anti")
-    marked = _head(marked, 12).withColumn("source", F.lit("marker"))
+    # all of them: the budget is set by their number
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num"))
+    marked = marked.select(*PAGE).withColumn("rank", place).withColumn("source", F.lit("marker"))
     seen = tables.select("doc_id").union(marked.select("doc_id")).distinct()
     rest = _head(pages.filter("has_image").join(seen, "doc_id", "left_anti"), fallback).withColumn("source", F.lit("first"))
     return tables.unionByName(marked).unionByName(rest)

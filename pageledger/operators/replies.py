@@ -13,9 +13,10 @@ from pageledger.operators.families import strip_fences
 STRINGS = "array<string>"
 STEP = (
     "struct<step_name:string,settings:array<string>,voltages_pn:array<string>,voltage_pp:string,leds:array<string>,relay_status:string,"
-    "on_delay:string,off_delay:string,section_break:boolean>"
+    "on_delay:string,off_delay:string,section_break:string>"
 )
-STEP_REPLY = f"struct<test_steps:array<{STEP}>,steps:array<{STEP}>,procedure:array<{STEP}>>"
+#: Steps stay JSON texts at first: one item that is no object must not cost the others.
+STEP_REPLY = "struct<test_steps:array<string>,steps:array<string>,procedure:array<string>>"
 STEP_COLUMNS = ("step_name", "settings", "voltages_pn", "voltage_pp", "leds", "relay_status", "on_delay", "off_delay", "section_break")
 
 
@@ -61,15 +62,20 @@ def normalize_specs(raw: DataFrame, keys: Sequence[str] = ("doc_id", "variant"))
 
 
 def explode_steps(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ordered raw steps of each reply: the first filled list of ``test_steps``, ``steps``, ``procedure``."""
+    """Ordered raw steps of each reply: the first filled list of ``test_steps``, ``steps``, ``procedure``.
+
+    Items that are no objects, or whose name is not a text, are left out; the others keep their place. A section break is anything that is
+    neither null nor false, zero or empty.
+    """
     listed = lambda n: F.when(F.size(f"reply.{n}") > 0, F.col(f"reply.{n}"))
     parsed = parse_replies(replies, STEP_REPLY)
     steps = F.coalesce(listed("test_steps"), listed("steps"), listed("procedure"))
-    return (
-        parsed.select(*keys, F.posexplode(steps).alias("pos", "s"))
-        .filter(filled(F.col("s.step_name")))
-        .select(*keys, (F.col("pos") + 1).alias("step_idx"), *[F.col(f"s.{c}").alias(c) for c in STEP_COLUMNS])
-    )
+    items = parsed.select(*keys, F.posexplode(steps).alias("pos", "item")).filter(F.startswith("item", F.lit("{")))
+    read = items.withColumn("s", F.from_json("item", STEP)).filter(F.rlike("item", F.lit(r'"step_name"\s*:\s*"')) & filled(F.col("s.step_name")))
+    written = F.rlike("item", F.lit(r'"section_break"\s*:\s*"[^"]'))
+    truthy = ~F.col("s.section_break").isin("false", "0", "0.0", "null", "", "[]", "{}")
+    cols = [F.col(f"s.{c}").alias(c) for c in STEP_COLUMNS if c != "section_break"]
+    return read.select(*keys, (F.col("pos") + 1).alias("step_idx"), *cols, (written | truthy).alias("section_break"))
 
 
 def round_voltage(v: Column) -> Column:

@@ -1,14 +1,14 @@
 """Domain-shaped inputs derived from the test tables, as one text for Spark and for the checking SQL.
 
 ``ARR(`` and ``EMPTY_ARR`` stand for the two dialects' array constructors. A fixture with an ordinal names the rows it is
-taken from, its key, its total order and a coarse value used only to cut very long keys.
+taken from, its key, its total order, and the step of the first order column at which long keys are cut.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pageledger.operators.ordered import with_ordinal
 
@@ -20,8 +20,7 @@ class Fixture:
     key: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
     ordinal: str = ""
-    coarse: str = ""
-    where: str = ""
+    step: int = 1_000_000
 
 
 _LINE = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(l_quantity AS INT) AS q FROM lineitem"
@@ -29,13 +28,12 @@ _BY_PART = dict(
     source=_LINE,
     key=("l_partkey",),
     order=("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"),
-    coarse="l_orderkey / 1000000",
 )
 _BY_ORDER = dict(
     source=_LINE,
     key=("l_orderkey",),
     order=("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"),
-    coarse="l_linenumber",
+    step=1,
 )
 _PV = "concat('PV', lpad(CAST(l_partkey AS STRING), 6, '0'))"
 _EXT = "concat('ext_', lpad(CAST(event_id AS STRING), 8, '0')"
@@ -111,6 +109,17 @@ FIXTURES: dict[str, Fixture] = {
  CASE WHEN q % 5 = 0 THEN 'as per table 2' ELSE 'end of page' END) AS text, (q % 10 <> 9) AS has_image""",
         **_BY_ORDER, ordinal="page_num",
     ),
+    # only pages with a spec marker: 9, 15 or up to 30 of them have an image
+    "fx_marker_pages": Fixture(
+        """l_partkey AS doc_id, page_num, concat('ACCEPTABLE LIMITS of part ', CAST(l_partkey AS STRING)) AS text, (page_num <= CASE l_partkey % 3 WHEN 0 THEN 9 WHEN 1 THEN 15 ELSE 30 END) AS has_image""",
+        **_BY_PART, ordinal="page_num",
+    ),
+    # variants of the steps and others that have none
+    "fx_variants": Fixture(
+        "machine, variant",
+        """SELECT p_brand AS machine, concat('PV', lpad(CAST(p_partkey AS STRING), 6, '0')) AS variant FROM part
+UNION ALL SELECT concat('Supplier#', CAST(s_nationkey AS STRING)) AS machine, concat('SV', lpad(CAST(s_suppkey AS STRING), 6, '0')) AS variant FROM supplier""",
+    ),
     "fx_doc_pages": Fixture("source AS doc_id, doc_id AS page_num, text", "documents"),
     "fx_conv_pages": Fixture("conv_id AS doc_id, turn + 1 AS page_num, text", "conversations"),
     "fx_grid_cells": Fixture(
@@ -139,7 +148,7 @@ FIXTURES: dict[str, Fixture] = {
  CASE WHEN p_partkey % 23 = 0 THEN '5 %' WHEN p_partkey % 29 = 0 THEN '' ELSE p_name END AS parameter, CAST(p_size AS STRING) AS setting,
  CASE WHEN p_partkey % 997 = 0 THEN ARR('1') WHEN p_type = 'PROMO' AND substr(p_brand, 7, 1) = '1' OR p_type = 'SMALL' AND substr(p_brand, 7, 1) = '2' THEN ARR('NA', CAST(p_size AS STRING), 'na') WHEN p_type = 'MEDIUM' AND p_brand = 'Brand#7' THEN ARR('7', CAST(p_size AS STRING), '8', '9') WHEN p_partkey % 4 = 0 AND p_type NOT IN ('LARGE', 'STANDARD') AND NOT (p_type = 'MEDIUM' AND p_brand = 'Brand#5') THEN ARR('NA', CAST(p_size AS STRING), 'NA') ELSE ARR(CAST(p_size AS STRING), 'NA') END AS vals""",
         "SELECT p_brand, p_type, p_partkey, p_name, p_size FROM part",
-        key=("p_brand", "p_type"), order=("p_partkey",), ordinal="row_idx", coarse="p_partkey / 1000000",
+        key=("p_brand", "p_type"), order=("p_partkey",), ordinal="row_idx",
     ),
     # title lists of the families: known, known-empty and unknown
     "fx_families": Fixture(
@@ -150,7 +159,6 @@ FIXTURES: dict[str, Fixture] = {
     "fx_attempts": Fixture(
         """user_id AS variant, attempt, CAST(10 + event_id % 70 AS INT) AS n_steps, (event_id % 9 = 0) AS complete""",
         "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS attempt FROM events",
-        where="attempt <= 5",
     ),
     "fx_cells_ref": Fixture(
         "sheet, row_no, col_no, value",
@@ -181,14 +189,15 @@ UNION ALL SELECT concat('gen ', o_orderpriority), o_orderkey, 1, 'y' FROM orders
     ),
     "fx_step_replies": Fixture(
         """event_id AS reply_id,
- concat('{', CASE event_id % 5 WHEN 0 THEN '"test_steps": [], "steps"' WHEN 1 THEN '"test_steps"' WHEN 2 THEN '"procedure"' WHEN 3 THEN '"steps"' ELSE '"other"' END, ': [{"step_name": " ', event_type, ' ", "settings": ["P1 = ', CAST(event_id % 30 AS STRING), ' %"], "voltages_pn": ["RN : ', CAST(event_id % 300 AS STRING), '.', CAST(event_id % 10 AS STRING), '"], "off_delay": "', CAST(event_id % 20 AS STRING), '-16 SEC", "section_break": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '}, {"step_name": ""}, {"step_name": "Supply OFF", "leds": ["PWR: ON"]}]}') AS body""",
+ concat('{', CASE event_id % 5 WHEN 0 THEN '"test_steps": [], "steps"' WHEN 1 THEN '"test_steps"' WHEN 2 THEN '"procedure"' WHEN 3 THEN '"steps"' ELSE '"other"' END, ': [{"step_name": " ', event_type, ' ", "settings": ["P1 = ', CAST(event_id % 30 AS STRING), ' %"], "voltages_pn": ["RN : ', CAST(event_id % 300 AS STRING), '.', CAST(event_id % 10 AS STRING), '"], "off_delay": "', CAST(event_id % 20 AS STRING), '-16 SEC", "section_break": ', CASE event_id % 6 WHEN 0 THEN '"yes"' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN '0' WHEN 4 THEN 'true' ELSE '""' END, '}, {"step_name": ""}, {"step_name": "Supply OFF", "leds": ["PWR: ON"]}',
+ CASE WHEN event_id % 3 = 0 THEN ', "plain", {"step_name": 5}, {"step_name": "last"}' ELSE '' END, ']}') AS body""",
         "events",
     ),
     "fx_table_replies": Fixture(
         """concat('FAM_', CAST(event_id AS STRING)) AS family,
- CASE WHEN event_id % 10 = 9 THEN '{"tables": [' ELSE concat('```json', chr(10), '{', CASE WHEN event_id % 3 = 0 THEN concat('"family_label": "F', CAST(event_id AS STRING), '", "title_submachines": ', CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '[]' ELSE '["AB1", "AB2"]' END, ', "page_range": [1, 2], ') ELSE '' END,
+ CASE WHEN event_id % 10 = 9 THEN '{"tables": [' WHEN event_id % 13 = 5 THEN '[{"tables": []}]' ELSE concat('```json', chr(10), '{', CASE WHEN event_id % 3 = 0 THEN concat('"family_label": "F', CAST(event_id AS STRING), '", "title_submachines": ', CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '[]' ELSE '["AB1", "AB2"]' END, ', "page_range": [1, 2], ') ELSE '' END,
  '"tables": [{"kind": "spec", "title": " ', event_type, ' ", "submachine_columns": ["AB1", "', CASE WHEN event_id % 5 = 0 THEN 'Column 2' ELSE 'AB2' END, '"], "rows": [{"parameter": "UV trip", "setting": "8%", "values": ["', CAST(user_id AS STRING), '", "NA"]}',
- CASE WHEN event_id % 7 = 0 THEN ', {"parameter": "x", "setting": "", "values": ["1"]}' ELSE '' END, ']}, {"kind": "aux", "title": "jig", "rows": [{"parameter": "p", "setting": "s", "values": ["1", "2"]}]}]}', chr(10), '```') END AS body""",
+ CASE WHEN event_id % 7 = 0 THEN ', {"parameter": "x", "setting": "", "values": ["1"]}' ELSE '' END, CASE WHEN event_id % 11 = 3 THEN ', "stray"' ELSE '' END, ']}, ', CASE WHEN event_id % 11 = 7 THEN '"junk", ' ELSE '' END, '{"kind": "aux", "title": "jig", "rows": [{"parameter": "p", "setting": "s", "values": ["1", "2"]}]}]}', chr(10), '```') END AS body""",
         "events",
     ),
     # raw page classification rows: not every page has one, some labels are missing
@@ -214,13 +223,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Spark side. Base tables are read straight from Parquet, so pruning and pushdown apply."""
     f = FIXTURES[name]
     text = _dialect(_source(f), True)
-    for t in ("lineitem", "part", "orders", "events", "documents", "conversations"):
+    for t in ("lineitem", "part", "orders", "events", "documents", "conversations", "supplier"):
         text = text.replace(f"FROM {t}", f"FROM parquet.`{sf_dir}/{t}.parquet`")
     df = spark.sql(text)
     if f.key:
-        df = with_ordinal(df, f.key, f.order, f.ordinal, F.expr(f"floor({f.coarse})"))
-    if f.where:
-        df = df.filter(f.where)
+        df = with_ordinal(df, f.key, f.order, f.ordinal, f.step)
     select = _dialect(f.select, True).replace("{", "{{").replace("}", "}}")
     return spark.sql(f"SELECT {select} FROM {{t}}", t=df)
 
@@ -232,5 +239,4 @@ def fixture_sql(name: str) -> str:
     if f.key:
         over = f"row_number() OVER (PARTITION BY {', '.join(f.key)} ORDER BY {', '.join(f.order)})"
         inner = f"SELECT *, CAST({over} AS INT) AS {f.ordinal} FROM ({inner}) b"
-    where = f" WHERE {f.where}" if f.where else ""
-    return f"SELECT {_dialect(f.select, False)} FROM ({inner}) t{where}"
+    return f"SELECT {_dialect(f.select, False)} FROM ({inner}) t"

@@ -201,9 +201,9 @@ def side_meta(fx):
 
 
 RB = "rb AS (SELECT family, CAST(substr(family, 5) AS BIGINT) AS id FROM fx_table_replies)"
-FAMILY_META = f"""{RB}, fm AS (SELECT family, id, CASE WHEN id % 10 <> 9 AND id % 3 = 0 THEN 'reply' WHEN id % 10 IN (1, 4, 9) THEN 'meta' ELSE 'derived' END AS source FROM rb),
+FAMILY_META = f"""{RB}, fm AS (SELECT family, id, CASE WHEN id % 10 <> 9 AND id % 13 <> 5 AND id % 3 = 0 THEN 'reply' WHEN id % 10 IN (1, 4, 9) THEN 'meta' ELSE 'derived' END AS source FROM rb),
  f3 AS (SELECT family, id, source, CASE source WHEN 'reply' THEN concat('F', CAST(id AS VARCHAR)) WHEN 'meta' THEN concat('meta ', family) ELSE replace(family, '_', ' ') END AS label,
-  CASE source WHEN 'reply' THEN CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'AB1|AB2' END WHEN 'meta' THEN CASE WHEN id % 10 = 4 THEN NULL ELSE 'AB1' END ELSE CASE WHEN id % 5 = 0 THEN 'AB1|Column 2' ELSE 'AB1|AB2' END END AS title, source <> 'derived' AS external FROM fm)"""
+  CASE source WHEN 'reply' THEN CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'AB1|AB2' END WHEN 'meta' THEN CASE WHEN id % 10 = 4 THEN NULL ELSE 'AB1' END ELSE CASE WHEN id % 13 = 5 THEN '' WHEN id % 5 = 0 THEN 'AB1|Column 2' ELSE 'AB1|AB2' END END AS title, source <> 'derived' AS external FROM fm)"""
 register("fam_03_family_meta", f"WITH {FAMILY_META} SELECT family, label, title, external, source FROM f3", "table_replies")(
     lambda fx: FA.family_meta(FA.parse_replies(fx.table_replies), side_meta(fx)).select(
         "family", "label", F.array_join("title_submachines", "|").alias("title"), "external", "source"
@@ -211,10 +211,10 @@ register("fam_03_family_meta", f"WITH {FAMILY_META} SELECT family, label, title,
 )
 register(
     "fam_17_replay_status",
-    f"""WITH {FAMILY_META}, c AS (SELECT family, id % 10 = 9 AS broken, id % 7 = 0 AS short, id % 5 = 0 AND id % 7 <> 0 AS ph, title IS NULL AS unknown, NOT external AS na, source = 'derived' AS d, title FROM f3),
- n AS (SELECT *, CASE WHEN broken THEN 1 ELSE (CASE WHEN short THEN 2 ELSE 0 END) + (CASE WHEN ph THEN 1 ELSE 0 END) + (CASE WHEN unknown THEN 1 ELSE 0 END) END AS flags,
+    f"""WITH {FAMILY_META}, c AS (SELECT family, id % 10 = 9 OR id % 13 = 5 AS broken, id % 7 = 0 AS short, id % 11 = 3 AS mal, id % 11 = 7 AS junk, id % 5 = 0 AND id % 7 <> 0 AND id % 11 <> 3 AS ph, title IS NULL AS unknown, NOT external AS na, source = 'derived' AS d, title FROM f3),
+ n AS (SELECT *, CASE WHEN broken THEN 1 ELSE (CASE WHEN short THEN 2 ELSE 0 END) + mal::INT + junk::INT + (CASE WHEN ph THEN 1 ELSE 0 END) + (CASE WHEN unknown THEN 1 ELSE 0 END) END AS flags,
   CASE WHEN broken THEN 5 ELSE (CASE WHEN ph THEN 3 ELSE 0 END) + (CASE WHEN unknown THEN 1 ELSE 0 END) END AS not_run FROM c)
 SELECT family, CASE WHEN flags = 0 AND not_run = 0 THEN 'CLEAN' ELSE 'NOT CLEAN' END AS status, CAST(not_run AS INT) AS not_run, CAST(flags AS BIGINT) AS flags,
- CAST(CASE WHEN broken OR unknown OR na OR title = '' THEN 0 WHEN short OR ph THEN 1 WHEN title = 'AB1' THEN 1 ELSE 0 END AS BIGINT) AS infos FROM n""",
+ CAST(CASE WHEN broken OR unknown OR na OR title = '' THEN 0 WHEN short OR mal OR ph THEN 1 WHEN title = 'AB1' THEN 1 ELSE 0 END AS BIGINT) AS infos FROM n""",
     "table_replies",
 )(lambda fx: replay(fx.table_replies, side_meta(fx)).status.select("family", "status", F.size("not_run").alias("not_run"), "flags", "infos"))

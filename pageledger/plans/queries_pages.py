@@ -100,9 +100,9 @@ def fallback_pages(fx):
 FALL = FALL.replace("CASE WHEN is_cutoff THEN mn.rank", "CASE WHEN an.is_cutoff THEN mn.rank")
 register("pgc_06_page_fallbacks", f"WITH {FALL} SELECT doc_id, variant, page_num, CAST(rank AS INT) AS rank, source FROM fb", "manual")(fallback_pages)
 SPECS = f"""{score_sql('fx_manual')}, {TAGS.replace('{fx}', 'fx_manual')}, t8 AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank, 'table' AS source FROM tp WHERE is_table QUALIFY rank <= 8),
- m12 AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank, 'marker' AS source FROM tg WHERE has_image AND is_spec AND doc_id NOT IN (SELECT doc_id FROM t8) QUALIFY rank <= 12),
- f6 AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank, 'first' AS source FROM fx_manual WHERE has_image AND doc_id NOT IN (SELECT doc_id FROM t8 UNION SELECT doc_id FROM m12) QUALIFY rank <= 6),
- sp AS (SELECT * FROM t8 UNION ALL SELECT * FROM m12 UNION ALL SELECT * FROM f6)"""
+ mk AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank, 'marker' AS source FROM tg WHERE has_image AND is_spec AND doc_id NOT IN (SELECT doc_id FROM t8)),
+ f6 AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank, 'first' AS source FROM fx_manual WHERE has_image AND doc_id NOT IN (SELECT doc_id FROM t8 UNION SELECT doc_id FROM mk) QUALIFY rank <= 6),
+ sp AS (SELECT * FROM t8 UNION ALL SELECT * FROM mk UNION ALL SELECT * FROM f6)"""
 register("pgc_06_spec_pages", f"WITH {SPECS} SELECT doc_id, page_num, CAST(rank AS INT) AS rank, source FROM sp", "manual")(lambda fx: G.spec_pages(fx.stored("manual")))
 
 
@@ -118,6 +118,12 @@ for _kind, (_a, _b, _c) in (("spec", (8, 10, 12)), ("procedure", (10, 12, 16))):
 SELECT 1 AS doc_id, variant, page_num, CAST(rank AS INT) AS rank, CAST((rank - 1) // 8 AS INT) AS chunk_idx FROM n WHERE rank <= CASE WHEN n <= {_a} THEN n WHEN n <= 20 THEN {_b} ELSE {_c} END""",
         "proc_pages",
     )(lambda fx, k=_kind: G.budget_pages(part_pages(fx), k))
+register(
+    "pgc_07_spec_budget_chain",
+    f"""WITH {SPECS.replace('fx_manual', 'fx_marker_pages')}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sp)
+SELECT doc_id, page_num, CAST(rank AS INT) AS rank, CAST((rank - 1) // 8 AS INT) AS chunk_idx FROM n WHERE rank <= CASE WHEN n <= 8 THEN n WHEN n <= 20 THEN 10 ELSE 12 END""",
+    "marker_pages",
+)(lambda fx: G.budget_pages(G.spec_pages(fx.stored("marker_pages")), "spec", keys=["doc_id"]))
 CALL = f"""{score_sql('fx_manual')}, tpg AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank FROM tp WHERE is_table QUALIFY rank <= 8),
  tr AS (SELECT DISTINCT l_orderkey AS doc_id, concat('PV', lpad(CAST(l_partkey AS VARCHAR), 6, '0')) AS variant FROM lineitem), {TAGS.replace('{fx}', 'fx_manual')},
  pr AS (SELECT tr.doc_id, variant, page_num, row_number() OVER (PARTITION BY tr.doc_id, variant ORDER BY page_num) AS rank FROM tr JOIN tg ON tr.doc_id = tg.doc_id WHERE is_procedure),
@@ -142,7 +148,7 @@ LINES = f"""l0 AS (SELECT doc_id, page_num, unnest({sql_lines('text')}) AS raw,
 _NO = "CASE " + " ".join(f"WHEN regexp_matches(line, {lit('(?i)' + p)}) THEN {i}" for i, p in enumerate(P.SECTION_PATTERNS, 1)) + " END"
 _TX = "CASE pattern_no " + " ".join(f"WHEN {i} THEN regexp_extract(line, {lit('(?i)' + p)}, 0)" for i, p in enumerate(P.SECTION_PATTERNS, 1)) + " END"
 _FC = " OR ".join(f"regexp_matches(line, {lit('(?i)' + p)})" for p in P.FORCE_SPLIT_PATTERNS)
-for _fx in ("manual", "doc_pages"):
+for _fx in ("manual",):
     register(
         f"seg_01_tag_section_lines_{_fx}",
         f"WITH {LINES.replace('{fx}', 'fx_' + _fx)}, t AS (SELECT *, {_NO} AS pattern_no FROM li) SELECT doc_id, page_num, line_no, line, pattern_no, {_TX} AS header, {_FC} AS is_forced FROM t WHERE pattern_no IS NOT NULL",

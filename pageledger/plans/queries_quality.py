@@ -92,12 +92,9 @@ def step_rows(v: str = "voltages_pn"):
 STEP = dict(keys="variant, step_idx", scope="step", source="fx_steps")
 register("dq_08_step_rules", flags_sql(step_rows(), **STEP), "steps")(lambda fx: Q.step_rules(fx.steps))
 NO_STEPS = flags_sql(
-    [("variant NOT IN (SELECT variant FROM fx_steps WHERE relay_status IS NOT NULL AND section_break)", "NO_STEPS", None, None, "'too few steps — extraction unreliable'")]
-)
-# the fixture gives every variant steps, so this query looks at section breaks with a relay state only
-register("dq_09_no_steps", NO_STEPS, ("specs", "steps"))(
-    lambda fx: Q.no_steps(fx.specs, fx.steps.filter("relay_status IS NOT NULL AND section_break"))
+    [("variant NOT IN (SELECT variant FROM fx_steps)", "NO_STEPS", None, None, "'too few steps — extraction unreliable'")], source="fx_variants"
 )
+register("dq_09_no_steps", NO_STEPS, ("variants", "steps"))(lambda fx: Q.no_steps(fx.variants, fx.steps))
 SECOND = """SELECT machine, variant, replace(uv_range, '15', '16') AS uv_range, ov_range, CASE WHEN voltage_unit = 'P-N' THEN '200' ELSE ref_voltage END AS ref_voltage,
  upper(on_delay) AS on_delay, off_delay FROM"""
 register(

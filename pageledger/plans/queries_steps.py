@@ -46,7 +46,8 @@ register(
 )
 RAW = """e5 AS (SELECT event_id AS reply_id, event_type, event_id AS e FROM events),
  rs AS (SELECT reply_id, 1 AS step_idx, concat(' ', event_type, ' ') AS step_name, concat('P1 = ', e % 30, ' %') AS settings, concat('RN : ', e % 300, '.', e % 10) AS voltages_pn, concat(e % 20, '-16 SEC') AS off_delay, e % 2 = 0 AS section_break, '' AS leds FROM e5 WHERE e % 5 <> 4
-  UNION ALL SELECT reply_id, 3, 'Supply OFF', '', '', NULL, NULL, 'PWR: ON' FROM e5 WHERE e % 5 <> 4)"""
+  UNION ALL SELECT reply_id, 3, 'Supply OFF', '', '', NULL, NULL, 'PWR: ON' FROM e5 WHERE e % 5 <> 4
+  UNION ALL SELECT reply_id, 6, 'last', '', '', NULL, NULL, '' FROM e5 WHERE e % 5 <> 4 AND e % 3 = 0)"""
 _J = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
 register(
     "jsn_04_explode_steps", f"WITH {RAW} SELECT reply_id, step_idx, step_name, settings, voltages_pn, leds, off_delay, section_break FROM rs", "step_replies"

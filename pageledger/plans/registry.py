@@ -19,10 +19,10 @@ class Inputs:
     """Fixtures of one run by name: ``fx.specs`` is the table ``fx_specs``.
 
     Page fixtures are stored once per run, as the domain tables they stand for would be: text operators read them several times.
-    Step fixtures stay views, because column pruning saves more there than storing would.
+    So are the step fixtures, whose ordinal is dear to find.
     """
 
-    STORED = ("pages", "manual", "proc_pages")
+    STORED = ("pages", "manual", "proc_pages", "steps", "steps_b")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

@@ -45,9 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes with the session's JVM, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder: computed once, read by all that follows, safe against lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
