@@ -51,10 +51,22 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+#: Folders of the stored tables of this process, oldest first.
+tables_made: list[str] = []
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing will read again."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder: computed once, read by all that follows, safe against lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_at_end(spark, path)
+    tables_made.append(path)
     return spark.read.schema(df.schema).parquet(path)
