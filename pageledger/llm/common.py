@@ -115,3 +115,8 @@ class SharedFile:
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+
+
+def has_repeats(docs: DataFrame) -> bool:
+    """Whether some doc_id stands in more than one row."""
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -204,6 +204,7 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BA
                 break
             pairs = hub_pairs(rest, F.xxhash64("id", "band")) if step == "other hub" else cross_pairs(rest, reps, percent)
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = materialize(pairs)
         done = materialize(confirmed(pairs, texts, n, percent))
         seen = done.select("a", "b") if seen is None else seen.union(done.select("a", "b"))
         found = done.where("linked").select("a", "b")

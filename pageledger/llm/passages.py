@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pageledger.llm.common import WORD, mix, pieces, shingle_hashes, split_words, table_of, text_column, word_hashes
+from pageledger.llm.common import WORD, has_repeats, mix, pieces, shingle_hashes, split_words, table_of, text_column, word_hashes
 from pageledger.llm.components import components
 from pageledger.session import materialize
 
@@ -182,10 +182,6 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, threshold: float = 0.8)
     )
 
 
-def has_repeats(docs: DataFrame) -> bool:
-    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def node(doc: str, start: str):
     return F.format_string("%020d:%010d", F.col(doc), F.col(start))
 
@@ -220,13 +216,20 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """The documents, all columns kept, without the words of the passages."""
-    cuts = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
+    """The documents, all columns kept, without the words of the passages. Of rows with one doc_id only those with the text that was searched are cut."""
+    cuts = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    if has_repeats(docs):
+        cuts = cuts.join(docs.groupBy("doc_id").agg(F.max("text").alias("searched")), "doc_id")
+    else:
+        cuts = cuts.withColumn("searched", F.lit(None).cast("string"))
+    cuts = materialize(cuts)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
         return texts.combine(spans, lambda t, s: t if s is None or t is None else cut_text(t, [(x["start_word"], x["end_word"]) for x in s]))
 
-    joined = docs.join(cuts, "doc_id", "left")
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(cut("text", "_cuts"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    joined = rows.join(cuts, "doc_id", "left")
+    whole = F.col("cuts").isNull() | (F.col("searched") != F.col("text"))
+    text = F.when(whole, F.col("text")).otherwise(cut("text", "cuts"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
