@@ -212,7 +212,7 @@ def parse_tables(tables: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
         "kind", F.when(F.col("_bad_rows").isNotNull(), "unverified").otherwise(F.col("kind"))
     )
     message = F.format_string(
-        "[%s] row '%s'/'%s': %d values vs %d columns → table unverified", F.col("title"), F.col("parameter"), F.col("setting"), F.size("vals"), F.col("_n")
+        "[%s] row '%s'/'%s': %d values vs %d columns, so the table is not verified", F.col("title"), F.col("parameter"), F.col("setting"), F.size("vals"), F.col("_n")
     )
     flags = _flag_rows(fitted.filter("_bad"), "pad_trim_ban", F.col("parameter"), message)
     return checked.drop("_raw", "_bad_rows"), fitted.select(*rows.columns), flags
@@ -227,7 +227,7 @@ def torn_rows(tables: DataFrame, rows: DataFrame) -> DataFrame:
     p = strip(F.col("parameter"))
     torn = (p != "") & (F.length(F.regexp_replace(p, "[^A-Za-z]", "")) < 2)
     spec = tables.filter("kind = 'spec'").select(*TABLE, "title")
-    message = F.format_string("[%s] probable torn row: parameter='%s' has no text label", F.col("title"), p)
+    message = F.format_string("[%s] the row looks torn: parameter '%s' names nothing", F.col("title"), p)
     return _flag_rows(rows.filter(torn).join(spec, TABLE), "torn_row", p, message)
 
 
@@ -273,15 +273,15 @@ def check_headers(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
         "kind", F.when(F.col("_fail").isin(0, 2), "unverified").when(F.col("_fail") == 1, "aux").otherwise(F.col("kind"))
     )
     text = (
-        F.when(F.col("_fail") == 0, F.format_string("[%s] unreadable column headers %s → unverified, excluded from workbook", F.col("title"), _listed(bad["unreadable_header"])))
-        .when(F.col("_fail") == 1, F.format_string("[%s] columns appear to be voltage values not model codes %s → reclassified aux", F.col("title"), _listed(bad["non_model_column"])))
-        .otherwise(F.format_string("[%s] value-fragment column headers %s → unverified, excluded from workbook", F.col("title"), _listed(bad["value_fragment"])))
+        F.when(F.col("_fail") == 0, F.format_string("[%s] headers that cannot be read: %s, so the table is not verified", F.col("title"), _listed(bad["unreadable_header"])))
+        .when(F.col("_fail") == 1, F.format_string("[%s] headers that are voltages: %s, so the table is auxiliary", F.col("title"), _listed(bad["non_model_column"])))
+        .otherwise(F.format_string("[%s] headers cut from values: %s, so the table is not verified", F.col("title"), _listed(bad["value_fragment"])))
     )
     stopped = marked.filter("_fail IS NOT NULL").select(
         *TABLE, F.element_at(chain, F.col("_fail") + 1).alias("rule_id"), F.lit(None).cast("string").alias("detail"), text.alias("message"), F.lit(False).alias("info")
     )
     suspicious = marked.filter(in_scope & F.col("_fail").isNull()).select(*TABLE, "title", F.explode(bad["split_header"]).alias("c"))
-    split = _flag_rows(suspicious, "split_header", F.col("c"), F.format_string("[%s] probable split header: '%s'", F.col("title"), F.col("c")))
+    split = _flag_rows(suspicious, "split_header", F.col("c"), F.format_string("[%s] the header looks split: '%s'", F.col("title"), F.col("c")))
     return out.drop("_fail"), stopped.unionByName(split)
 
 
@@ -305,7 +305,7 @@ def prefix_vote(tables: DataFrame, families: DataFrame) -> tuple[DataFrame, Data
     judged = families.select("family", title, outcome.alias("outcome"))
     unknown = judged.filter("outcome = 'could_not_run'").select(
         "family", F.lit(None).cast("int").alias("table_idx"), F.lit(P.ALL_CHECKS[5]).alias("rule_id"), F.lit(None).cast("string").alias("detail"),
-        F.lit("INTEGRITY CHECK COULD NOT RUN: cross_source_prefix_vote (title_submachines unknown — run full extraction to generate meta)").alias("message"),
+        F.lit("the vote on prefixes needs the title list, which is unknown").alias("message"),
         F.lit(False).alias("info"),
     )
     votes = judged.filter("outcome = 'ran'").select("family", _most_common(_prefixes(F.filter(title, lambda s: s != ""))).alias("_title"))
@@ -342,8 +342,8 @@ def coverage_flags(coverage: DataFrame) -> DataFrame:
     names = _listed(F.array_sort(F.collect_set("code")))
     message = F.when(
         F.col("side") == "title",
-        F.concat(F.lit("INFO: title subset coverage: "), F.col("names"), F.lit(" in title but not in any spec table (may appear only in Setting text — expected)")),
-    ).otherwise(F.concat(F.lit("INFO: table coverage wider than title: "), F.col("names")))
+        F.concat(F.lit("only in the title: "), F.col("names"), F.lit(" stand in no spec table")),
+    ).otherwise(F.concat(F.lit("only in tables: "), F.col("names")))
     return coverage.groupBy("family", "side").agg(names.alias("names")).select(
         "family", F.lit(None).cast("int").alias("table_idx"), F.lit("title_coverage").alias("rule_id"), F.col("side").alias("detail"),
         message.alias("message"), F.lit(True).alias("info"),

@@ -57,7 +57,7 @@ def _bare(cell: Column) -> Column:
 def _looks_like_variant(cell: Column) -> Column:
     bare = _bare(cell)
     return (
-        F.length(bare).between(3, 12) & bare.rlike("[A-Z]") & bare.rlike(r"\d") & ~bare.isin(P.GENERIC_HEADER_WORDS)
+        F.length(bare).between(3, 12) & bare.rlike("[A-Z]") & bare.rlike(r"\d") & ~bare.isin(*P.GENERIC_HEADER_WORDS)
     )
 
 

@@ -48,17 +48,17 @@ def emit(df: DataFrame, keys: Sequence[str], scope: str, *rules: Column) -> Data
 def unit_rule_set() -> Column:
     u = F.col("voltage_unit")
     return _rules(
-        _flag(filled(u) & ~u.isin("P-P", "P-N"), "R1", "voltage_unit", u, F.concat(F.lit("voltage_unit invalid: "), quoted(u))),
-        _flag(~filled(u), "R1", "voltage_unit", None, F.lit("missing voltage_unit")),
+        _flag(filled(u) & ~u.isin("P-P", "P-N"), "R1", "voltage_unit", u, F.concat(F.lit("unknown voltage_unit: "), quoted(u))),
+        _flag(~filled(u), "R1", "voltage_unit", None, F.lit("voltage_unit is not given")),
     )
 
 
 def range_rule_set() -> Column:
     none = ~filled(F.col("uv_range")) & ~filled(F.col("ov_range")) & ~filled(F.col("lv_cutoff"))
-    flags = [_flag(none, "R2", None, None, F.lit("no voltage ranges extracted"))]
+    flags = [_flag(none, "R2", None, None, F.lit("no range of voltages is given"))]
     for f in ("uv_range", "ov_range", "asymmetry"):
         c = F.col(f)
-        flags.append(_flag(filled(c) & ~has_digit(c), "R2", f, c, F.concat(F.lit(f"{f} not numeric: "), quoted(c))))
+        flags.append(_flag(filled(c) & ~has_digit(c), "R2", f, c, F.concat(F.lit(f"{f} holds no number: "), quoted(c))))
     return _rules(*flags)
 
 
@@ -67,7 +67,7 @@ def percent_rule_set() -> Column:
     for f in ("uv_threshold_pct", "ov_threshold_pct"):
         c = F.col(f)
         flags.append(
-            _flag(filled(c) & ~rx(strip(c), P.PERCENT), "R3", f, c, F.concat(F.lit(f"{f} not a percentage: "), quoted(c)))
+            _flag(filled(c) & ~rx(strip(c), P.PERCENT), "R3", f, c, F.concat(F.lit(f"{f} is no percentage: "), quoted(c)))
         )
     return _rules(*flags)
 
@@ -75,10 +75,10 @@ def percent_rule_set() -> Column:
 def order_rule_set() -> Column:
     uv, ov = parse_range(F.col("uv_range")), parse_range(F.col("ov_range"))
     lv, hv = parse_range(F.col("lv_cutoff")), parse_range(F.col("hv_cutoff"))
-    clash = F.format_string("UV max (%s) >= OV min (%s) — physically invalid", uv["hi"].cast("string"), ov["lo"].cast("string"))
+    clash = F.format_string("UV max (%s) >= OV min (%s) cannot both hold", uv["hi"].cast("string"), ov["lo"].cast("string"))
     return _rules(
         _flag(uv["hi"] >= ov["lo"], "R4", "uv_range", None, clash),
-        _flag(lv["hi"] >= hv["lo"], "R5", "lv_cutoff", None, F.lit("LV cutoff >= HV cutoff — physically invalid")),
+        _flag(lv["hi"] >= hv["lo"], "R5", "lv_cutoff", None, F.lit("LV cutoff >= HV cutoff cannot both hold")),
     )
 
 
@@ -87,7 +87,7 @@ def delay_rule_set() -> Column:
     for f in ("on_delay", "off_delay"):
         c = F.col(f)
         bad = filled(c) & ~has_time_unit(c) & has_digit(c)
-        flags.append(_flag(bad, "R6", f, c, F.concat(F.lit(f"{f} missing time unit: "), quoted(c))))
+        flags.append(_flag(bad, "R6", f, c, F.concat(F.lit(f"{f} has no unit of time: "), quoted(c))))
     return _rules(*flags)
 
 
@@ -136,14 +136,14 @@ def peer_consistency(specs: DataFrame, keys: Sequence[str] = SPEC_KEYS, within:
     rows = specs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").filter(filled(F.col("pct")) & filled(F.col("rng")))
     group = [*within, "field", "pct"]
     differing = rows.groupBy(*group).agg(F.min("rng").alias("lo"), F.max("rng").alias("hi")).filter("lo <> hi").select(*group)
-    message = F.format_string("cross-check: variants sharing %s have differing %s — verify", F.col("pct"), F.col("field"))
+    message = F.format_string("variants with the same %s differ in %s", F.col("pct"), F.col("field"))
     return rows.join(differing, group, "left_semi").select(
         *keys, F.lit("spec").alias("scope"), F.lit("R7").alias("rule_id"), "field", F.col("pct").alias("detail"), message.alias("message")
     )
 
 
 def no_steps(variants: DataFrame, steps: DataFrame, keys: Sequence[str] = SPEC_KEYS, on: Sequence[str] = ("variant",)) -> DataFrame:
-    rule = _rules(_flag(F.lit(True), "NO_STEPS", None, None, F.lit("too few steps — extraction unreliable")))
+    rule = _rules(_flag(F.lit(True), "NO_STEPS", None, None, F.lit("no steps were read")))
     return emit(variants.join(steps.select(*on).distinct(), list(on), "left_anti"), keys, "spec", rule)
 
 
@@ -168,9 +168,9 @@ def step_rule_set() -> Column:
     v = F.coalesce("voltages_pn", F.array().cast("array<string>"))
     bad = F.get(F.filter(v, lambda x: ~x.rlike(r"\d")), 0)
     return _rules(
-        _flag(~filled(strip(F.col("step_name"))), "R8", "step_name", None, F.lit("missing step_name")),
-        _flag(~text_digits(v), "R8", "voltages_pn", None, F.lit("missing valid voltages_pn")),
-        _flag(bad.isNotNull(), "R8", "voltages_pn", bad, F.concat(F.lit("voltage_pn missing number: "), quoted(bad))),
+        _flag(~filled(strip(F.col("step_name"))), "R8", "step_name", None, F.lit("step_name is not given")),
+        _flag(~text_digits(v), "R8", "voltages_pn", None, F.lit("voltages_pn holds no number")),
+        _flag(bad.isNotNull(), "R8", "voltages_pn", bad, F.concat(F.lit("an entry of voltages_pn holds no number: "), quoted(bad))),
     )
 
 
@@ -195,10 +195,10 @@ def voltage_rule_set() -> Column:
         dropped,
         lambda x: F.struct(
             F.lit("VOLTAGE").alias("rule_id"), F.lit("voltages_pn").alias("field"), x.alias("detail"),
-            F.concat(F.lit("invalid voltage entry: "), x).alias("message"),
+            F.concat(F.lit("no voltage: "), x).alias("message"),
         ),
     )
-    few = F.concat(F.lit("incomplete voltages extracted ("), left.cast("string"), F.lit("/3)"))
+    few = F.concat(F.lit("only some voltages are given ("), left.cast("string"), F.lit("/3)"))
     return F.concat(
         removed,
         _rules(
@@ -242,7 +242,7 @@ def led_rule_set() -> Column:
     return F.transform(
         missing,
         lambda e: F.struct(
-            F.lit("LED").alias("rule_id"), F.lit("leds").alias("field"), e.alias("detail"), F.concat(e, F.lit(" LED missing")).alias("message")
+            F.lit("LED").alias("rule_id"), F.lit("leds").alias("field"), e.alias("detail"), F.concat(e, F.lit(" LED is not listed")).alias("message")
         ),
     )
 
@@ -259,7 +259,7 @@ def step_delay_rule_set(strict_units: bool = False) -> Column:
         v = F.lower(strip(c))
         unit = has_time_unit(v) if strict_units else v.rlike(f"{P.TIME_WORDS}|s")
         spread = v.rlike("-|to")
-        flags.append(_flag(filled(c) & ~unit, "DELAY", f, c, F.concat(F.lit(f"{f} missing time unit: "), quoted(c))))
+        flags.append(_flag(filled(c) & ~unit, "DELAY", f, c, F.concat(F.lit(f"{f} has no unit of time: "), quoted(c))))
         flags.append(_flag(filled(c) & unit & ~spread & ~has_digit(v), "DELAY", f, c, F.lit(f"{f} format suspicious")))
     return _rules(*flags)
 

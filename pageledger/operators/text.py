@@ -96,7 +96,7 @@ def dominant_name(pages: DataFrame, fallback: Column | str = "UNKNOWN", keys: Se
     by_code = _best(identifier_counts(pages, keys), keys, weak).select(*keys, F.col("name").alias("_code"))
     docs = pages.select(*keys).distinct().join(by_code, keys, "left")
     nameless = pages.join(by_code, keys, "left_anti")
-    words = _codes(nameless, "[A-Z]{3,}", keys).filter(~F.col("token").isin(P.STOP_WORDS))
+    words = _codes(nameless, "[A-Z]{3,}", keys).filter(~F.col("token").isin(*P.STOP_WORDS))
     by_word = _best(_count_tokens(words, keys), keys, F.lit(0)).filter("n >= 2").select(*keys, F.col("name").alias("_word"))
     other = F.lit(fallback) if isinstance(fallback, str) else fallback
     return docs.join(by_word, keys, "left").select(*keys, F.coalesce("_code", "_word", other).alias("machine"))

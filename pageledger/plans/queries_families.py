@@ -36,9 +36,9 @@ register(
     "fam_05_parse_rows", f"WITH {PARSE} SELECT family, table_idx, row_idx, parameter, setting, array_to_string(vals, '|') AS vals FROM fr", TR
 )(lambda fx: FA.parse_tables(fx.func_tables, fx.func_rows)[1].withColumn("vals", F.array_join("vals", "|")))
 FLAG = "SELECT {t}family, {t}table_idx, '{r}' AS rule_id, {d} AS detail, {m} AS message, {i} AS info"
-PAD = FLAG.format(t="", r="pad_trim_ban", d="parameter", i="false", m="concat('[', title, '] row ''', parameter, '''/''', setting, ''': ', CAST(len(vals) AS VARCHAR), ' values vs ', CAST(len(cols) AS VARCHAR), ' columns → table unverified')") + " FROM bd"
+PAD = FLAG.format(t="", r="pad_trim_ban", d="parameter", i="false", m="concat('[', title, '] row ''', parameter, '''/''', setting, ''': ', CAST(len(vals) AS VARCHAR), ' values vs ', CAST(len(cols) AS VARCHAR), ' columns, so the table is not verified')") + " FROM bd"
 register("fam_05_pad_trim_flags", f"WITH {PARSE} {PAD}", TR)(lambda fx: FA.parse_tables(fx.func_tables, fx.func_rows)[2])
-TORN = FLAG.format(t="r.", r="torn_row", d="trim(parameter)", i="false", m="concat('[', title, '] probable torn row: parameter=''', trim(parameter), ''' has no text label')") + """ FROM fx_func_rows r JOIN fx_func_tables t USING (family, table_idx)
+TORN = FLAG.format(t="r.", r="torn_row", d="trim(parameter)", i="false", m="concat('[', title, '] the row looks torn: parameter ''', trim(parameter), ''' names nothing')") + """ FROM fx_func_rows r JOIN fx_func_tables t USING (family, table_idx)
  WHERE kind = 'spec' AND trim(parameter) <> '' AND length(regexp_replace(parameter, '[^A-Za-z]', '', 'g')) < 2"""
 register("fam_06_torn_rows", TORN, TR)(lambda fx: FA.torn_rows(fx.func_tables, fx.func_rows))
 
@@ -74,10 +74,10 @@ def _stopped(rule, names, text, n):
 
 HEADER_FLAGS = " UNION ALL ".join(
     [
-        _stopped("unreadable_header", "ph", "'unreadable column headers ', {n}, ' → unverified, excluded from workbook'", 0),
-        _stopped("non_model_column", "nm", "'columns appear to be voltage values not model codes ', {n}, ' → reclassified aux'", 1),
-        _stopped("value_fragment", "vf", "'value-fragment column headers ', {n}, ' → unverified, excluded from workbook'", 2),
-        "SELECT family, table_idx, 'split_header', c, concat('[', title, '] probable split header: ''', c, ''''), false FROM (SELECT family, table_idx, title, unnest(sp) AS c FROM ck WHERE fail = 3)",
+        _stopped("unreadable_header", "ph", "'headers that cannot be read: ', {n}, ', so the table is not verified'", 0),
+        _stopped("non_model_column", "nm", "'headers that are voltages: ', {n}, ', so the table is auxiliary'", 1),
+        _stopped("value_fragment", "vf", "'headers cut from values: ', {n}, ', so the table is not verified'", 2),
+        "SELECT family, table_idx, 'split_header', c, concat('[', title, '] the header looks split: ''', c, ''''), false FROM (SELECT family, table_idx, title, unnest(sp) AS c FROM ck WHERE fail = 3)",
     ]
 )
 register("fam_07_header_flags", f"WITH {CHAIN} {HEADER_FLAGS}", TR)(
@@ -89,7 +89,7 @@ VOTE = f"""{CHAIN}, vo AS (SELECT family, title_submachines AS ts, CASE WHEN tit
  tm AS (SELECT family, p AS tpv FROM (SELECT family, p, count(*) AS n, min(i) AS f FROM tp GROUP BY ALL) y QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, f) = 1),
  cp AS (SELECT family, table_idx, title, list_distinct(list_transform(cols, lambda c: {PFX.format(c='c')})) AS ps FROM ck WHERE kind = 'spec' AND len(cols) > 0)"""
 VOTE_FLAGS = f"""SELECT family, CAST(NULL AS INT) AS table_idx, 'cross_source_prefix_vote' AS rule_id, CAST(NULL AS VARCHAR) AS detail,
- 'INTEGRITY CHECK COULD NOT RUN: cross_source_prefix_vote (title_submachines unknown — run full extraction to generate meta)' AS message, false AS info FROM vo WHERE outcome = 'could_not_run'
+ 'the vote on prefixes needs the title list, which is unknown' AS message, false AS info FROM vo WHERE outcome = 'could_not_run'
 UNION ALL SELECT cp.family, table_idx, 'cross_source_prefix_vote', ps[1], concat('[', title, '] uniform OCR prefix mismatch: table=''', ps[1], '*'' vs title=''', tpv, '*'' (flag only — do not auto-correct)'), false
  FROM cp JOIN tm USING (family) WHERE len(ps) = 1 AND ps[1] <> '' AND tpv <> '' AND ps[1] <> tpv"""
 
@@ -104,8 +104,8 @@ COVER = f"""{VOTE}, kn AS (SELECT family, title_submachines AS ts FROM fx_famili
  cv AS (SELECT family, 'title' AS side, code FROM ti ANTI JOIN ta USING (family, code) UNION ALL SELECT family, 'table', code FROM ta ANTI JOIN ti USING (family, code))"""
 register("fam_09_title_coverage", f"WITH {COVER} SELECT * FROM cv", TRF)(lambda fx: FA.title_coverage(checked(fx).tables, fx.families))
 COVER_FLAGS = """SELECT family, CAST(NULL AS INT) AS table_idx, 'title_coverage' AS rule_id, side AS detail,
- CASE WHEN side = 'title' THEN concat('INFO: title subset coverage: [''', string_agg(code, ''', ''' ORDER BY code), '''] in title but not in any spec table (may appear only in Setting text — expected)')
-  ELSE concat('INFO: table coverage wider than title: [''', string_agg(code, ''', ''' ORDER BY code), ''']') END AS message, true AS info FROM cv GROUP BY family, side"""
+ CASE WHEN side = 'title' THEN concat('only in the title: [''', string_agg(code, ''', ''' ORDER BY code), '''] stand in no spec table')
+  ELSE concat('only in tables: [''', string_agg(code, ''', ''' ORDER BY code), ''']') END AS message, true AS info FROM cv GROUP BY family, side"""
 register("fam_09_coverage_flags", f"WITH {COVER} {COVER_FLAGS}", TRF)(
     lambda fx: FA.coverage_flags(FA.title_coverage(checked(fx).tables, fx.families))
 )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pageledger.functions import patterns as P
 from pageledger.functions.text import SPACE_CHARS
-from pageledger.operators import pageclass as G, segment as S, text as T
+from pageledger.operators import pageclass as G, quality as Q, segment as S, text as T
 from pageledger.plans.queries_text import REQUESTED_SQL, _SCOPE, _tokens_sql, part_names, requested
 from pageledger.plans.registry import lit, register, sql_lines, sql_strip, sql_words
 
@@ -124,6 +124,20 @@ register(
 SELECT doc_id, page_num, CAST(rank AS INT) AS rank, CAST((rank - 1) // 8 AS INT) AS chunk_idx FROM n WHERE rank <= CASE WHEN n <= 8 THEN n WHEN n <= 20 THEN 10 ELSE 12 END""",
     "marker_pages",
 )(lambda fx: G.budget_pages(G.spec_pages(fx.stored("marker_pages")), "spec", keys=["doc_id"]))
+BUDGETED = """n AS (SELECT variant, page_num, row_number() OVER (PARTITION BY variant ORDER BY page_num) AS rank, count(*) OVER (PARTITION BY variant) AS n FROM fx_proc_pages),
+ sp AS (SELECT variant, string_agg(page_num, ',' ORDER BY page_num) AS p FROM n WHERE rank <= CASE WHEN n <= 8 THEN n WHEN n <= 20 THEN 10 ELSE 12 END GROUP BY variant),
+ pp AS (SELECT variant, string_agg(page_num, ',' ORDER BY page_num) AS p FROM n WHERE rank <= CASE WHEN n <= 10 THEN n WHEN n <= 20 THEN 12 ELSE 16 END GROUP BY variant)"""
+register(
+    "dq_18_audit",
+    f"""WITH {BUDGETED}, st AS (SELECT variant, count(*) AS c FROM fx_steps GROUP BY variant), rp AS (SELECT DISTINCT variant FROM fx_specs WHERE ref_voltage IS NOT NULL)
+SELECT v.variant, coalesce(sp.p, '') AS spec_pages, coalesce(pp.p, '') AS proc_pages, rp.variant IS NOT NULL AS raw_specs_present, coalesce(st.c, 0) AS raw_step_count
+FROM fx_variants v LEFT JOIN sp ON v.variant = sp.variant LEFT JOIN pp ON v.variant = pp.variant LEFT JOIN st ON v.variant = st.variant LEFT JOIN rp ON v.variant = rp.variant""",
+    ("proc_pages", "steps", "specs", "variants"),
+)(
+    lambda fx: Q.audit(
+        fx.variants, G.budget_pages(part_pages(fx), "spec"), G.budget_pages(part_pages(fx), "procedure"), fx.specs.filter("ref_voltage IS NOT NULL"), fx.steps, ["variant"]
+    ).withColumns({c: F.array_join(c, ",") for c in ("spec_pages", "proc_pages")})
+)
 CALL = f"""{score_sql('fx_manual')}, tpg AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS rank FROM tp WHERE is_table QUALIFY rank <= 8),
  tr AS (SELECT DISTINCT l_orderkey AS doc_id, concat('PV', lpad(CAST(l_partkey AS VARCHAR), 6, '0')) AS variant FROM lineitem), {TAGS.replace('{fx}', 'fx_manual')},
  pr AS (SELECT tr.doc_id, variant, page_num, row_number() OVER (PARTITION BY tr.doc_id, variant ORDER BY page_num) AS rank FROM tr JOIN tg ON tr.doc_id = tg.doc_id WHERE is_procedure),
@@ -166,6 +180,22 @@ def merged(fx, name="manual"):
 
 
 register("seg_03_merge_short_blocks")(lambda fx: merged(fx)[0])
+
+
+def sized_blocks(fx):
+    """Every page of a variant's procedure a block, of some size, with or without a table."""
+    return fx.proc_pages.select(F.col("variant").alias("doc_id"), F.col("page_num").alias("block_idx"), F.expr("CAST(300 * (1 + page_num * 7 % 11) AS BIGINT) AS n_chars"), F.expr("page_num % 5 = 0 AS spec"))
+
+
+# walked block by block: a short block after a short one that was not absorbed itself is absorbed
+register(
+    "seg_03_merge_sized_blocks",
+    f"""WITH RECURSIVE b AS (SELECT variant AS doc_id, page_num AS block_idx, 300 * (1 + page_num * 7 % 11) < {P.MIN_MERGE_SIZE} AND page_num % 5 <> 0 AS short FROM fx_proc_pages),
+ walk AS (SELECT doc_id, block_idx, short, false AS absorbed, 1 AS merged_idx FROM b WHERE block_idx = 1
+  UNION ALL SELECT b.doc_id, b.block_idx, b.short, w.short AND NOT w.absorbed, w.merged_idx + CASE WHEN w.short AND NOT w.absorbed THEN 0 ELSE 1 END FROM walk w JOIN b ON b.doc_id = w.doc_id AND b.block_idx = w.block_idx + 1)
+SELECT doc_id, block_idx, merged_idx FROM walk""",
+    "proc_pages",
+)(lambda fx: S.merge_short_blocks(sized_blocks(fx), sized_blocks(fx).filter("spec").select("doc_id", "block_idx")))
 register("seg_02_block_pages")(lambda fx: S.block_pages(fx.stored("manual"), S.segment_blocks(fx.stored("manual"))[1]))
 # every page a block with a placeholder name
 register(
@@ -216,15 +246,25 @@ register(
     f"WITH {FAN}, {REQUESTED_SQL}, rh AS (SELECT doc_id, upper(machine) || '_A' AS machine FROM rq WHERE {HALF}) SELECT doc_id, block_idx, machine, true AS is_scope FROM fm SEMI JOIN f2 USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM rh) OR (doc_id, machine) IN (SELECT (doc_id, machine) FROM rh)",
     "manual",
 )(lambda fx: S.scope_fanout(fx.stored("manual"), requested(fx).filter(HALF).withColumn("machine", F.concat("machine", F.lit("_a")))))
-register("seg_08_density_split_manual")(lambda fx: S.density_split(fx.stored("manual")))
 DETECT = _tokens_sql("fx_manual", "[A-Z][A-Z0-9]{3,9}", ", contains(text, token) AS verbatim").replace("GROUP BY doc_id, token", "GROUP BY doc_id, page_num, token").replace("SELECT doc_id, token, count", "SELECT doc_id, page_num, token, count").replace(
     "FROM t GROUP", "FROM t WHERE regexp_matches(token, '[0-9]') GROUP"
 )
+DETECTED = """kk AS (SELECT *, n >= 3 AS strong FROM c WHERE n >= 3 OR verbatim), dr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY strong DESC, n DESC, length(token), f) AS rank, bool_or(strong) OVER (PARTITION BY doc_id, page_num) AS anys FROM kk),
+ de AS (SELECT doc_id, page_num AS block_idx, token AS variant FROM dr WHERE rank <= 8 AND (strong OR NOT anys))"""
+register(
+    "seg_08_density_split_manual",
+    f"""WITH RECURSIVE {DETECT}, {DETECTED}, vs AS (SELECT doc_id, block_idx AS page_num, list_sort(list(DISTINCT variant)) AS v FROM de GROUP BY ALL),
+ pg AS (SELECT m.doc_id, m.page_num, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.page_num) AS n, coalesce(v, CAST([] AS VARCHAR[])) AS v FROM fx_manual m LEFT JOIN vs ON m.doc_id = vs.doc_id AND m.page_num = vs.page_num),
+ walk AS (SELECT doc_id, page_num, n, list_sort(v) AS seen, n AS first, 1 AS group_no FROM pg WHERE n = 1
+  UNION ALL SELECT doc_id, page_num, n, CASE WHEN split THEN v ELSE list_sort(list_distinct(list_concat(seen, v))) END, CASE WHEN split THEN n ELSE first END, group_no + CASE WHEN split THEN 1 ELSE 0 END
+   FROM (SELECT p.*, w.seen, w.first, w.group_no, len(p.v) >= 2 AND p.v <> w.seen AND p.n - w.first >= 2 AS split FROM walk w JOIN pg p ON p.doc_id = w.doc_id AND p.n = w.n + 1) x)
+SELECT doc_id, page_num, group_no FROM walk""",
+    "manual",
+)(lambda fx: S.density_split(fx.stored("manual")))
 register(
     "seg_09_select_variants",
     f"""WITH {DETECT}, nb AS ({NAMED} fx_manual), {REQUESTED_SQL}, rv AS (SELECT doc_id, upper(machine) AS machine, CASE WHEN doc_id % 4 = 0 THEN concat('MAG03D', CAST(100 + doc_id % 40 AS VARCHAR)) END AS variant FROM rq WHERE {HALF}),
- kk AS (SELECT *, n >= 3 AS strong FROM c WHERE n >= 3 OR verbatim), dr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY strong DESC, n DESC, length(token), f) AS rank, bool_or(strong) OVER (PARTITION BY doc_id, page_num) AS anys FROM kk),
- de AS (SELECT doc_id, page_num AS block_idx, token AS variant FROM dr WHERE rank <= 8 AND (strong OR NOT anys)),
+ {DETECTED},
  nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) AS no FROM nb),
  op AS (SELECT * FROM nn WHERE (doc_id, machine) IN (SELECT (doc_id, machine) FROM rv) OR (doc_id NOT IN (SELECT doc_id FROM rv) AND no <= 5) QUALIFY row_number() OVER (PARTITION BY doc_id, machine ORDER BY block_idx) = 1),
  pw AS (SELECT DISTINCT doc_id, page_num AS block_idx, unnest(regexp_extract_all(upper(text), '[\\p{{L}}\\p{{N}}_]+')) AS variant FROM fx_manual),

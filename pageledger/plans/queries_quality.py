@@ -38,23 +38,23 @@ def flags_sql(rows, keys="machine, variant", scope="spec", source="fx_specs") ->
 
 
 R1 = [
-    (f"{full('voltage_unit')} AND voltage_unit NOT IN ('P-P', 'P-N')", "R1", "voltage_unit", "voltage_unit", "concat('voltage_unit invalid: ''', voltage_unit, '''')"),
-    (f"NOT {full('voltage_unit')}", "R1", "voltage_unit", None, "'missing voltage_unit'"),
+    (f"{full('voltage_unit')} AND voltage_unit NOT IN ('P-P', 'P-N')", "R1", "voltage_unit", "voltage_unit", "concat('unknown voltage_unit: ''', voltage_unit, '''')"),
+    (f"NOT {full('voltage_unit')}", "R1", "voltage_unit", None, "'voltage_unit is not given'"),
 ]
-R2 = [(f"NOT {full('uv_range')} AND NOT {full('ov_range')} AND NOT {full('lv_cutoff')}", "R2", None, None, "'no voltage ranges extracted'")] + [
-    (f"{full(f)} AND NOT {digit(f)}", "R2", f, f, f"concat('{f} not numeric: ''', {f}, '''')") for f in ("uv_range", "ov_range", "asymmetry")
+R2 = [(f"NOT {full('uv_range')} AND NOT {full('ov_range')} AND NOT {full('lv_cutoff')}", "R2", None, None, "'no range of voltages is given'")] + [
+    (f"{full(f)} AND NOT {digit(f)}", "R2", f, f, f"concat('{f} holds no number: ''', {f}, '''')") for f in ("uv_range", "ov_range", "asymmetry")
 ]
 R3 = [
-    (f"{full(f)} AND NOT regexp_matches({sql_strip(f)}, {lit('(?i)' + P.PERCENT)})", "R3", f, f, f"concat('{f} not a percentage: ''', {f}, '''')")
+    (f"{full(f)} AND NOT regexp_matches({sql_strip(f)}, {lit('(?i)' + P.PERCENT)})", "R3", f, f, f"concat('{f} is no percentage: ''', {f}, '''')")
     for f in ("uv_threshold_pct", "ov_threshold_pct")
 ]
 _uv, _ov, _lv, _hv = range_sql("uv_range", "hi"), range_sql("ov_range", "lo"), range_sql("lv_cutoff", "hi"), range_sql("hv_cutoff", "lo")
 R45 = [
-    (f"{_uv} >= {_ov}", "R4", "uv_range", None, f"concat('UV max (', CAST({_uv} AS VARCHAR), ') >= OV min (', CAST({_ov} AS VARCHAR), ') — physically invalid')"),
-    (f"{_lv} >= {_hv}", "R5", "lv_cutoff", None, "'LV cutoff >= HV cutoff — physically invalid'"),
+    (f"{_uv} >= {_ov}", "R4", "uv_range", None, f"concat('UV max (', CAST({_uv} AS VARCHAR), ') >= OV min (', CAST({_ov} AS VARCHAR), ') cannot both hold')"),
+    (f"{_lv} >= {_hv}", "R5", "lv_cutoff", None, "'LV cutoff >= HV cutoff cannot both hold'"),
 ]
 R6 = [
-    (f"{full(f)} AND NOT regexp_matches({f}, {lit(RX)}) AND NOT regexp_matches({f}, {lit(SFX)}) AND {digit(f)}", "R6", f, f, f"concat('{f} missing time unit: ''', {f}, '''')")
+    (f"{full(f)} AND NOT regexp_matches({f}, {lit(RX)}) AND NOT regexp_matches({f}, {lit(SFX)}) AND {digit(f)}", "R6", f, f, f"concat('{f} has no unit of time: ''', {f}, '''')")
     for f in ("on_delay", "off_delay")
 ]
 
@@ -76,23 +76,23 @@ PEERS = """pr AS (SELECT machine, variant, 'uv_range' AS field, uv_threshold_pct
  pk AS (SELECT * FROM pr WHERE length(pct) > 0 AND length(rng) > 0),
  pd AS (SELECT machine, field, pct FROM pk GROUP BY ALL HAVING count(DISTINCT rng) > 1)"""
 PEER_ROWS = """SELECT machine, variant, 'spec' AS scope, 'R7' AS rule_id, field, pct AS detail,
- concat('cross-check: variants sharing ', pct, ' have differing ', field, ' — verify') AS message FROM pk JOIN pd USING (machine, field, pct)"""
+ concat('variants with the same ', pct, ' differ in ', field, '') AS message FROM pk JOIN pd USING (machine, field, pct)"""
 register("dq_07_peer_consistency", f"WITH {PEERS} {PEER_ROWS}", "specs")(lambda fx: Q.peer_consistency(fx.specs))
 
 
 def step_rows(v: str = "voltages_pn"):
     bad = f"list_filter({v}, lambda x: NOT regexp_matches(x, '[0-9]'))"
     return [
-        (f"NOT coalesce(length({sql_strip('step_name')}) > 0, false)", "R8", "step_name", None, "'missing step_name'"),
-        (f"len({bad}) = len({v})", "R8", "voltages_pn", None, "'missing valid voltages_pn'"),
-        (f"len({bad}) > 0", "R8", "voltages_pn", f"{bad}[1]", f"concat('voltage_pn missing number: ''', {bad}[1], '''')"),
+        (f"NOT coalesce(length({sql_strip('step_name')}) > 0, false)", "R8", "step_name", None, "'step_name is not given'"),
+        (f"len({bad}) = len({v})", "R8", "voltages_pn", None, "'voltages_pn holds no number'"),
+        (f"len({bad}) > 0", "R8", "voltages_pn", f"{bad}[1]", f"concat('an entry of voltages_pn holds no number: ''', {bad}[1], '''')"),
     ]
 
 
 STEP = dict(keys="variant, step_idx", scope="step", source="fx_steps")
 register("dq_08_step_rules", flags_sql(step_rows(), **STEP), "steps")(lambda fx: Q.step_rules(fx.steps))
 NO_STEPS = flags_sql(
-    [("variant NOT IN (SELECT variant FROM fx_steps)", "NO_STEPS", None, None, "'too few steps — extraction unreliable'")], source="fx_variants"
+    [("variant NOT IN (SELECT variant FROM fx_steps)", "NO_STEPS", None, None, "'no steps were read'")], source="fx_variants"
 )
 register("dq_09_no_steps", NO_STEPS, ("variants", "steps"))(lambda fx: Q.no_steps(fx.variants, fx.steps))
 SECOND = """SELECT machine, variant, replace(uv_range, '15', '16') AS uv_range, ov_range, CASE WHEN voltage_unit = 'P-N' THEN '200' ELSE ref_voltage END AS ref_voltage,
@@ -126,16 +126,16 @@ register("dq_12_clean_voltages", f"SELECT variant, step_idx, array_to_string({KE
     lambda fx: Q.clean_voltages(fx.steps).select("variant", "step_idx", F.array_join("voltages_pn", "|").alias("voltages_pn"))
 )
 DROPPED = r"""dr AS (SELECT variant, step_idx, unnest(list_filter(voltages_pn, lambda x: NOT (regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)phase\s+angle')))) AS v FROM fx_steps)"""
-VOLT = "SELECT variant, step_idx, 'step' AS scope, 'VOLTAGE' AS rule_id, 'voltages_pn' AS field, v AS detail, concat('invalid voltage entry: ', v) AS message FROM dr\nUNION ALL " + flags_sql(
+VOLT = "SELECT variant, step_idx, 'step' AS scope, 'VOLTAGE' AS rule_id, 'voltages_pn' AS field, v AS detail, concat('no voltage: ', v) AS message FROM dr\nUNION ALL " + flags_sql(
     [
         (f"len({KEEP}) = 0", "VOLTAGE", "voltages_pn", None, "'missing voltages'"),
-        (f"len({KEEP}) BETWEEN 1 AND 2", "VOLTAGE", "voltages_pn", None, f"concat('incomplete voltages extracted (', CAST(len({KEEP}) AS VARCHAR), '/3)')"),
+        (f"len({KEEP}) BETWEEN 1 AND 2", "VOLTAGE", "voltages_pn", None, f"concat('only some voltages are given (', CAST(len({KEEP}) AS VARCHAR), '/3)')"),
     ],
     **STEP,
 )
 register("dq_12_voltage_flags", f"WITH {DROPPED} {VOLT}", "steps")(lambda fx: Q.voltage_flags(fx.steps))
 MISSING = """ml AS (SELECT s.variant, s.step_idx, s.leds, unnest(expected) AS e FROM fx_steps s JOIN le USING (variant))"""
-MISSING_ROWS = """SELECT variant, step_idx, 'step' AS scope, 'LED' AS rule_id, 'leds' AS field, e AS detail, concat(e, ' LED missing') AS message FROM ml
+MISSING_ROWS = """SELECT variant, step_idx, 'step' AS scope, 'LED' AS rule_id, 'leds' AS field, e AS detail, concat(e, ' LED is not listed') AS message FROM ml
  WHERE len(list_filter(leds, lambda x: contains(upper(x), e))) = 0"""
 register("dq_13_missing_leds", f"WITH {LEDS}, {MISSING} {MISSING_ROWS}", ("specs", "steps"))(
     lambda fx: Q.missing_leds(fx.steps, Q.expected_leds(with_leds(fx.specs)))
@@ -146,7 +146,7 @@ def delay_rows(unit: str):
     rows = []
     for f in ("on_delay", "off_delay"):
         u = unit.format(f=f"lower({sql_strip(f)})")
-        rows.append((f"{full(f)} AND NOT ({u})", "DELAY", f, f, f"concat('{f} missing time unit: ''', {f}, '''')"))
+        rows.append((f"{full(f)} AND NOT ({u})", "DELAY", f, f, f"concat('{f} has no unit of time: ''', {f}, '''')"))
         rows.append((f"{full(f)} AND ({u}) AND NOT regexp_matches({f}, '(?i)-|to') AND NOT {digit(f)}", "DELAY", f, f, f"'{f} format suspicious'"))
     return rows
 

@@ -55,6 +55,8 @@ def with_fixtures(uses: tuple[str, ...] | str, sql: str) -> str:
     names = (uses,) if isinstance(uses, str) else uses
     ctes = [f"fx_{n} AS ({fixture_sql('fx_' + n)})" for n in names]
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body[:5].upper() == "WITH ":
         ctes.append(body[5:])
         return "WITH " + ",\n".join(ctes)
