@@ -181,6 +181,12 @@ UNION ALL SELECT concat('gen ', o_orderpriority), o_orderkey, 1, 'y' FROM orders
  CASE WHEN event_id % 4 = 0 THEN EMPTY_ARR ELSE ARR({_EXT}, '_', event_type, '.xlsx'), {_EXT}, '_', event_type, '_V', CAST(event_id % 3 AS STRING), '.xlsx'), {_EXT}, '_', event_type, '_All_CatID.xlsx')) END AS files""",
         "events",
     ),
+    # one run for each user, some records cut short
+    "fx_user_runs": Fixture(
+        """concat('ext_', CAST(user_id AS STRING)) AS extraction_id, concat('user ', CAST(user_id AS STRING)) AS machine, CAST(n % 5 AS INT) AS num_machines, (user_id % 7 = 3) AS broken,
+ CASE WHEN n % 3 = 0 THEN 'completed' ELSE 'no_output' END AS status, CASE WHEN n % 3 = 0 THEN ARR('a.xlsx', 'b.xlsx') ELSE EMPTY_ARR END AS files""",
+        "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
+    ),
     # stored model replies: fenced, with prose around, trailing data, or broken
     "fx_replies": Fixture(
         """user_id AS variant, event_id AS reply_id, CAST(event_id % 3 AS INT) AS chunk_idx,

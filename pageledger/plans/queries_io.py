@@ -48,17 +48,17 @@ register("src_02_read_model_responses", "SELECT reply_id, variant, body FROM fx_
 
 
 def stored_runs(fx):
-    """Run records as JSON, one per line, read back with the run reader's schema."""
+    """A file of several lines for each run, some of them cut short, read back with the run reader."""
     path = folder(fx, "runs")
-    fx.runs.select(
-        "extraction_id", "num_machines", F.col("files").alias("excel_files"), "status", F.array("machine").alias("machines")
-    ).write.json(path)
-    return fx.spark.read.schema(f"{RD.RUN}, _corrupt_record string").json(path).filter("_corrupt_record IS NULL").drop("_corrupt_record")
+    record = F.to_json(F.struct("extraction_id", "num_machines", F.col("files").alias("excel_files"), "status", F.array("machine").alias("machines")), {"pretty": "true"})
+    body = F.when(F.col("broken"), F.left(record, F.length(record) - 3)).otherwise(record)
+    fx.user_runs.select(body.alias("value")).coalesce(1).write.option("maxRecordsPerFile", 1).text(path)
+    return RD.read_runs(fx.spark, path)
 
 
 register(
     "src_03_read_runs",
-    "SELECT extraction_id, num_machines, status, machine AS machines, CAST(len(files) AS INT) AS n_files FROM fx_runs", "runs",
+    "SELECT extraction_id, num_machines, status, machine AS machines, CAST(len(files) AS INT) AS n_files FROM fx_user_runs WHERE NOT broken", "user_runs",
 )(lambda fx: stored_runs(fx).select("extraction_id", "num_machines", "status", F.array_join("machines", "|").alias("machines"), F.size("excel_files").alias("n_files")))
 BODIES = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE concat('{" sm', CAST(o_orderkey % 7 AS STRING), ' ": [', CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '" ab1 ", "", "cd2"' END, '], " ": ["x"]}') END AS body FROM"""
 register(
@@ -75,15 +75,19 @@ SELECT extraction_id, machine, variant, concat(extraction_id, '_', m, CASE WHEN
 
 
 def written_cells(fx):
+    """Many runs written twice, then some of them once more."""
     path = folder(fx, "cells")
-    cells = fx.cells_ref.select(F.lit("ext_1").alias("extraction_id"), F.col("sheet").alias("machine"), F.lit("").alias("variant"), "row_no", "col_no", "value")
-    W.write_cells(cells, path)
-    return fx.spark.read.parquet(path).select("extraction_id", "workbook", "row_no", "col_no", "value")
+    run = F.concat(F.lit("ext_"), (F.col("row_no") % 23).cast("string"))
+    cells = fx.cells_ref.select(run.alias("extraction_id"), F.col("sheet").alias("machine"), F.lit("").alias("variant"), "row_no", "col_no", "value")
+    for part in (cells, cells, cells.filter("row_no % 23 < 5")):
+        W.write_cells(part, path)
+    return fx.spark.read.schema("workbook string, row_no bigint, col_no int, value string, extraction_id string").parquet(path).select("extraction_id", "workbook", "row_no", "col_no", "value")
 
 
 register(
     "snk_01_write_cells",
-    "SELECT 'ext_1' AS extraction_id, concat('ext_1_', replace(sheet, ' ', '_'), '.xlsx') AS workbook, row_no, col_no, value FROM fx_cells_ref", "cells_ref",
+    """SELECT concat('ext_', CAST(row_no % 23 AS VARCHAR)) AS extraction_id, concat('ext_', CAST(row_no % 23 AS VARCHAR), '_', replace(sheet, ' ', '_'), '.xlsx') AS workbook, row_no, col_no, value FROM fx_cells_ref""",
+    "cells_ref",
 )(written_cells)
 
 
@@ -110,7 +114,9 @@ register(
 
 def written_runs(fx):
     path = folder(fx, "records")
-    W.write_run(fx.runs.withColumn("error", F.when(F.col("status") == "failed", "broken")).drop("status"), path)
+    runs = fx.runs.withColumn("error", F.when(F.col("status") == "failed", "broken")).drop("status")
+    for part in (runs.filter("num_machines = 0"), runs, runs):
+        W.write_run(part, path)
     return fx.spark.read.parquet(path).select("extraction_id", "status")
 
 
@@ -125,13 +131,16 @@ def ingested(fx):
     landing, out, checkpoint = folder(fx, "landing"), folder(fx, "pages"), folder(fx, "checkpoint")
 
     def place(batches):
-        from pathlib import Path
+        from pyarrow.fs import FileSystem
 
+        fs, base = FileSystem.from_uri(landing)
+        fs.create_dir(base)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                target = Path(landing.removeprefix("file:")) / path.rsplit("/", 1)[-1]
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_bytes(content)
+                name = path.rsplit("/", 1)[-1]
+                with fs.open_output_stream(f"{base}/.{name}") as f:
+                    f.write(content)
+                fs.move(f"{base}/.{name}", f"{base}/{name}")
             yield batch[["path"]]
 
     bundle_files(fx).mapInPandas(place, "path string").write.format("noop").mode("overwrite").save()

@@ -37,9 +37,10 @@ def family_names(families: DataFrame) -> DataFrame:
     )
 
 
-def write_cells(cells: DataFrame, path: str, mode: str = "append") -> None:
-    """Cells partitioned by run; the workbook stays a column, so no run makes thousands of tiny partitions."""
-    workbook_names(cells).write.mode(mode).partitionBy("extraction_id").parquet(path)
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Cells partitioned by run; the workbook stays a column, so no run makes thousands of tiny partitions. Runs that are written again
+    replace what they wrote before, others stay."""
+    workbook_names(cells).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("extraction_id").parquet(path)
 
 
 def response_cache(replies: DataFrame, families: DataFrame) -> DataFrame:
@@ -66,4 +67,9 @@ def run_records(runs: DataFrame) -> DataFrame:
 
 
 def write_run(runs: DataFrame, path: str) -> None:
+    """Append the records of runs that are not recorded yet, so a repeated write adds nothing."""
+    spark = runs.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        runs = runs.join(spark.read.parquet(path).select("extraction_id"), "extraction_id", "left_anti")
     run_records(runs).write.mode("append").parquet(path)
