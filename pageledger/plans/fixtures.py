@@ -120,8 +120,9 @@ FIXTURES: dict[str, Fixture] = {
         """SELECT p_brand AS machine, concat('PV', lpad(CAST(p_partkey AS STRING), 6, '0')) AS variant FROM part
 UNION ALL SELECT concat('Supplier#', CAST(s_nationkey AS STRING)) AS machine, concat('SV', lpad(CAST(s_suppkey AS STRING), 6, '0')) AS variant FROM supplier""",
     ),
-    "fx_doc_pages": Fixture("source AS doc_id, doc_id AS page_num, text", "documents"),
-    "fx_conv_pages": Fixture("conv_id AS doc_id, turn + 1 AS page_num, text", "conversations"),
+    # the corpus with a code and a heading on every page, so that detectors have something to find
+    "fx_doc_pages": Fixture("source AS doc_id, doc_id AS page_num, text || chr(10) || 'For MG' || CAST(100 + doc_id % 9 AS STRING) || 'A product' AS text", "documents"),
+    "fx_conv_pages": Fixture("conv_id AS doc_id, turn + 1 AS page_num, text || ' unit MG' || CAST(100 + turn % 5 AS STRING) || 'A' AS text", "conversations"),
     "fx_grid_cells": Fixture(
         """p_brand AS grid_id, CAST(rn AS INT) AS row_idx, p_type AS param, CAST(1 + s AS INT) AS col_idx,
  CASE WHEN m % 5 = 0 THEN '' WHEN m % 5 = 1 THEN 'NA' ELSE concat(CAST(m AS STRING), ' VAC') END AS value""",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pageledger.functions import patterns as P
 from pageledger.operators import replies as J, steps as S
+from pageledger.plans import procedure as PR
 from pageledger.plans.queries_quality import full
 from pageledger.plans.registry import lit, register
 
@@ -346,3 +347,7 @@ SELECT sp.doc_id, coalesce(ref_voltage, rv) AS ref_voltage, CASE WHEN on_delay I
         "doc_id", "ref_voltage", "on_delay", "uv_range", "ov_range"
     )
 )
+
+# ---- composed ----------------------------------------------------------------------------------------------------------
+register("stp_22_layout_a_chain")(lambda fx: shown(PR.layout_a(fx.steps, fx.proc_pages, names=F.concat(F.lit(r"(?i)\b"), F.col("variant"), F.lit(r"\b")))))
+register("stp_23_layout_b_chain")(lambda fx: shown(PR.layout_b(fx.steps_b, fx.proc_pages)))
