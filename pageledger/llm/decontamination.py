@@ -6,7 +6,7 @@ diagonal of a document and an item are gathered; then the words behind the place
 the item by one value throughout. Documents that match enough of an item with consistent slots are contaminated.
 
 Defined results: null and empty texts, and items shorter than a window, match nothing. Rows without doc_id or item_id take no part. Repeated rows with one doc_id or
-item_id count as one (any of equal texts, else the last by text). Ties between diagonals go to the one with more windows, then the earlier. Other columns
+item_id count as one (any of equal texts, else the last by text), items with equal texts as the one with the smallest item_id. Ties between diagonals go to the one with more windows, then the earlier. Other columns
 do not matter. Empty tables give an empty table.
 """
 
@@ -67,10 +67,15 @@ def one_row_each(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("text").alias("text"))
 
 
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """``item_id, text``: items with the same text count as the one with the smallest item_id, so copies in the benchmark do not multiply matches."""
+    return one_row_each(benchmark.select("item_id", "text"), "item_id").groupBy("text").agg(F.min("item_id").alias("item_id"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, diag, lo, hi, n_windows, item_windows``: the best diagonal of each document and item with enough matching windows."""
-    items = one_row_each(benchmark.select("item_id", "text"), "item_id")
-    own = materialize(windows(items, "item_id").withColumnRenamed("pos", "item_pos"))
+    # of equal windows of an item the first counts, so each window of a document meets an item once
+    own = materialize(windows(distinct_items(benchmark), "item_id").groupBy("item_id", "h").agg(F.min("pos").alias("item_pos")))
     total = own.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     found = windows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id").join(own, "h")
     by_diagonal = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diag")).agg(
@@ -83,7 +88,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, first_word, n_windows, item_windows, n_slots, verbatim``: documents that hold an item, as it is or with other numbers, names or units."""
     found = materialize(matches(docs, benchmark))
-    items = one_row_each(benchmark.select("item_id", "text"), "item_id").select("item_id", words(F.col("text")).alias("item_raw"), words(template(F.col("text"))).alias("item_w"))
+    items = distinct_items(benchmark).select("item_id", words(F.col("text")).alias("item_raw"), words(template(F.col("text"))).alias("item_w"))
     texts = one_row_each(docs.select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     texts = texts.select("doc_id", words(F.col("text")).alias("raw"), words(template(F.col("text"))).alias("w"))
     size = F.col("hi") - F.col("lo") + WINDOW
