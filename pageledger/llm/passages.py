@@ -81,7 +81,7 @@ def seeds(docs: DataFrame, size: int = SIZE, functions: int = FUNCTIONS) -> Data
 def chains(found: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, r_doc, diag, lo, hi``: collisions with the first paragraph of a hash, joined along a diagonal; lo and hi are places of the first and last one."""
     first = found.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("r_doc"), F.col("f.pos").alias("r_pos"))
-    met = found.join(first, "h").where("doc_id <> r_doc OR pos <> r_pos").select("doc_id", "pos", "r_doc", (F.col("pos") - F.col("r_pos")).alias("diag")).distinct()
+    met = found.join(first, "h").where("doc_id <> r_doc OR pos <> r_pos").select("doc_id", "pos", "r_doc", (F.col("pos") - F.col("r_pos")).alias("diag"))
     w = Window.partitionBy("doc_id", "r_doc", "diag").orderBy("pos")
     cut = F.coalesce((F.col("pos") - F.lag("pos").over(w) > 2 * size).cast("int"), F.lit(1))
     linked = met.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(w))
