@@ -30,7 +30,7 @@ from pageledger.session import materialize
 #: Bands and coordinates of each: a pair of similarity 0.85 is missed by all bands once in 1.3 million, one of 0.8 once in 13 thousand.
 BANDS, ROWS = 24, 5
 #: Coordinates of the bit sketch, bits of each, and how many standard deviations beyond its mean the distance of a pair at the threshold may be.
-COORDINATES, BITS, SIGMAS = 256, 4, 3.7
+COORDINATES, BITS, SIGMAS = 512, 4, 3.7
 TILE = 1024
 
 
