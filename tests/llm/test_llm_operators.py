@@ -276,6 +276,22 @@ def test_language_model(spark):
     assert 10 ** (-sum(got[i].score for i in out) / n) < 0.5 * 10 ** (-sum(got[i].base_score for i in out) / n)
 
 
+def test_every_context_has_a_restaurant(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(400):
+        w = [rnd.randrange(200)]
+        while len(w) < 60:
+            w.append((w[-1] * 7 + 3) % 200 if rnd.random() < 0.8 else rnd.randrange(200))
+        rows.append((i, " ".join(f"w{x}" for x in w), ""))
+    monkeypatch.setattr(hpylm, "BUCKET_BYTES", 20_000)  # several buckets
+    df, bits = spark.createDataFrame(rows, DOCS), {}
+    for share in (0.0001, 0.01, 1):  # all words frequent, the end token only, none
+        out = [r for r in hpylm.scores(df, share=share).collect() if r.held_out]
+        bits[share] = [-sum(getattr(r, c) for r in out) / sum(r.n_tokens for r in out) for c in ("score", "base_score")]
+    assert all(score < 0.6 * base and abs(score - bits[0.0001][0]) < 0.01 * score for score, base in bits.values())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
