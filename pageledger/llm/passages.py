@@ -7,7 +7,7 @@ function. Two paragraphs of similarity 0.8 collide under one of two functions in
 * Colliding paragraphs are joined to the first one (smallest doc_id and place) of their hash only; collisions on one diagonal of the same two texts make a chain.
 * The words of both sides are fetched and compared: a chain is extended word by word, and accepted if the exact Jaccard similarity of its runs of five words
   is 0.8 or more; otherwise its equal runs are taken one by one.
-* Accepted spans of a text that touch are one passage; a passage of at least ``size`` words is removed, as everything in it stands earlier in some other place.
+* Spans that touch on one diagonal of two texts are joined, and only those of at least ``size`` words count. Counted spans of a text that touch are one passage and removed.
 * Passages and the places they repeat are clustered to components, for the report.
 
 Since each span repeats a strictly smaller (doc_id, place), one copy of everything stays.
@@ -169,13 +169,20 @@ def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.withColumn("head", head).withColumn("i_start", F.last("head", ignorenulls=True).over(w)).drop("head")
 
 
+def full_spans(spans: DataFrame, size: int) -> DataFrame:
+    """Spans that touch on one diagonal of two texts joined; of these the ones of ``size`` words or more."""
+    one = islands(spans.distinct().withColumn("diag", F.col("start") - F.col("r_start")), ["doc_id", "r_doc", "diag"])
+    joined = one.groupBy("doc_id", "r_doc", "diag", "i_start").agg(F.max("end").alias("end")).where(F.col("end") - F.col("i_start") >= size)
+    return joined.select("doc_id", F.col("i_start").alias("start"), "end", "r_doc", (F.col("i_start") - F.col("diag")).alias("r_start"))
+
+
 def repeated_passages(docs: DataFrame, size: int = SIZE, threshold: float = 0.8) -> DataFrame:
     """``doc_id, start_word, end_word, n_words, kept_doc_id, kept_start_word``: the passages to remove, words counted from 0, end excluded."""
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text").groupBy("doc_id").agg(F.max("text").alias("text")) if has_repeats(docs) else docs.where("doc_id IS NOT NULL")
     spans = verify(docs, chains(materialize(seeds(docs, size)), size), size, threshold)
-    joined = islands(spans.distinct(), ["doc_id"])
+    joined = islands(full_spans(spans, size), ["doc_id"])
     longest = F.max(F.struct((F.col("end") - F.col("start")).alias("n"), F.col("r_doc"), F.col("r_start"), F.col("start").alias("s"))).alias("m")
-    passage = joined.groupBy("doc_id", "i_start").agg(F.max("end").alias("end"), longest).where(F.col("end") - F.col("i_start") >= size)
+    passage = joined.groupBy("doc_id", "i_start").agg(F.max("end").alias("end"), longest)
     return passage.select(
         "doc_id", F.col("i_start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("i_start")).alias("n_words"), F.col("m.r_doc").alias("kept_doc_id"), F.col("m.r_start").alias("kept_start_word"),
         F.col("m.n").alias("kept_words"),

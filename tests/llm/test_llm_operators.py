@@ -198,6 +198,13 @@ def test_repeated_passages(spark):
         assert left[min(hits)[0]] == len(rows[min(hits)[0]][1].split())
 
 
+def test_stock_lines_are_no_passage(spark):
+    rnd = random.Random(10)
+    lines = [prose(rnd, 45, 10**6) for _ in range(8)]
+    rows = [(i, " ".join([prose(rnd, 60, 10**6), t, prose(rnd, 60, 10**6)]), "") for i, t in enumerate(lines)] + [(50, " ".join(lines), "")]
+    assert passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect() == []
+
+
 def test_templates(spark):
     bench = spark.createDataFrame([(1, "A train leaves the station with 12 passengers and Maria pays 30 dollars for 12 tickets to the old town."), (2, "short item"), (None, "x"), (3, None)], "item_id long, text string")
     rows = [
