@@ -7,6 +7,8 @@ function. Two paragraphs of similarity 0.8 collide under one of two functions in
 * Colliding paragraphs are joined to the first one (smallest doc_id and place) of their hash only; collisions on one diagonal of the same two texts make a chain.
 * The words of both sides are fetched and compared: a chain is extended word by word, and accepted if the exact Jaccard similarity of its runs of five words
   is 0.8 or more; otherwise its equal runs are taken one by one.
+* Then every run of ``size`` words that has a MinHash in common with another place and lies in no counted span is compared by a hash of all its words: equal ones are joined
+  to the first of them and go the same way. So of an exact repeat nothing is missed, whatever the first place of its MinHash is.
 * Spans that touch on one diagonal of two texts are joined, and only those of at least ``size`` words count. Counted spans of a text that touch are one passage and removed.
 * Passages and the places they repeat are clustered to components, for the report.
 
@@ -88,6 +90,34 @@ def chains(found: DataFrame, size: int = SIZE) -> DataFrame:
     return linked.groupBy("doc_id", "r_doc", "diag", "chain").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).drop("chain")
 
 
+def open_runs(docs: DataFrame, found: DataFrame, spans: DataFrame, size: int = SIZE) -> DataFrame:
+    """``h, doc_id, pos``: hash and place of the runs of ``size`` words whose first MinHash stands elsewhere too and that lie in none of the spans."""
+    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    met = found.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("met"))
+    covered = islands(spans, ["doc_id"]).groupBy("doc_id", "i_start").agg(F.max("end").alias("end")).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("i_start").alias("start"), "end")).alias("covered"))
+    joined = docs.select("doc_id", "text").join(met, "doc_id").join(covered, "doc_id", "left")
+    width = size - SHINGLE + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            words, starts = split_words(pc.ascii_lower(text_column(b)))
+            runs = shingle_hashes(word_hashes(words), SHINGLE)
+            for key, a, e, hashes, spans in zip(b.column("doc_id").to_pylist(), starts[:-1], starts[1:], b.column("met"), b.column("covered").to_pylist()):
+                if e - a < size:
+                    continue
+                own = runs[a : e - SHINGLE + 1]
+                free = np.isin(sliding(own, width, np.minimum), np.asarray(hashes.values).view(np.uint64))
+                for s in spans or []:
+                    free[s["start"] : max(s["end"] - size + 1, s["start"])] = False
+                at = np.flatnonzero(free)
+                acc = np.zeros(len(at), np.uint64)
+                for k in [*range(0, size - SHINGLE, SHINGLE), size - SHINGLE]:
+                    acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + own[at + k])
+                yield pa.RecordBatch.from_arrays([pa.array(acc.view(np.int64)), pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int32))], names=["h", "doc_id", "pos"])
+
+    return joined.mapInArrow(run, "h long, doc_id long, pos int")
+
+
 def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, start, end, words``: the words of the wanted places of each text, joined by blanks."""
     asked = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("asked"))
@@ -179,8 +209,11 @@ def full_spans(spans: DataFrame, size: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, size: int = SIZE, threshold: float = 0.8) -> DataFrame:
     """``doc_id, start_word, end_word, n_words, kept_doc_id, kept_start_word``: the passages to remove, words counted from 0, end excluded."""
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text").groupBy("doc_id").agg(F.max("text").alias("text")) if has_repeats(docs) else docs.where("doc_id IS NOT NULL")
-    spans = verify(docs, chains(materialize(seeds(docs, size)), size), size, threshold)
-    joined = islands(full_spans(spans, size), ["doc_id"])
+    found = materialize(seeds(docs, size))
+    spans = materialize(full_spans(verify(docs, chains(found, size), size, threshold), size))
+    # places of a chain are those of its runs of five words
+    rest = chains(materialize(open_runs(docs, found, spans, size)), size).withColumn("hi", F.col("hi") + F.lit(size - SHINGLE))
+    joined = islands(spans.union(full_spans(verify(docs, rest, size, threshold), size)), ["doc_id"])
     longest = F.max(F.struct((F.col("end") - F.col("start")).alias("n"), F.col("r_doc"), F.col("r_start"), F.col("start").alias("s"))).alias("m")
     passage = joined.groupBy("doc_id", "i_start").agg(F.max("end").alias("end"), longest)
     return passage.select(

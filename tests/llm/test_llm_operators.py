@@ -205,6 +205,16 @@ def test_stock_lines_are_no_passage(spark):
     assert passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect() == []
 
 
+def test_passage_made_of_earlier_phrases(spark):
+    rnd = random.Random(11)
+    passage = prose(rnd, 60, 10**6).split()
+    # every run of five words of the passage stands earlier in a short phrase
+    rows = [(i, " ".join([prose(rnd, 60, 10**6), *passage[at : at + 8], prose(rnd, 60, 10**6)]), "") for i, at in enumerate(range(0, 56, 4))]
+    rows += [(i, " ".join([prose(rnd, 70, 10**6), *passage, prose(rnd, 70, 10**6)]), "") for i in (100, 101, 102)]
+    got = passages.with_components(passages.repeated_passages(spark.createDataFrame(rows, DOCS))).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.kept_doc_id, r.component_doc_id) for r in got} == {(i, 70, 130, 100, 100) for i in (101, 102)}
+
+
 def test_templates(spark):
     bench = spark.createDataFrame([(1, "A train leaves the station with 12 passengers and Maria pays 30 dollars for 12 tickets to the old town."), (2, "short item"), (None, "x"), (3, None)], "item_id long, text string")
     rows = [
