@@ -228,6 +228,29 @@ def test_templates(spark):
     assert {r.doc_id for r in decontamination.decontaminated(docs, bench).collect()} == {2, 3, 4}
 
 
+def test_edited_templates(spark):
+    item = "yesterday the old baker sold 12 loaves of rye bread to a tall sailor who paid with 3 silver coins and then asked for 12 more loaves because his hungry crew was waiting at the pier near town"
+    w = item.split()
+    bad = item.replace("12 loaves", "15 loaves").replace("12 more", "16 more").replace("rye", "oat").replace("silver", "golden")
+    rows = [
+        " ".join([*w[:19], "rather", *w[19:]]),  # a word put in
+        item.replace("3 silver", "30 000 silver"),  # two words for one
+        item.replace("baker", "miller").replace("paid", "came").replace("hungry", "thirsty"),  # changed words
+        " ".join(w[:20]),  # a long run alone
+        f"{bad} {item}",  # an inconsistent copy, then the item
+        bad,
+    ]
+    docs = spark.createDataFrame([(i, f"some words before it. {t} and some after", "") for i, t in enumerate(rows)], DOCS)
+    got = [r.doc_id for r in decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()]
+    assert sorted(got) == [0, 1, 2, 3, 4]
+
+
+def test_items_without_a_window(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet first?"), (2, "1 2 3 5 8 13 21 34 55 89 144"), (3, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "we ask: Who wrote Hamlet first? Nobody", ""), (2, "go 1 2 3 5 8 13 21 34 55 89 144 on", ""), (3, "1 2 3 5 8 13 21 34 55 90 and who wrote Hamlet, two words", "")], DOCS)
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()) == [(1, 1), (2, 2)]
+
+
 def test_best_boundaries_equal_brute_force():
     rnd = np.random.default_rng(2)
     for _ in range(30):
