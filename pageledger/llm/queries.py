@@ -7,8 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from pageledger.llm import decontamination, hpylm, licences, near, packing, passages, quality_rules, token_files, tokens, warc
+from pageledger.llm import decontamination, hpylm, licences, near, packing, passages, quality_rules, role_repair, token_files, tokens, warc
 from pageledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,11 +90,6 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-@query("pipeline")
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 OP1_SQL = """
 WITH p AS (
     SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
@@ -116,3 +110,77 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pitman_yor_scores")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.scores(table(spark, sf_dir, "documents"))
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a short ASCII text, bit by bit."""
+    bits = "list_reduce([xor(c, b)] || [0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: {bits}), 4294967295)"
+
+
+def _edit(top: str, cost: str, letters: str, *turns: str) -> str:
+    out = f"{top}.o"
+    for t in turns:
+        out = f"list_append({out}, {t})"
+    return f"{{'c': {top}.c + {cost}, 'a': {top}.a || '{letters}', 'o': {out}}}"
+
+
+def _least(*choices: str) -> str:
+    return f"list_min([{', '.join(choices)}])"
+
+
+_USER, _ASSISTANT = "'user:'", "'assistant:'"
+#: Tops z (nothing yet), s (system), u (user), t (whole pairs) after inserted turns, and after the row as well.
+_FILLED = f"""z, s, {_least("u", *(_edit(x, "2", "I", _USER) for x in "zst"))} AS u,
+    {_least("t", _edit("u", "2", "I", _ASSISTANT), *(_edit(x, "4", "II", _USER, _ASSISTANT) for x in "zs"))} AS t"""
+_NONE = "{'c': 1000000000, 'a': '', 'o': []::VARCHAR[]}"
+
+
+def _kept(initial: str, tops: str) -> list[str]:
+    return [f"CASE WHEN initial = '{initial}' AND NOT gone THEN {_edit(x, 'extra', 'K', 'own')} ELSE {_NONE} END" for x in tops]
+
+
+def _cast(role: str, tops: str) -> list[str]:
+    turn = f"'{role}:' || text"
+    return [f"CASE WHEN NOT gone THEN {_edit(x, '2 + extra', 'R', turn)} ELSE {_NONE} END" for x in tops]
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE k AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations
+), rows AS (
+    SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE d WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM k WHERE d <> 0
+), n AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM rows)
+), f AS (
+    SELECT *, left(role, 1) AS initial, role || ':' || text AS own,
+        CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault
+    FROM n
+), g AS (SELECT *, fault IN ('b', 'd') AS gone, CASE fault WHEN 't' THEN 1 ELSE 0 END AS extra FROM f
+), w AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS n, {{'c': 0, 'a': '', 'o': []::VARCHAR[]}} AS z, {_NONE} AS s, {_NONE} AS u, {_NONE} AS t FROM conversations
+    UNION ALL
+    SELECT conv_id, n, {_edit("z", "3", "D")}, {_least(_edit("s", "3", "D"), *_kept("s", "z"))}, {_least(_edit("u", "3", "D"), *_kept("u", "zst"), *_cast("user", "zst"))},
+        {_least(_edit("t", "3", "D"), *_kept("a", "u"), *_cast("assistant", "u"))}
+    FROM (SELECT g.conv_id, g.n, g.initial, g.own, g.text, g.gone, g.extra, {_FILLED} FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.n = w.n + 1)
+), e AS (
+    SELECT conv_id, {_least("z", "t")} AS best FROM (SELECT conv_id, {_FILLED} FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1))
+), p AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM g
+), c AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM p GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    best.c::BIGINT AS cost, best.a AS audit, sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op11_role_repair", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
