@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageledger.llm import decontamination, hpylm, licences, near, packing, passages, quality_rules, role_repair, token_files, tokens, warc
+from pageledger.llm import chat_format, decontamination, hpylm, licences, merkle, near, packing, passages, quality_rules, role_repair, token_files, tokens, warc
 from pageledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,3 +185,78 @@ FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 @query("op11_role_repair", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+_FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+def _levels_sql(name: str, first: str) -> str:
+    """All nodes of trees whose leaves are (tree, i, h, n)."""
+    return f"""{name} AS (
+    SELECT tree, 0 AS lvl, i, h, n FROM {first}
+    UNION ALL
+    SELECT tree, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, lvl, i // 3, n
+)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT *, coalesce('1' || source, '0') AS tree, sha256({_FIELDS} || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN {crc32_sql("coalesce(doc_id::VARCHAR, '1')")} % 2 = 0 AND doc_id IS NOT NULL THEN replace(text, chr(10), '') ELSE text END AS told
+    FROM documents
+), l AS (
+    SELECT *, sha256({_FIELDS} || coalesce(strlen(told) || ':' || told, '-')) AS changed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+    FROM d
+), base AS (SELECT tree, i, leaf AS h, n FROM l
+), {_levels_sql("low", "base")}, sub AS (
+    SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1
+), tops AS (SELECT 0 AS tree, i, h, n FROM sub
+), {_levels_sql("high", "tops")}, mine AS (
+    SELECT l.tree, l.i, v.lvl, l.i // (3 ** v.lvl)::BIGINT AS p FROM l JOIN (SELECT DISTINCT tree, lvl FROM low WHERE n > 1) v USING (tree)
+), theirs AS (
+    SELECT s.tree, v.lvl, s.i // (3 ** v.lvl)::BIGINT AS p FROM sub s, (SELECT DISTINCT lvl FROM high WHERE n > 1) v
+), steps AS (
+    SELECT m.tree, m.i, m.lvl, string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < m.p) AS bef, string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > m.p) AS aft
+    FROM mine m JOIN low x ON x.tree = m.tree AND x.lvl = m.lvl AND x.i // 3 = m.p // 3 GROUP BY ALL
+    UNION ALL
+    SELECT l.tree, l.i, 1000 + t.lvl, string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < t.p), string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > t.p)
+    FROM l JOIN theirs t ON t.tree = l.tree JOIN high x ON x.lvl = t.lvl AND x.i // 3 = t.p // 3 GROUP BY l.tree, l.i, t.lvl
+), path AS (SELECT tree, i, coalesce(bef, '') AS bef, coalesce(aft, '') AS aft, row_number() OVER (PARTITION BY tree, i ORDER BY lvl) AS k FROM steps
+), proof AS (SELECT tree, i, string_agg(bef || aft, '' ORDER BY k) AS siblings FROM path GROUP BY tree, i
+), fold AS (
+    SELECT tree, i, changed AS h, 0::BIGINT AS k FROM l
+    UNION ALL
+    SELECT f.tree, f.i, sha256(p.bef || f.h || p.aft), p.k FROM fold f JOIN path p ON p.tree = f.tree AND p.i = f.i AND p.k = f.k + 1
+), ends AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY tree, i ORDER BY k DESC) = 1
+), root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT l.doc_id, l.leaf, sub.h AS subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, e.h AS folded_root, e.h = root AS verified
+FROM l JOIN ends e ON e.tree = l.tree AND e.i = l.i JOIN sub ON sub.tree = l.tree LEFT JOIN proof p ON p.tree = l.tree AND p.i = l.i, root
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+_MARK = "|".join(re.escape(m[0]) + r"\\*" + re.escape(m[1:]) for m in chat_format.ALL_MARKS)
+_ESCAPED = f"length(t) + len(regexp_extract_all(t, '{_MARK}'))"
+OP13_SQL = f"""
+WITH r AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+    SELECT *, {_ESCAPED} + CASE role {" ".join(f"WHEN '{r}' THEN {len(a + b)}" for r, (a, b) in chat_format.MARKS.items())}
+        ELSE {len(chat_format.NAMED + chat_format.NAMED_TEXT + chat_format.NAMED_END)} + length(role) + len(regexp_extract_all(role, '{_MARK}')) END AS chars
+    FROM r
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+    coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op13_chat_format", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted_conversations(spark, table(spark, sf_dir, "conversations"))
