@@ -11,13 +11,11 @@ from pageledger.functions.text import blank_to_null, filled, strip
 from pageledger.operators.families import strip_fences
 
 STRINGS = "array<string>"
-STEP = (
-    "struct<step_name:string,settings:array<string>,voltages_pn:array<string>,voltage_pp:string,leds:array<string>,relay_status:string,"
-    "on_delay:string,off_delay:string,section_break:string>"
-)
+#: Every value of a step keeps the type it has in the reply. Of a repeated name the last counts.
+STEP_COLUMNS = ("step_name", "settings", "voltages_pn", "voltage_pp", "leds", "relay_status", "on_delay", "off_delay", "section_break")
+STEP = f"struct<{','.join(f'{c}:variant' for c in STEP_COLUMNS)}>"
 #: Steps stay JSON texts at first: one item that is no object must not cost the others.
 STEP_REPLY = "struct<test_steps:array<string>,steps:array<string>,procedure:array<string>>"
-STEP_COLUMNS = ("step_name", "settings", "voltages_pn", "voltage_pp", "leds", "relay_status", "on_delay", "off_delay", "section_break")
 
 
 def _none() -> Column:
@@ -61,21 +59,50 @@ def normalize_specs(raw: DataFrame, keys: Sequence[str] = ("doc_id", "variant"))
     return wide.withColumns(out)
 
 
+def as_text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def truthy(v: Column) -> Column:
+    """Whether a JSON value is neither null, false, zero nor empty; NULL where there is no value."""
+    kind, text = F.schema_of_variant(v), as_text(v)
+    return (
+        F.when(v.isNull(), None).when(kind == "VOID", False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "")
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), ~text.isin("{}", "[]")).otherwise(text.cast("double") != 0)
+    )
+
+
+def _is_list(v: Column) -> Column:
+    return F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+
+
+def _texts(v: Column, only_filled: bool = True) -> Column:
+    """The items of a JSON list as texts, those that hold something; no other value is a list."""
+    items = F.when(_is_list(v), F.try_variant_get(v, "$", "array<variant>"))
+    items = F.filter(items, truthy) if only_filled else items
+    return F.transform(items, as_text)
+
+
 def explode_steps(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ordered raw steps of each reply: the first filled list of ``test_steps``, ``steps``, ``procedure``.
 
-    Items that are no objects, or whose name is not a text, are left out; the others keep their place. A section break is anything that is
-    neither null nor false, zero or empty.
+    Items that are no objects, or whose name is not a text, are left out; the others keep their place. What a value is follows from its JSON type: lists
+    are lists, a phase voltage may be one text, a section break is anything that is neither null nor false, zero or empty.
     """
     listed = lambda n: F.when(F.size(f"reply.{n}") > 0, F.col(f"reply.{n}"))
     parsed = parse_replies(replies, STEP_REPLY)
     steps = F.coalesce(listed("test_steps"), listed("steps"), listed("procedure"))
     items = parsed.select(*keys, F.posexplode(steps).alias("pos", "item")).filter(F.startswith("item", F.lit("{")))
-    read = items.withColumn("s", F.from_json("item", STEP)).filter(F.rlike("item", F.lit(r'"step_name"\s*:\s*"')) & filled(F.col("s.step_name")))
-    written = F.rlike("item", F.lit(r'"section_break"\s*:\s*"[^"]'))
-    truthy = ~F.col("s.section_break").isin("false", "0", "0.0", "null", "", "[]", "{}")
-    cols = [F.col(f"s.{c}").alias(c) for c in STEP_COLUMNS if c != "section_break"]
-    return read.select(*keys, (F.col("pos") + 1).alias("step_idx"), *cols, (written | truthy).alias("section_break"))
+    read = items.select(*keys, (F.col("pos") + 1).alias("step_idx"), F.from_json("item", STEP).alias("s"))
+    read = read.filter((F.schema_of_variant("s.step_name") == "STRING") & filled(as_text(F.col("s.step_name"))))
+    value = {c: F.col(f"s.{c}") for c in STEP_COLUMNS}
+    one = F.when(F.schema_of_variant(value["voltage_pp"]) == "STRING", F.array(as_text(value["voltage_pp"])))
+    out = {
+        "step_name": as_text(value["step_name"]), "settings": _texts(value["settings"]), "voltages_pn": _texts(value["voltages_pn"], only_filled=False),
+        "voltage_pp": F.coalesce(_texts(value["voltage_pp"]), one), "leds": _texts(value["leds"]),
+        **{c: F.when(truthy(value[c]), as_text(value[c])) for c in ("relay_status", "on_delay", "off_delay")}, "section_break": truthy(value["section_break"]),
+    }
+    return read.select(*keys, "step_idx", *[c.alias(n) for n, c in out.items()])
 
 
 def round_voltage(v: Column) -> Column:
@@ -101,7 +128,10 @@ def normalize_step(steps: DataFrame) -> DataFrame:
     to_min = F.transform(settings, lambda s: swap(swap(s, "P3 = 0 SEC", "P3 = 0 MIN"), "P3 = 0SEC", "P3 = 0 MIN"))
     minutes = F.exists(settings, lambda s: F.contains(s, F.lit("MIN"))) & F.exists(settings, lambda s: s.rlike("P3 = 0 ?SEC"))
     pp = F.col("voltage_pp")
-    pp_list = F.when(F.startswith(pp, F.lit("[")), F.from_json(pp, STRINGS)).when(filled(strip(pp)), F.array(pp)).otherwise(_none())
+    if dict(steps.dtypes)["voltage_pp"] == STRINGS:
+        pp_list = F.coalesce(pp, _none())
+    else:  # one text, or a list kept as text
+        pp_list = F.when(F.startswith(pp, F.lit("[")), F.from_json(pp, STRINGS)).when(filled(strip(pp)), F.array(pp)).otherwise(_none())
     off = strip(F.col("off_delay"))
     return steps.withColumns(
         {

@@ -197,7 +197,8 @@ UNION ALL SELECT concat('gen ', o_orderpriority), o_orderkey, 1, 'y' FROM orders
     "fx_step_replies": Fixture(
         """event_id AS reply_id,
  concat('{', CASE event_id % 5 WHEN 0 THEN '"test_steps": [], "steps"' WHEN 1 THEN '"test_steps"' WHEN 2 THEN '"procedure"' WHEN 3 THEN '"steps"' ELSE '"other"' END, ': [{"step_name": " ', event_type, ' ", "settings": ["P1 = ', CAST(event_id % 30 AS STRING), ' %"], "voltages_pn": ["RN : ', CAST(event_id % 300 AS STRING), '.', CAST(event_id % 10 AS STRING), '"], "off_delay": "', CAST(event_id % 20 AS STRING), '-16 SEC", "section_break": ', CASE event_id % 6 WHEN 0 THEN '"yes"' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN '0' WHEN 4 THEN 'true' ELSE '""' END, '}, {"step_name": ""}, {"step_name": "Supply OFF", "leds": ["PWR: ON"]}',
- CASE WHEN event_id % 3 = 0 THEN ', "plain", {"step_name": 5}, {"step_name": "last"}' ELSE '' END, ']}') AS body""",
+ CASE WHEN event_id % 3 = 0 THEN ', "plain", {"step_name": 5}, {"step_name": "last"}' ELSE '' END,
+ CASE WHEN event_id % 4 = 1 THEN ', {"step_name": 5, "note": {"step_name": "x"}}, {"step_name": "c", "x": {"section_break": "yes"}, "section_break": false, "voltage_pp": "[RY : 415.7", "settings": ["a", 0, null, 7, false, ""], "leds": "none", "off_delay": 0}, [{"step_name": "y"}]' ELSE '' END, ']}') AS body""",
         "events",
     ),
     "fx_table_replies": Fixture(

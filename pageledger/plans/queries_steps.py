@@ -48,7 +48,8 @@ register(
 RAW = """e5 AS (SELECT event_id AS reply_id, event_type, event_id AS e FROM events),
  rs AS (SELECT reply_id, 1 AS step_idx, concat(' ', event_type, ' ') AS step_name, concat('P1 = ', e % 30, ' %') AS settings, concat('RN : ', e % 300, '.', e % 10) AS voltages_pn, concat(e % 20, '-16 SEC') AS off_delay, e % 2 = 0 AS section_break, '' AS leds FROM e5 WHERE e % 5 <> 4
   UNION ALL SELECT reply_id, 3, 'Supply OFF', '', '', NULL, NULL, 'PWR: ON' FROM e5 WHERE e % 5 <> 4
-  UNION ALL SELECT reply_id, 6, 'last', '', '', NULL, NULL, '' FROM e5 WHERE e % 5 <> 4 AND e % 3 = 0)"""
+  UNION ALL SELECT reply_id, 6, 'last', '', '', NULL, NULL, '' FROM e5 WHERE e % 5 <> 4 AND e % 3 = 0
+  UNION ALL SELECT reply_id, CASE WHEN e % 3 = 0 THEN 8 ELSE 5 END, 'c', 'a|7', '', NULL, false, '' FROM e5 WHERE e % 5 <> 4 AND e % 4 = 1)"""
 _J = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
 register(
     "jsn_04_explode_steps", f"WITH {RAW} SELECT reply_id, step_idx, step_name, settings, voltages_pn, leds, off_delay, section_break FROM rs", "step_replies"
@@ -60,13 +61,13 @@ register(
 register(
     "jsn_05_normalize_step",
     rf"""WITH {RAW}, n AS (SELECT *, try_cast(regexp_extract(voltages_pn, ': (.*)$', 1) AS DOUBLE) AS v FROM rs)
-SELECT reply_id, step_idx, trim(step_name) AS step_name, regexp_replace(regexp_replace(settings, '([0-9]{{2,}})\s*%', '\1%'), '= ([0-9])\s*%', '= \1 %') AS settings,
+SELECT reply_id, step_idx, trim(step_name) AS step_name, CASE WHEN step_name = 'c' THEN '[RY : 415.7' ELSE '' END AS voltage_pp, regexp_replace(regexp_replace(settings, '([0-9]{{2,}})\s*%', '\1%'), '= ([0-9])\s*%', '= \1 %') AS settings,
  CASE WHEN v IS NULL THEN '' WHEN round_even(v, 1) = floor(v) THEN concat('RN : ', CAST(floor(v) AS BIGINT)) ELSE concat('RN : ', CAST(round_even(v, 1) AS VARCHAR)) END AS voltages_pn,
  regexp_replace(off_delay, '^([0-9]{{2,}}-[0-9]+) SEC$', 'OFF in \1 sec') AS off_delay, coalesce(section_break, false) AS section_break FROM n""",
     "step_replies",
 )(
     lambda fx: J.normalize_step(J.explode_steps(fx.step_replies, ["reply_id"])).select(
-        "reply_id", "step_idx", "step_name", _J("settings"), _J("voltages_pn"), "off_delay", "section_break"
+        "reply_id", "step_idx", "step_name", _J("settings"), _J("voltages_pn"), _J("voltage_pp"), "off_delay", "section_break"
     )
 )
 NORM = r"""ns AS (SELECT variant, step_idx, CASE WHEN lower(step_name) IN ('phase fail', 'phase recovery', 'phase reverse', 'phase reverse recovery') THEN list_transform(settings, lambda s: replace(replace(s, 'P2 = 0 MIN', 'P2 = 0 SEC'), 'P3 = 0 MIN', 'P3 = 0 SEC'))
