@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageledger.functions.text import filled, rx, strip
-from pageledger.operators.ordered import following, running_sum, with_running
+from pageledger.operators.ordered import following, running_max, running_sum, with_running
 
 KEYS = ("variant",)
 
@@ -101,12 +101,11 @@ def step_advance(steps: DataFrame, layouts: DataFrame, keys: Sequence[str] = KEY
     is_dip = F.contains(name, F.lit("DIP S/W"))
     is_label = (name != "") & ~functional & F.col("section_break") & ~F.contains(name, F.lit("DIP"))
     ordinary = ~is_dip & ~is_label
-    firsts = s.groupBy(*k).agg(
-        F.min(F.when(is_dip, F.col("step_idx"))).alias("_dip1"), F.min(F.when(ordinary, F.col("step_idx"))).alias("_step1")
-    )
-    s = with_running(s, k, "step_idx", _next=following(trimmed)).join(firsts, k)
+    before = {"_dip_before": running_max(is_dip, inclusive=False), "_step_before": running_max(ordinary, inclusive=False)}
+    s = with_running(s, k, "step_idx", _next=following(trimmed), **before)
+    first = lambda c: ~F.coalesce(c, F.lit(False))
     kind = (
-        F.when(is_dip & in_a & (F.col("step_idx") == F.col("_dip1")), "header_dip").when(is_dip, "dip").when(~is_label, "step").when(trimmed == "supply off", "hidden")
+        F.when(is_dip & in_a & first("_dip_before"), "header_dip").when(is_dip, "dip").when(~is_label, "step").when(trimmed == "supply off", "hidden")
         .when(has("decouple"), "decouple").when(has("couple") & ~has("supply couple"), "couple").when(has("supply couple"), "couple_volts").otherwise("label")
     )
     states = F.size(dip_states(_strings("settings")))
@@ -114,7 +113,7 @@ def step_advance(steps: DataFrame, layouts: DataFrame, keys: Sequence[str] = KEY
     room = lambda total: F.greatest(F.lit(total) - used, F.lit(1))
     brk = F.col("section_break")
     blank_b = (
-        F.when(brk | (F.col("step_idx") == F.col("_step1")), 3).when(low == "lower cut off", room(6))
+        F.when(brk | (ordinary & first("_step_before")), 3).when(low == "lower cut off", room(6))
         .when(F.contains(low, F.lit("lower cut off recovery")) & F.coalesce(F.startswith("_next", F.lit("repeated tests")), F.lit(False)), room(4)).otherwise(room(5))
     )
     ordinary_rows = F.when(name == RUN_TIME_ERROR, 1).otherwise(used + F.when(in_a, F.when(brk, 2).otherwise(1)).otherwise(blank_b))
@@ -122,7 +121,7 @@ def step_advance(steps: DataFrame, layouts: DataFrame, keys: Sequence[str] = KEY
     advance = (
         F.when(kind == "step", ordinary_rows).when(kind == "dip", dip_rows).when(kind.isin("couple_volts", "label"), F.when(in_a, 4).otherwise(2)).otherwise(0)
     )
-    return s.withColumns({"kind": kind, "advance": advance.cast("int")}).drop("_next", "_dip1", "_step1")
+    return s.withColumns({"kind": kind, "advance": advance.cast("int")}).drop("_next", *before)
 
 
 def layout_rows(advanced: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

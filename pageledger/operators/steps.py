@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageledger.functions import patterns as P
 from pageledger.functions.text import filled, first_match, rx, strip
 from pageledger.functions.values import PN, PP, is_spurious_delay, phases, plain_number, voltage_value
-from pageledger.operators.ordered import following, previous, renumber, running_last, running_max, with_running
+from pageledger.operators.ordered import following, previous, renumber, running_last, running_max, width_for, with_running
 
 KEYS = ("variant",)
 OV_KINDS = "ov healthy|ov faulty|ov hystersis"
@@ -178,8 +178,9 @@ def section_state(steps: DataFrame, ctx: DataFrame, keys: Sequence[str] = KEYS)
     k = list(keys)
     n = _name()
     run_time, dip = _has("run time dip", n), _has("dip", n)
+    width = width_for(steps, k, "step_idx")
     near = with_running(
-        steps, k, "step_idx", _prev_run=previous(run_time), _next_dip=following(dip),
+        steps, k, "step_idx", width=width, _prev_run=previous(run_time), _next_dip=following(dip),
         _last_other=running_last(F.when(~run_time, F.col("step_idx")), inclusive=False),
     )
     # in a row of run-time steps every second one closes the pair opened by the one before
@@ -188,23 +189,17 @@ def section_state(steps: DataFrame, ctx: DataFrame, keys: Sequence[str] = KEYS)
     second = F.coalesce("_prev_run", F.lit(False)) & ((place - 1) % 2 == 1) & dip
     paired = near.withColumn("pair", F.when(first, 1).when(second, 2).otherwise(0)).drop("_prev_run", "_next_dip", "_last_other")
     alone = F.col("pair") == 0
-    change = F.when(alone & _has("supply off change"), F.col("step_idx"))
-    starts = paired.groupBy(*k).agg(F.min(change).alias("_start"))
-    joined = paired.join(starts, k).join(ctx.select(*k, F.col("nominal").alias("_page_nominal")), k, "left")
-    later = F.coalesce(F.col("step_idx") >= F.col("_start"), F.lit(False))
-    couple = alone & later & _has("supply couple")
+    opened = with_running(paired, k, "step_idx", width=width, later=running_max(alone & _has("supply off change")), ov_seen=running_max(_has("ov"), inclusive=False))
+    opened = opened.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("later", "ov_seen")})
+    couple = alone & F.col("later") & _has("supply couple")
     own = F.when(couple, voltage_value(F.get("voltages_pn", 0)))
     named = _number(F.col("step_name"), r"(?i)(\d+)\s*(?:VAC|V)")
     named = F.when(couple, F.when(named > 300, F.bround(named / P.SQRT3, 1)).otherwise(named))
     # the earliest name voltage: the running maximum of (-position, value)
     out = with_running(
-        joined.withColumn("later", later), k, "step_idx", _own=running_last(own),
-        _named=running_max(F.when(named.isNotNull(), F.struct((-F.col("step_idx")).alias("at"), named.alias("v")))),
-        ov_seen=running_max(_has("ov"), inclusive=False),
-    )
-    return out.withColumns(
-        {"nominal": F.coalesce("_own", "_page_nominal", F.col("_named.v")), "ov_seen": F.coalesce("ov_seen", F.lit(False))}
-    ).drop("_own", "_named", "_page_nominal", "_start")
+        opened, k, "step_idx", width=width, _own=running_last(own), _named=running_max(F.when(named.isNotNull(), F.struct((-F.col("step_idx")).alias("at"), named.alias("v"))))
+    ).join(ctx.select(*k, F.col("nominal").alias("_page_nominal")), k, "left")
+    return out.withColumn("nominal", F.coalesce("_own", "_page_nominal", F.col("_named.v"))).drop("_own", "_named", "_page_nominal")
 
 
 def drop_repeat_supply_off(state: DataFrame) -> DataFrame:

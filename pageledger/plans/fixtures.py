@@ -1,7 +1,7 @@
 """Domain-shaped inputs derived from the test tables, as one text for Spark and for the checking SQL.
 
 ``ARR(`` and ``EMPTY_ARR`` stand for the two dialects' array constructors. A fixture with an ordinal names the rows it is
-taken from, its key, its total order, and the step of the first order column at which long keys are cut.
+taken from, its key and its total order, which begins with a number.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ class Fixture:
     key: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
     ordinal: str = ""
-    step: int = 1_000_000
 
 
 _LINE = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(l_quantity AS INT) AS q FROM lineitem"
@@ -33,7 +32,6 @@ _BY_ORDER = dict(
     source=_LINE,
     key=("l_orderkey",),
     order=("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"),
-    step=1,
 )
 _PV = "concat('PV', lpad(CAST(l_partkey AS STRING), 6, '0'))"
 _EXT = "concat('ext_', lpad(CAST(event_id AS STRING), 8, '0')"
@@ -235,7 +233,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         text = text.replace(f"FROM {t}", f"FROM parquet.`{sf_dir}/{t}.parquet`")
     df = spark.sql(text)
     if f.key:
-        df = with_ordinal(df, f.key, f.order, f.ordinal, f.step)
+        df = with_ordinal(df, f.key, f.order, f.ordinal)
     select = _dialect(f.select, True).replace("{", "{{").replace("}", "}}")
     return spark.sql(f"SELECT {select} FROM {{t}}", t=df)
 

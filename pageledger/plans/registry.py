@@ -19,10 +19,10 @@ class Inputs:
     """Fixtures of one run by name: ``fx.specs`` is the table ``fx_specs``.
 
     Page fixtures are stored once per run, as the domain tables they stand for would be: text operators read them several times.
-    So are the step fixtures, whose ordinal is dear to find.
+    Step fixtures are not: most queries read all their columns once only, and a second look takes few columns.
     """
 
-    STORED = ("pages", "manual", "proc_pages", "steps", "steps_b")
+    STORED = ("pages", "manual", "proc_pages")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
