@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pageledger.functions import patterns as P
 from pageledger.functions.text import rx, split_lines, strip
 from pageledger.operators import text as T
-from pageledger.operators.ordered import following, previous, running_last, running_max, running_sum, with_running
+from pageledger.operators.ordered import following, previous, running_last, running_max, running_sum, width_for, with_running
+from pageledger.operators.splits import reached, successors
 from pageledger.session import materialize
 
 DOC = ["doc_id"]
@@ -109,31 +110,20 @@ def segment_blocks(pages: DataFrame, min_size: int = P.MIN_BLOCK_SIZE) -> tuple[
     """(blocks, block_lines).
 
     A heading starts a block when the current one is empty, or always for some headings, or when the current one has more than ``min_size``
-    characters and no dangling table reference. Whether a heading splits depends on the last split, so headings are folded in order; a
-    heading that always splits restarts the fold, which cuts a long document into independent runs. Only headings and their
-    numbers are folded, never text.
+    characters and no dangling table reference. So a heading splits any block that began no later than some place: the end of the line before it less ``min_size``, for a dangling one no
+    later than the last table before it either. Each beginning has the first heading that splits it as its successor; blocks begin at what the first line and the headings that
+    always split lead to. Only headings and their numbers take part, never text.
     """
     # parsed once, then read by every step below
     lines = materialize(line_offsets(pages))
     first = lines.groupBy("doc_id").agg(F.min("o").alias("first_o"))
-    candidates = materialize(split_candidates(lines)).withColumn("_f", F.col("is_forced").cast("int"))
-    runs = with_running(candidates, DOC, "o", run=running_sum(F.col("_f"))).join(first, DOC)
-    opening = F.when(F.col("is_forced"), F.col("o")).otherwise(F.lit(None))
-    runs = runs.groupBy("doc_id", "run", "first_o").agg(
-        F.min(opening).alias("_open"), F.array_sort(F.collect_list(F.struct("o", "is_forced", "prev_e", "dangling", "last_table"))).alias("_heads")
-    )
-
-    def step(acc: Column, h: Column) -> Column:
-        fresh = h["o"] == F.col("first_o")
-        tied = h["dangling"] & ~F.coalesce(h["last_table"] >= acc["start"], F.lit(False))
-        split = fresh | h["is_forced"] | (((h["prev_e"] - acc["start"]) > min_size) & ~tied)
-        return F.struct(
-            F.when(split, h["o"]).otherwise(acc["start"]).alias("start"),
-            F.when(split, F.array_append(acc["splits"], h["o"])).otherwise(acc["splits"]).alias("splits"),
-        )
-
-    zero = F.struct(F.coalesce("_open", "first_o").alias("start"), F.array().cast("array<bigint>").alias("splits"))
-    accepted = runs.select("doc_id", F.explode(F.aggregate("_heads", zero, step, lambda acc: acc["splits"])).alias("o")).withColumn("_split", F.lit(1))
+    candidates = materialize(split_candidates(lines))
+    reach = F.col("prev_e") - min_size - 1
+    reach = F.when(F.col("is_forced"), F.col("o") - 1).when(F.col("dangling"), F.when(F.col("last_table").isNotNull(), F.least(reach, "last_table"))).otherwise(reach)
+    begins = candidates.select("doc_id", F.col("o").alias("at"), F.col("is_forced").alias("marked")).unionByName(first.select("doc_id", F.col("first_o").alias("at"), F.lit(True).alias("marked")))
+    begins = begins.groupBy("doc_id", "at").agg(F.bool_or("marked").alias("marked"))
+    graph = successors(begins, candidates.select("doc_id", reach.alias("reach"), F.col("o").alias("place")), DOC).join(begins, ["doc_id", "at"])
+    accepted = reached(graph, DOC).withColumnRenamed("at", "o").join(candidates.select("doc_id", "o"), ["doc_id", "o"], "left_semi").withColumn("_split", F.lit(1))
     opened = lines.join(accepted, ["doc_id", "o"], "left").join(first, DOC)
     is_start = F.coalesce("_split", F.when(F.col("o") == F.col("first_o"), 1), F.lit(0))
     numbered = with_running(opened.withColumn("_is_start", is_start), DOC, "o", block_idx=running_sum(F.col("_is_start")))
@@ -251,27 +241,41 @@ def density_split(pages: DataFrame) -> DataFrame:
     """(doc_id, page_num, group_no): a new group where a page has two or more variants, other ones than the group so far, and the group has
     two pages.
 
-    The group's variants are a running union, so pages are folded in order. Only pages with variants take part, as at most eight short
-    codes each; the text stays behind.
+    Pages with two or more variants are anchors (so is the first page); the pages from one anchor to the next are a stretch. Once a group's variants equal those of an anchor, they
+    go on as if the group had begun there. So the next group begins at the next anchor that differs from the stretch before it. Only if an anchor stands right after the group's first
+    page, where no group can begin, the anchor after that is compared with both stretches. Stretches are compared by counting, as rows of (stretch, variant); no
+    document or group is ever one row.
     """
-    found = T.detect_variants(pages, ["doc_id", "page_num"]).groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_set("variant")).alias("v"))
+    found = materialize(T.detect_variants(pages, ["doc_id", "page_num"]).select("doc_id", "page_num", "variant"))
+    many = found.groupBy("doc_id", "page_num").agg((F.count("*") >= 2).alias("_many"))
     numbered = with_running(pages.select("doc_id", "page_num"), DOC, "page_num", n=running_sum(F.lit(1)))
-    rows = numbered.join(found, ["doc_id", "page_num"])
-    per_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), "page_num", "v"))).alias("_p"))
-
-    def step(acc: Column, p: Column) -> Column:
-        split = (F.size(p["v"]) >= 2) & (p["v"] != acc["seen"]) & (p["n"] - acc["first"] >= 2)
-        return F.struct(
-            F.when(split, p["v"]).otherwise(F.array_sort(F.array_union(acc["seen"], p["v"]))).alias("seen"),
-            F.when(split, p["n"]).otherwise(acc["first"]).alias("first"),
-            F.when(split, F.array_append(acc["starts"], p["n"])).otherwise(acc["starts"]).alias("starts"),
-        )
-
-    zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(1).cast("long").alias("first"), F.array().cast("array<bigint>").alias("starts"))
-    starts = per_doc.select("doc_id", F.explode(F.aggregate("_p", zero, step, lambda a: a["starts"])).alias("n")).withColumn("_s", F.lit(1))
-    opened = numbered.join(starts, ["doc_id", "n"], "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
+    numbered = numbered.join(many, ["doc_id", "page_num"], "left")
+    anchor = ((F.col("n") == 1) | F.coalesce("_many", F.lit(False))).cast("int")
+    placed = materialize(with_running(numbered.withColumn("_anchor", anchor), DOC, "page_num", k=running_sum(F.col("_anchor"))).drop("_many"))
+    held = found.join(placed, ["doc_id", "page_num"])
+    # what an anchor holds, beside what the stretch before it and the one before that hold
+    sides = F.array(
+        F.struct((F.col("k") + 1).alias("k"), F.lit(1).alias("side")), F.struct((F.col("k") + 2).alias("k"), F.lit(2).alias("side")),
+        F.when(F.col("_anchor") == 1, F.struct(F.col("k").alias("k"), F.lit(0).alias("side"))),
+    )
+    seen = held.select("doc_id", "variant", F.explode(sides).alias("s")).where("s IS NOT NULL").groupBy("doc_id", "s.k", "variant")
+    seen = seen.agg(*[F.bool_or(F.col("s.side") == i).alias(n) for i, n in enumerate(("_own", "_one", "_two"))])
+    differs = seen.groupBy("doc_id", "k").agg(F.bool_or(F.col("_own") != F.col("_one")).alias("_other"), F.bool_or(F.col("_own") != (F.col("_one") | F.col("_two"))).alias("_other_two"))
+    anchors = placed.where("_anchor = 1").select("doc_id", "k", "n").join(differs, ["doc_id", "k"], "left").withColumn("_back", -F.col("k"))
+    # in falling order "last" is the next one
+    other = F.when((F.col("k") > 1) & F.col("_other"), F.col("n"))
+    width = width_for(anchors, DOC, "_back")
+    ahead = with_running(anchors, DOC, "_back", width=width, _n1=previous(F.col("n")), _change=running_last(other, inclusive=False), _two=previous(F.col("_other_two")))
+    ahead = with_running(ahead, DOC, "_back", width=width, _n2=previous(F.col("_n1")), _two2=previous(F.col("_two")), _change2=previous(F.col("_change")))
+    ahead = with_running(ahead, DOC, "_back", width=width, _change3=previous(F.col("_change2")))
+    close = F.col("_n1") == F.col("n") + 1
+    # without the anchor right behind: the next one, if it differs from both stretches, else the next change after it
+    following_ = F.when(close, F.when(F.col("_two2"), F.col("_n2")).otherwise(F.col("_change3"))).otherwise(F.col("_change"))
+    graph = ahead.select("doc_id", F.col("n").alias("at"), following_.alias("next"), (F.col("n") == 1).alias("marked"))
+    starts = reached(graph, DOC).select("doc_id", F.col("at").alias("n"), F.lit(1).alias("_s"))
+    opened = placed.join(starts, ["doc_id", "n"], "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
     out = with_running(opened, DOC, "page_num", group_no=running_sum(F.col("_s")))
-    return out.select("doc_id", "page_num", (F.col("group_no") + 1).cast("int").alias("group_no"))
+    return out.select("doc_id", "page_num", F.col("group_no").cast("int").alias("group_no"))
 
 
 def select_variants(blocks: DataFrame, detected: DataFrame, requested: DataFrame, present: DataFrame, max_blocks: int = 5) -> DataFrame:

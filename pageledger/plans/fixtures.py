@@ -107,6 +107,11 @@ FIXTURES: dict[str, Fixture] = {
  CASE WHEN q % 5 = 0 THEN 'as per table 2' ELSE 'end of page' END) AS text, (q % 10 <> 9) AS has_image""",
         **_BY_ORDER, ordinal="page_num",
     ),
+    # up to three codes a page, the same ones for some pages, then others
+    "fx_code_pages": Fixture(
+        """l_partkey AS doc_id, page_num, concat('codes ', CASE WHEN q % 2 = 0 THEN 'AB12 ' ELSE '' END, CASE WHEN q % 3 = 0 THEN 'CD34 ' ELSE '' END, CASE WHEN q % 5 < 2 THEN concat('EF', CASE WHEN page_num % 12 < 6 THEN '5' ELSE '6' END, '6 ') ELSE '' END, 'end') AS text""",
+        **_BY_PART, ordinal="page_num",
+    ),
     # only pages with a spec marker: 9, 15 or up to 30 of them have an image
     "fx_marker_pages": Fixture(
         """l_partkey AS doc_id, page_num, concat('ACCEPTABLE LIMITS of part ', CAST(l_partkey AS STRING)) AS text, (page_num <= CASE l_partkey % 3 WHEN 0 THEN 9 WHEN 1 THEN 15 ELSE 30 END) AS has_image""",

@@ -6,7 +6,7 @@ from pageledger.functions import patterns as P
 from pageledger.functions.text import SPACE_CHARS
 from pageledger.operators import pageclass as G, quality as Q, segment as S, text as T
 from pageledger.plans.queries_text import REQUESTED_SQL, _SCOPE, _tokens_sql, part_names, requested
-from pageledger.plans.registry import lit, register, sql_lines, sql_strip, sql_words
+from pageledger.plans.registry import lit, register, sql_lines, sql_list, sql_strip, sql_words
 
 _FLAT = f"translate(text, {lit(SPACE_CHARS)}, '{' ' * len(SPACE_CHARS)}')"
 
@@ -168,8 +168,40 @@ for _fx in ("manual", "doc_pages"):
         f"WITH {LINES.replace('{fx}', 'fx_' + _fx)}, t AS (SELECT *, {_NO} AS pattern_no FROM li) SELECT doc_id, page_num, line_no, line, pattern_no, {_TX} AS header, {_FC} AS is_forced FROM t WHERE pattern_no IS NOT NULL",
         _fx,
     )(lambda fx, f=_fx: S.tag_section_lines(T.explode_lines(getattr(fx, f))))
+# every document walked line by line, with the whole text of the block at hand
+_CUR = sql_strip("cur")
+BLOCKS = f"""l0 AS (SELECT doc_id, page_num, unnest({sql_lines('text')}) AS raw, generate_subscripts({sql_lines('text')}, 1) AS line_no FROM {{fx}}),
+ l1 AS (SELECT doc_id, page_num, line_no, {sql_strip('raw')} AS line FROM l0),
+ l2 AS (SELECT *, row_number() OVER d AS n, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY page_num, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o,
+  CASE WHEN line <> '' THEN {_NO} END AS pattern_no FROM l1 WINDOW d AS (PARTITION BY doc_id ORDER BY page_num, line_no)),
+ l3 AS (SELECT doc_id, page_num, n, o, line, {_TX} AS head, pattern_no IS NOT NULL AND ({_FC}) AS forced FROM l2),
+ walk AS (SELECT doc_id, 0 AS page_num, 0::BIGINT AS n, 1 AS idx, '' AS cur, '' AS header, NULL::BIGINT AS start_o, '' AS line FROM (SELECT DISTINCT doc_id FROM l3) x
+  UNION ALL SELECT doc_id, page_num, n, idx + CASE WHEN split AND {_CUR} <> '' THEN 1 ELSE 0 END, CASE WHEN split THEN '' ELSE cur END || line || chr(10), CASE WHEN split THEN head ELSE header END,
+   CASE WHEN split OR (start_o IS NULL AND line <> '') THEN o ELSE start_o END, line
+   FROM (SELECT l.*, w.idx, w.cur, w.header, w.start_o, l.head IS NOT NULL AND ({_CUR} = '' OR l.forced OR (length({_CUR}) > {P.MIN_BLOCK_SIZE} AND NOT (
+     regexp_matches(upper(right(cur, 200)), {lit(P.DANGLING_REFERENCE)}) AND NOT regexp_matches(upper(cur), {lit(P.TABLE_STRUCTURE)})))) AS split
+    FROM walk w JOIN l3 l ON l.doc_id = w.doc_id AND l.n = w.n + 1) s),
+ bk AS (SELECT doc_id, idx AS block_idx, cur, header, start_o, length(cur) AS n_chars FROM walk WHERE {_CUR} <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY n DESC) = 1)"""
+
+
+def _best_of(name: str, words: str, rank: str, where: str) -> str:
+    return f"""{name}t AS (SELECT doc_id, block_idx, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, block_idx, {words} AS ws FROM bk) x),
+ {name} AS (SELECT * FROM (SELECT doc_id, block_idx, token, count(*) AS n, min(pos) AS f FROM {name}t WHERE {where} GROUP BY ALL) y QUALIFY row_number() OVER (PARTITION BY doc_id, block_idx ORDER BY {rank} n DESC, f) = 1)"""
+
+
+NAMED_BLOCKS = f"""{BLOCKS}, {_best_of('hc', sql_words('header', P.MODEL_CODE), '(n >= 2 AND length(token) >= 4) DESC,', 'true')},
+ {_best_of('hw', sql_words('header', '[A-Z]{3,}'), '', 'token NOT IN ' + sql_list(P.STOP_WORDS))},
+ nbk AS (SELECT doc_id, block_idx, start_o, header, n_chars, coalesce(hc.token, CASE WHEN hw.n >= 2 THEN hw.token END, concat('MACHINE_', block_idx)) AS machine, cur FROM bk LEFT JOIN hc USING (doc_id, block_idx) LEFT JOIN hw USING (doc_id, block_idx))"""
+
+
+def blocks_sql(fx: str) -> str:
+    return NAMED_BLOCKS.replace("{fx}", fx)
+
+
 for _fx in ("manual", "doc_pages"):
-    register(f"seg_02_segment_blocks_{_fx}")(lambda fx, f=_fx: S.segment_blocks(fx.stored(f))[0])
+    register(f"seg_02_segment_blocks_{_fx}", f"WITH RECURSIVE {blocks_sql('fx_' + _fx)} SELECT doc_id, block_idx, start_o, header, n_chars, machine FROM nbk", _fx)(
+        lambda fx, f=_fx: S.segment_blocks(fx.stored(f))[0]
+    )
 
 
 def merged(fx, name="manual"):
@@ -179,7 +211,16 @@ def merged(fx, name="manual"):
     return S.merged_blocks(blocks, merge), moved
 
 
-register("seg_03_merge_short_blocks")(lambda fx: merged(fx)[0])
+# a short block after a short one that was not absorbed itself is absorbed
+register(
+    "seg_03_merge_short_blocks",
+    f"""WITH RECURSIVE {blocks_sql('fx_manual')}, sh AS (SELECT *, n_chars < {P.MIN_MERGE_SIZE} AND NOT regexp_matches(cur, {lit('(?is)' + P.TABLE_SPEC)}) AS short FROM nbk),
+ mw AS (SELECT doc_id, block_idx, short, false AS absorbed, 1 AS merged_idx FROM sh WHERE block_idx = 1
+  UNION ALL SELECT s.doc_id, s.block_idx, s.short, w.short AND NOT w.absorbed, w.merged_idx + CASE WHEN w.short AND NOT w.absorbed THEN 0 ELSE 1 END FROM mw w JOIN sh s ON s.doc_id = w.doc_id AND s.block_idx = w.block_idx + 1)
+SELECT doc_id, merged_idx AS block_idx, arg_min(machine, block_idx) AS machine, arg_min(header, block_idx) AS header, arg_min(start_o, block_idx) AS start_o, CAST(sum(n_chars) AS BIGINT) AS n_chars
+FROM sh JOIN mw USING (doc_id, block_idx) GROUP BY doc_id, merged_idx""",
+    "manual",
+)(lambda fx: merged(fx)[0])
 
 
 def sized_blocks(fx):
@@ -196,7 +237,14 @@ register(
 SELECT doc_id, block_idx, merged_idx FROM walk""",
     "proc_pages",
 )(lambda fx: S.merge_short_blocks(sized_blocks(fx), sized_blocks(fx).filter("spec").select("doc_id", "block_idx")))
-register("seg_02_block_pages")(lambda fx: S.block_pages(fx.stored("manual"), S.segment_blocks(fx.stored("manual"))[1]))
+# a page belongs to the blocks of its lines, and to the one that was open when it began
+register(
+    "seg_02_block_pages",
+    f"""WITH RECURSIVE {blocks_sql('fx_manual')}, le AS (SELECT doc_id, page_num, max(idx) AS idx FROM walk WHERE n > 0 AND {_CUR} <> '' GROUP BY ALL)
+SELECT DISTINCT doc_id, idx AS block_idx, page_num FROM walk WHERE line <> ''
+UNION SELECT p.doc_id, max(le.idx), p.page_num FROM fx_manual p JOIN le ON le.doc_id = p.doc_id AND le.page_num < p.page_num GROUP BY p.doc_id, p.page_num""",
+    "manual",
+)(lambda fx: S.block_pages(fx.stored("manual"), S.segment_blocks(fx.stored("manual"))[1]))
 # every page a block with a placeholder name
 register(
     "seg_04_resolve_names",
@@ -251,16 +299,14 @@ DETECT = _tokens_sql("fx_manual", "[A-Z][A-Z0-9]{3,9}", ", contains(text, token)
 )
 DETECTED = """kk AS (SELECT *, n >= 3 AS strong FROM c WHERE n >= 3 OR verbatim), dr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY strong DESC, n DESC, length(token), f) AS rank, bool_or(strong) OVER (PARTITION BY doc_id, page_num) AS anys FROM kk),
  de AS (SELECT doc_id, page_num AS block_idx, token AS variant FROM dr WHERE rank <= 8 AND (strong OR NOT anys))"""
-register(
-    "seg_08_density_split_manual",
-    f"""WITH RECURSIVE {DETECT}, {DETECTED}, vs AS (SELECT doc_id, block_idx AS page_num, list_sort(list(DISTINCT variant)) AS v FROM de GROUP BY ALL),
+SPLIT = f"""WITH RECURSIVE {DETECT}, {DETECTED}, vs AS (SELECT doc_id, block_idx AS page_num, list_sort(list(DISTINCT variant)) AS v FROM de GROUP BY ALL),
  pg AS (SELECT m.doc_id, m.page_num, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.page_num) AS n, coalesce(v, CAST([] AS VARCHAR[])) AS v FROM fx_manual m LEFT JOIN vs ON m.doc_id = vs.doc_id AND m.page_num = vs.page_num),
  walk AS (SELECT doc_id, page_num, n, list_sort(v) AS seen, n AS first, 1 AS group_no FROM pg WHERE n = 1
   UNION ALL SELECT doc_id, page_num, n, CASE WHEN split THEN v ELSE list_sort(list_distinct(list_concat(seen, v))) END, CASE WHEN split THEN n ELSE first END, group_no + CASE WHEN split THEN 1 ELSE 0 END
    FROM (SELECT p.*, w.seen, w.first, w.group_no, len(p.v) >= 2 AND p.v <> w.seen AND p.n - w.first >= 2 AS split FROM walk w JOIN pg p ON p.doc_id = w.doc_id AND p.n = w.n + 1) x)
-SELECT doc_id, page_num, group_no FROM walk""",
-    "manual",
-)(lambda fx: S.density_split(fx.stored("manual")))
+SELECT doc_id, page_num, group_no FROM walk"""
+for _fx in ("manual", "doc_pages", "code_pages"):
+    register(f"seg_08_density_split_{_fx}", SPLIT.replace("fx_manual", f"fx_{_fx}"), _fx)(lambda fx, f=_fx: S.density_split(fx.stored(f)))
 register(
     "seg_09_select_variants",
     f"""WITH {DETECT}, nb AS ({NAMED} fx_manual), {REQUESTED_SQL}, rv AS (SELECT doc_id, upper(machine) AS machine, CASE WHEN doc_id % 4 = 0 THEN concat('MAG03D', CAST(100 + doc_id % 40 AS VARCHAR)) END AS variant FROM rq WHERE {HALF}),
