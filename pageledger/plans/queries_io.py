@@ -1,38 +1,31 @@
 """Source, sink and stream queries. All of them write what Spark derives from the test tables and read it back."""
 
-import io
 import uuid
-import zipfile
 
-import pandas as pd
+from pyarrow.fs import FileSystem, copy_files
 from pyspark.sql import functions as F
 
 from pageledger.plans.registry import register
-from pageledger.session import shared_dir
-from pageledger.sources import readers as RD, writers as W
+from pageledger.session import delete_at_end, shared_dir
+from pageledger.sources import bundles as B, readers as RD, writers as W
 from pageledger.streaming import ingest as ST
 
 
 def folder(fx, name: str) -> str:
-    return f"{shared_dir(fx.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(fx.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    delete_at_end(fx.spark, path)
+    return path
 
 
-def bundle_files(fx):
-    """One bundle per conversation with its turns as pages, as ``files(path, content)``."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            listed = []
-            for n, text in zip(group["page_num"], group["text"]):
-                z.writestr(f"{n}.txt", text)
-                if n % 2:
-                    z.writestr(f"{n}.jpeg", b"\xff\xd8")
-                    listed.append(f'{{"page_number": {n}, "image": {{"dimensions": {{"width": {100 + n}, "height": 50}}}}}}')
-            z.writestr("manifest.json", '{"pages": [' + ", ".join(listed) + "]}")
-        return pd.DataFrame({"path": [f"/in/{group['doc_id'].iloc[0]}.pdf"], "content": [out.getvalue()]})
-
-    return fx.conv_pages.groupBy("doc_id").applyInPandas(pack, "path string, content binary")
+def landed(fx):
+    """One bundle for each conversation with its turns as pages, in a folder of its own."""
+    path = folder(fx, "landing")
+    odd = F.col("page_num") % 2 == 1
+    pages = fx.conv_pages.select(
+        "doc_id", "page_num", "text", F.when(odd, F.unhex(F.lit("FFD8"))).alias("image"), F.when(odd, F.col("page_num") + 100).cast("int").alias("width"), F.when(odd, 50).alias("height")
+    )
+    B.write_page_bundles(pages, path).write.format("noop").mode("overwrite").save()
+    return path
 
 
 def shown(pages):
@@ -41,7 +34,10 @@ def shown(pages):
 
 PAGES_SQL = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(page_num AS INT) AS page_num, text, page_num % 2 = 1 AS has_image, CAST(CASE WHEN page_num % 2 = 1 THEN 100 + page_num ELSE 0 END AS INT) AS width,
  CASE WHEN page_num % 2 = 1 THEN 50 ELSE 0 END AS height FROM fx_conv_pages"""
-register("src_01_read_page_bundles", PAGES_SQL, "conv_pages")(lambda fx: shown(RD.unpack_bundles(bundle_files(fx))))
+register("src_01_read_page_bundles", PAGES_SQL, "conv_pages")(lambda fx: shown(B.read_page_bundles(fx.spark, landed(fx), bytesPerPartition="65536")))
+register("src_01_read_page_range", f"SELECT doc_id, page_num, text FROM ({PAGES_SQL}) x WHERE page_num BETWEEN 2 AND 4", "conv_pages")(
+    lambda fx: B.read_page_bundles(fx.spark, landed(fx), "doc_id string, page_num int, text string", firstPage="2", lastPage="4")
+)
 register("src_02_read_model_responses", "SELECT reply_id, variant, body FROM fx_replies WHERE length(body) > 0", "replies")(
     lambda fx: RD.read_model_responses(fx.replies).select("reply_id", "variant", "body")
 )
@@ -52,7 +48,7 @@ def stored_runs(fx):
     path = folder(fx, "runs")
     record = F.to_json(F.struct("extraction_id", "num_machines", F.col("files").alias("excel_files"), "status", F.array("machine").alias("machines")), {"pretty": "true"})
     body = F.when(F.col("broken"), F.left(record, F.length(record) - 3)).otherwise(record)
-    fx.user_runs.select(body.alias("value")).coalesce(1).write.option("maxRecordsPerFile", 1).text(path)
+    fx.user_runs.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return RD.read_runs(fx.spark, path)
 
 
@@ -127,28 +123,26 @@ register(
 
 
 def ingested(fx):
-    """Bundles land as files; the stream unpacks each of them once."""
-    landing, out, checkpoint = folder(fx, "landing"), folder(fx, "pages"), folder(fx, "checkpoint")
-
-    def place(batches):
-        from pyarrow.fs import FileSystem
-
-        fs, base = FileSystem.from_uri(landing)
-        fs.create_dir(base)
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                name = path.rsplit("/", 1)[-1]
-                with fs.open_output_stream(f"{base}/.{name}") as f:
-                    f.write(content)
-                fs.move(f"{base}/.{name}", f"{base}/{name}")
-            yield batch[["path"]]
-
-    bundle_files(fx).mapInPandas(place, "path string").write.format("noop").mode("overwrite").save()
-    ST.ingest_stream(fx.spark, landing, checkpoint, ST.append_pages(out)).awaitTermination()
-    return shown(fx.spark.read.parquet(out))
-
-
-register("str_01_ingest_stream", PAGES_SQL, "conv_pages")(ingested)
+    """Bundles land; a stream takes them. Then they land again in another folder beside a broken one and a file that is no bundle, and the stream is started anew, twice."""
+    landing, out, checkpoint = landed(fx), folder(fx, "pages"), folder(fx, "checkpoint")
+    take = lambda: ST.ingest_stream(fx.spark, landing, checkpoint, ST.append_pages(out), max_files=400).awaitTermination()
+    take()
+    fs, base = FileSystem.from_uri(landing)
+    fs.create_dir(f"{base}/again")
+    copy_files(landing, f"{landing}/again")
+    for name, content in (("broken.pdf", b"PK\x03\x04 cut short"), ("letter.pdf", b"%PDF")):
+        with fs.open_output_stream(f"{base}/{name}") as f:
+            f.write(content)
+    take()
+    take()
+    return fx.spark.read.parquet(out), ST.document_steps(fx.spark, checkpoint)
+
+
+register("str_01_ingest_stream", PAGES_SQL, "conv_pages")(lambda fx: shown(ingested(fx)[0]))
+register(
+    "str_01_document_steps",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'recorded' AS status, count(*) AS n_pages FROM fx_conv_pages GROUP BY doc_id UNION ALL SELECT unnest(['broken', 'letter']), 'failed', NULL", "conv_pages",
+)(lambda fx: ingested(fx)[1].select("doc_id", "status", "n_pages"))
 
 
 def streamed_totals(fx):

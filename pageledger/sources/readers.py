@@ -1,19 +1,11 @@
-"""Sources: page bundles, stored replies, run records, requests."""
+"""Sources: page folders, stored replies, run records, requests (page bundles: ``bundles``)."""
 
 from __future__ import annotations
 
-import io
-import json
-import re
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageledger.functions.text import filled, strip
 
-PAGES = "doc_id string, page_num int, text string, image binary, width int, height int"
 RUN = (
     "extraction_id string, original_filename string, num_pages int, num_machines int, machines array<string>, excel_files array<string>,"
     " machine_summary array<struct<machine:string,status:string,variants:array<string>,flags:map<string,struct<spec_flags:array<string>,step_flag_count:int>>>>,"
@@ -21,50 +13,6 @@ RUN = (
 )
 
 
-def _page_number(name: str) -> int:
-    found = re.search(r"\d+", name)
-    return int(found.group()) if found else 0
-
-
-def _unzip(doc_id: str, content: bytes) -> pd.DataFrame:
-    """Pages of one bundle; a bundle is one file, so one row of the source."""
-    columns = [c.split()[0] for c in PAGES.split(", ")]
-    if content[:4] != b"PK\x03\x04":
-        return pd.DataFrame(columns=columns)
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        sizes: dict[int, dict] = {}
-        manifest = next((n for n in names if "manifest" in n.lower() and n.endswith(".json")), None)
-        if manifest:
-            try:
-                listed = json.loads(z.read(manifest).decode("utf-8", "ignore")).get("pages", [])
-                sizes = {p["page_number"]: (p.get("image") or {}).get("dimensions") or {} for p in listed}
-            except (ValueError, KeyError):
-                sizes = {}
-        rows = []
-        for name in sorted((n for n in names if n.endswith(".txt") and "manifest" not in n.lower()), key=_page_number):
-            n = _page_number(name)
-            image = z.read(f"{n}.jpeg") if f"{n}.jpeg" in names else None
-            size = sizes.get(n, {})
-            rows.append((doc_id, n, z.read(name).decode("utf-8", "ignore"), image, size.get("width", 0), size.get("height", 0)))
-    return pd.DataFrame(rows, columns=columns)
-
-
-def unpack_bundles(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` of page bundles to pages. Each task unpacks the files of its own partitions."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield _unzip(path.rsplit("/", 1)[-1].rsplit(".", 1)[0], bytes(content))
-
-    return files.select("path", "content").mapInPandas(run, PAGES)
-
-
-def read_page_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return unpack_bundles(spark.read.format("binaryFile").load(path))
-
-
 def read_page_folders(spark: SparkSession, path: str) -> DataFrame:
     """Unpacked bundles ``<doc>/<n>.txt``: document and page number come from the file path."""
     raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("p"))

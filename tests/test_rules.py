@@ -1,14 +1,11 @@
 """Golden rows for rules that are easy to get wrong."""
 
-import io
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from pageledger.functions.values import parse_range
 from pageledger.operators import compare as C, families as FA, grid as G, layout as L, quality as Q, replies as J, steps as S, steps_b as B, text as T
-from pageledger.sources import readers as RD
 
 
 def one(spark, column, **values):
@@ -109,15 +106,3 @@ def test_name_ties_go_to_the_first_seen(spark):
 def test_scope_runs_over_pages(spark):
     pages = spark.createDataFrame([(1, 1, "x. SCOPE: SM1 / MAG1A"), (1, 2, "SM2_A"), (1, 3, "SM3, SM4"), (1, 4, "SM5")], "doc_id int, page_num int, text string")
     assert [r.member for r in T.scope_members(pages).orderBy("member_no").collect()] == ["SM1", "MAG1A", "SM2_A", "SM3"]
-
-
-def test_bundles(spark):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("p2.txt", "two")
-        z.writestr("10.txt", b"ten\xff")
-        z.writestr("10.jpeg", b"i")
-        z.writestr("manifest.json", '{"pages": [{"page_number": 10, "image": {"dimensions": {"width": 3, "height": 4}}}]}')
-    files = spark.createDataFrame([("/a/doc.pdf", bytearray(out.getvalue())), ("/a/real.pdf", bytearray(b"%PDF"))], "path string, content binary")
-    rows = [(r.doc_id, r.page_num, r.text, r.image is not None, r.width, r.height) for r in RD.unpack_bundles(files).collect()]
-    assert rows == [("doc", 2, "two", False, 0, 0), ("doc", 10, "ten", True, 3, 4)]
