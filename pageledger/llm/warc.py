@@ -166,11 +166,17 @@ def parse_arc(content: bytes, source: str, prefer_field: str) -> Iterator[tuple]
         value = fields.get(prefer_field.lower(), "")
         yield (
             str(uuid.uuid5(NAMESPACE, f"{source}:{offset}:{url}:{date}")), version, None if url == "-" else url, ip, arc_date(date), mime, status, kind, head, body,
-            hashlib.sha1(body).hexdigest(), hashlib.sha1(block).hexdigest(), int(value) if re.fullmatch(r"-?\d{1,18}", value) else None,
+            hashlib.sha1(body).hexdigest(), hashlib.sha1(block).hexdigest(), whole_number(value),
         )
         offset += len(line) + size
 
 
+def whole_number(text: str) -> int | None:
+    """A 64-bit number written in decimal digits, else nothing."""
+    n = int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
 def file_name(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
