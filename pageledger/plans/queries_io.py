@@ -146,11 +146,31 @@ register(
 
 
 def streamed_totals(fx):
-    path, checkpoint, name = folder(fx, "runs"), folder(fx, "checkpoint"), f"totals_{uuid.uuid4().hex}"
-    fx.runs.select("extraction_id", "num_machines").repartition(4).write.parquet(path)
-    stream = fx.spark.readStream.schema("extraction_id string, num_machines int").option("maxFilesPerTrigger", 2).parquet(path)
-    ST.run_totals_stream(stream, checkpoint, name).awaitTermination()
-    return fx.spark.table(name)
+    """Runs are recorded; some are recorded again with more machines, some dropped, some old records arrive once more; the stream is started anew for each of these."""
+    path, checkpoint, totals = folder(fx, "changes"), folder(fx, "checkpoint"), folder(fx, "totals")
+    runs = fx.runs.select("extraction_id", "num_machines")
+    change = lambda df, n, dropped=False: df.select("extraction_id", "num_machines", F.lit(dropped).alias("dropped"), F.lit(n).cast("long").alias("change_no"))
+    some = lambda k: F.pmod(F.crc32("extraction_id"), F.lit(7)) == k
+    stages = (
+        change(runs, 1), change(runs.where(some(1)).withColumn("num_machines", F.col("num_machines") + 5), 2).unionByName(change(runs.where(some(2)), 2)),
+        change(runs.where(some(3) | some(1)), 3, dropped=True), change(runs, 1).unionByName(change(runs.where(some(3) & (F.col("num_machines") > 1)), 4)),
+    )
+    for stage in stages:
+        stage.repartition(4).write.mode("append").parquet(path)
+        stream = fx.spark.readStream.schema(ST.CHANGES).option("maxFilesPerTrigger", 4).parquet(path)
+        ST.run_totals_stream(stream, checkpoint, totals).awaitTermination()
+    return ST.run_totals_table(fx.spark, totals)
+
+
+def _crc_mod_sql(text: str, k: int) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit, modulo k."""
+    bits = "list_reduce([xor(c, b)] || [0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: {bits}), 4294967295) % {k}"
 
 
-register("str_02_run_totals_stream", "SELECT count(*) AS n_runs, CAST(sum(num_machines) AS BIGINT) AS n_machines FROM fx_runs", "runs")(streamed_totals)
+register(
+    "str_02_run_totals_stream",
+    f"""WITH r AS (SELECT num_machines, {_crc_mod_sql('extraction_id', 7)} AS k FROM fx_runs)
+SELECT count(*) AS n_runs, CAST(sum(num_machines) AS BIGINT) AS n_machines FROM r WHERE k <> 1 AND (k <> 3 OR num_machines > 1)""",
+    "runs",
+)(streamed_totals)
