@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageledger.plans.registry import register
 from pageledger.session import delete_at_end, shared_dir
-from pageledger.sources import bundles as B, readers as RD, writers as W
+from pageledger.sources import bundles as B, readers as RD, runstore as RS, writers as W
 from pageledger.streaming import ingest as ST
 
 
@@ -87,6 +87,27 @@ register(
 )(written_cells)
 
 
+def committed_cells(fx, dropped=None):
+    """Many runs committed twice, some of them once more with other values; then some may be dropped and the store purged."""
+    path = folder(fx, "store")
+    run = F.concat(F.lit("ext_"), (F.col("row_no") % 23).cast("string"))
+    variant = F.concat(F.lit("V "), (F.col("row_no") % 3).cast("string"))
+    cells = W.workbook_rows(fx.cells_ref.select(run.alias("extraction_id"), F.col("sheet").alias("machine"), variant.alias("variant"), "row_no", "col_no", "value"))
+    again = F.col("extraction_id").isin("ext_0", "ext_1")
+    for part in (cells, cells, cells.filter(again).withColumn("value", F.concat("value", F.lit("!")))):
+        RS.write_runs_rows(part, path)
+    if dropped:
+        RS.drop_runs(cells.select("extraction_id").where(F.col("extraction_id").isin(*dropped)).distinct(), path, W.WORKBOOK_ROWS)
+        RS.purge(fx.spark, path, W.WORKBOOK_ROWS)
+    return RS.read_runs_rows(fx.spark, path, W.WORKBOOK_ROWS)
+
+
+_BOOKS = """SELECT extraction_id, unnest([extraction_id || '_' || m || '_V_' || v || '.xlsx', extraction_id || '_' || m || '_All_CatID.xlsx']) AS workbook, 'V ' || v AS sheet, row_no, col_no,
+ CASE WHEN row_no % 23 < 2 THEN value || '!' ELSE value END AS value FROM (SELECT *, 'ext_' || CAST(row_no % 23 AS VARCHAR) AS extraction_id, replace(sheet, ' ', '_') AS m, CAST(row_no % 3 AS VARCHAR) AS v FROM fx_cells_ref) x"""
+register("snk_01_consolidated_cells", _BOOKS, "cells_ref")(committed_cells)
+register("run_05_drop_runs_files", f"{_BOOKS} WHERE extraction_id NOT IN ('ext_1', 'ext_7', 'ext_22')", "cells_ref")(lambda fx: committed_cells(fx, ("ext_1", "ext_7", "ext_22")))
+
+
 def cached(fx):
     """Enriched replies, parsed again as a replay would."""
     from pageledger.operators import families as FA

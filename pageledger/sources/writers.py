@@ -43,6 +43,15 @@ def write_cells(cells: DataFrame, path: str) -> None:
     workbook_names(cells).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("extraction_id").parquet(path)
 
 
+WORKBOOK_ROWS = "extraction_id string, workbook string, sheet string, row_no long, col_no int, value string"
+
+
+def workbook_rows(cells: DataFrame) -> DataFrame:
+    """Each cell twice: in its variant's own workbook, and on its variant's sheet of the machine's consolidated workbook."""
+    each = F.explode(F.array(F.col("workbook"), F.col("consolidated")))
+    return workbook_names(cells).select("extraction_id", each.alias("workbook"), "sheet", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("int").alias("col_no"), "value")
+
+
 def response_cache(replies: DataFrame, families: DataFrame) -> DataFrame:
     """Replies enriched with label, title list and page range, so that a replay needs nothing else.
 
