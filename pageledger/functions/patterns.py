@@ -128,3 +128,12 @@ SPLIT_HEADER = r"\s+[\d.%()±+\-]+"
 # Comparison.
 PASS_PERCENT = 90.0
 WRONG_SAMPLES, MISSING_SAMPLES, EXTRA_SAMPLES = 50, 30, 30
+
+# What procedure pages say (fixed patterns, shared by the step rules and the SQL that checks them).
+COUPLE_VOLTAGE = r"(?i)symmetrically\s+reduce\b.*?\b(\d+)\s*V\b|\bcouple\b.*?\b(\d+)\s*V\b"
+RESET_HYSTERESIS = r"(?i)reset\s+hysteresis\s*(?:voltage\s*)?(?:should\s+be\s*)?(?:in\s+the\s+range\s+of\s*)?(\d+(?:\.\d+)?)\s*V?\s*(?:to|and|-)\s*(\d+(?:\.\d+)?)\s*V"
+TRIP_RANGE = r"range of (\d+(?:\.\d+)?)\s*V?\s*(?:to|-)\s*(\d+(?:\.\d+)?)\s*V"
+LOW_CUTOFF_BOTH = r"(?is)Low voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V\s+(\d+)\s*V\s*to\s*(\d+)\s*V"
+LOW_CUTOFF = r"(?is)Low voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V"
+HIGH_CUTOFF = r"(?is)High voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V"
+ASYMMETRY = r"(?is)Fix Phase Asymmetry.*?(\d+)\s*%.*?to\s*(\d+)\s*%.*?(\d+)\s*%.*?to\s*(\d+)\s*%"

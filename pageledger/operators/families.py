@@ -317,7 +317,7 @@ def prefix_vote(tables: DataFrame, families: DataFrame) -> tuple[DataFrame, Data
         .filter((F.col("_own") != "") & (F.col("_title") != "") & (F.col("_own") != F.col("_title")))
     )
     message = F.format_string(
-        "[%s] uniform OCR prefix mismatch: table='%s*' vs title='%s*' (flag only — do not auto-correct)", F.col("title"), F.col("_own"), F.col("_title")
+        "[%s] all columns begin with '%s', the title's models with '%s'; reported, not changed", F.col("title"), F.col("_own"), F.col("_title")
     )
     return judged.select("family", "outcome"), unknown.unionByName(_flag_rows(uniform, P.ALL_CHECKS[5], F.col("_own"), message))
 

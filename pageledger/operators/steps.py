@@ -54,7 +54,7 @@ def blank_step(steps: DataFrame, name: Column, step_idx: Column, section_break:
 
 def couple_voltage(pages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """The coupling voltage of the first page that names one."""
-    p = r"(?i)symmetrically\s+reduce\b.*?\b(\d+)\s*V\b|\bcouple\b.*?\b(\d+)\s*V\b"
+    p = P.COUPLE_VOLTAGE
     t = F.col("text")
     volts = F.when(t.rlike(p), F.coalesce(F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.regexp_extract(t, p, 2)))
     return pages.groupBy(*keys).agg(F.min_by(volts, F.when(volts.isNotNull(), F.col("page_num"))).alias("volts"))
@@ -129,11 +129,11 @@ def layout_a_context(pages: DataFrame, keys: Sequence[str] = KEYS, names: Column
     not searched for the section's nominal voltage.
     """
     t = F.coalesce("text", F.lit(""))
-    hyst = r"(?i)reset\s+hysteresis\s*(?:voltage\s*)?(?:should\s+be\s*)?(?:in\s+the\s+range\s+of\s*)?(\d+(?:\.\d+)?)\s*V?\s*(?:to|and|-)\s*(\d+(?:\.\d+)?)\s*V"
+    hyst = P.RESET_HYSTERESIS
     lows = F.zip_with(F.regexp_extract_all(t, F.lit(hyst), F.lit(1)), F.regexp_extract_all(t, F.lit(hyst), F.lit(2)), lambda a, b: F.least(a.try_cast("double"), b.try_cast("double")))
     recovery = F.bround(F.get(F.filter(lows, lambda v: v > 350), 0) / P.SQRT3) - 5
     symmetric = t.rlike(r"(?i)symmetric\s+ov|symmetr.*\sov\s")
-    span = r"range of (\d+(?:\.\d+)?)\s*V?\s*(?:to|-)\s*(\d+(?:\.\d+)?)\s*V"
+    span = P.TRIP_RANGE
     pairs = F.zip_with(
         F.regexp_extract_all(t, F.lit(f"(?i){span}"), F.lit(1)), F.regexp_extract_all(t, F.lit(f"(?i){span}"), F.lit(2)),
         lambda a, b: F.struct(F.least(a.try_cast("double"), b.try_cast("double")).alias("lo"), F.greatest(a.try_cast("double"), b.try_cast("double")).alias("hi")),

@@ -24,12 +24,10 @@ def layout_b_context(pages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     def ints(pattern: str, n: int) -> Column:
         return F.when(t.rlike(pattern), F.array(*[F.regexp_extract(t, pattern, i + 1).cast("int") for i in range(n)]))
 
-    both = r"(?is)Low voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V\s+(\d+)\s*V\s*to\s*(\d+)\s*V"
-    one = r"(?is)Low voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V"
     facts = pages.groupBy(*keys).agg(
-        _first(ints(r"(?i)(?:Set voltage|at)\s+(\d+)\s*V\s*Ph-N", 1)).alias("b"), _last(ints(both, 4)).alias("lv4"), _first(ints(one, 2)).alias("lv2"),
-        _last(ints(r"(?is)High voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V", 2)).alias("hv"),
-        _last(ints(r"(?is)Fix Phase Asymmetry.*?(\d+)\s*%.*?to\s*(\d+)\s*%.*?(\d+)\s*%.*?to\s*(\d+)\s*%", 4)).alias("as"),
+        _first(ints(r"(?i)(?:Set voltage|at)\s+(\d+)\s*V\s*Ph-N", 1)).alias("b"), _last(ints(P.LOW_CUTOFF_BOTH, 4)).alias("lv4"), _first(ints(P.LOW_CUTOFF, 2)).alias("lv2"),
+        _last(ints(P.HIGH_CUTOFF, 2)).alias("hv"),
+        _last(ints(P.ASYMMETRY, 4)).alias("as"),
         F.bool_or(t.rlike(r"(?i)repeat\s+procedure")).alias("has_repeat"),
     )
     lo = lambda c, i, j: F.least(F.get(c, i), F.get(c, j))

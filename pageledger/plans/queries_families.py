@@ -90,7 +90,7 @@ VOTE = f"""{CHAIN}, vo AS (SELECT family, title_submachines AS ts, CASE WHEN tit
  cp AS (SELECT family, table_idx, title, list_distinct(list_transform(cols, lambda c: {PFX.format(c='c')})) AS ps FROM ck WHERE kind = 'spec' AND len(cols) > 0)"""
 VOTE_FLAGS = f"""SELECT family, CAST(NULL AS INT) AS table_idx, 'cross_source_prefix_vote' AS rule_id, CAST(NULL AS VARCHAR) AS detail,
  'the vote on prefixes needs the title list, which is unknown' AS message, false AS info FROM vo WHERE outcome = 'could_not_run'
-UNION ALL SELECT cp.family, table_idx, 'cross_source_prefix_vote', ps[1], concat('[', title, '] uniform OCR prefix mismatch: table=''', ps[1], '*'' vs title=''', tpv, '*'' (flag only — do not auto-correct)'), false
+UNION ALL SELECT cp.family, table_idx, 'cross_source_prefix_vote', ps[1], concat('[', title, '] all columns begin with ''', ps[1], ''', the title''s models with ''', tpv, '''; reported, not changed'), false
  FROM cp JOIN tm USING (family) WHERE len(ps) = 1 AND ps[1] <> '' AND tpv <> '' AND ps[1] <> tpv"""
 
 

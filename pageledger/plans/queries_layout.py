@@ -9,10 +9,7 @@ from pageledger.plans.queries_steps import OUT, PN, PP, shown, shown_sql, three
 from pageledger.plans.registry import register
 
 BP, BS, SS = ("steps_b", "proc_pages"), ("specs", "steps_b"), ("specs", "steps")
-_LV4 = r"(?is)Low voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V\s+(\d+)\s*V\s*to\s*(\d+)\s*V"
-_LV2 = r"(?is)Low voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V"
-_HV = r"(?is)High voltage cut off.*?(\d+)\s*V\s*to\s*(\d+)\s*V"
-_AS = r"(?is)Fix Phase Asymmetry.*?(\d+)\s*%.*?to\s*(\d+)\s*%.*?(\d+)\s*%.*?to\s*(\d+)\s*%"
+_LV4, _LV2, _HV, _AS = P.LOW_CUTOFF_BOTH, P.LOW_CUTOFF, P.HIGH_CUTOFF, P.ASYMMETRY
 
 
 def ints(p: str, n: int) -> str:

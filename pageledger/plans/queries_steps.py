@@ -140,8 +140,8 @@ SELECT variant, CASE WHEN coalesce(h, false) OR (({full('lv_cutoff')} OR {full('
 FROM fx_specs LEFT JOIN h USING (variant)""",
     ("specs", "proc_pages"),
 )(lambda fx: S.procedure_layout(fx.specs, fx.proc_pages))
-COUPLE = r"""cp AS (SELECT variant, page_num, coalesce(nullif(regexp_extract(text, '(?i)symmetrically\s+reduce\b.*?\b(\d+)\s*V\b|\bcouple\b.*?\b(\d+)\s*V\b', 1), ''), regexp_extract(text, '(?i)symmetrically\s+reduce\b.*?\b(\d+)\s*V\b|\bcouple\b.*?\b(\d+)\s*V\b', 2)) AS v FROM fx_proc_pages
-   WHERE regexp_matches(text, '(?i)symmetrically\s+reduce\b.*?\b(\d+)\s*V\b|\bcouple\b.*?\b(\d+)\s*V\b')),
+COUPLE = rf"""cp AS (SELECT variant, page_num, coalesce(nullif(regexp_extract(text, {lit(P.COUPLE_VOLTAGE)}, 1), ''), regexp_extract(text, {lit(P.COUPLE_VOLTAGE)}, 2)) AS v FROM fx_proc_pages
+   WHERE regexp_matches(text, {lit(P.COUPLE_VOLTAGE)})),
  cv AS (SELECT variant, arg_min(v, page_num) AS volts FROM cp GROUP BY variant),
  ca AS (SELECT variant, min(CASE WHEN regexp_matches(step_name, '(?i)^(?:UV|OV)\s+symm+etrical\s+Healthy') THEN step_idx END) AS pos FROM fx_steps GROUP BY variant HAVING NOT bool_or(regexp_matches(step_name, '(?i)^supply\s+couple'))),
  un AS (SELECT variant, CAST(step_idx AS DOUBLE) AS o, step_name, section_break FROM fx_steps UNION ALL SELECT variant, pos - 0.5, concat('Supply couple at ', volts, ' VAC'), true FROM ca JOIN cv USING (variant) WHERE pos IS NOT NULL)"""
@@ -182,8 +182,7 @@ def num(x: str, p: str, g: int = 1) -> str:
     return f"try_cast(nullif(regexp_extract({x}, {lit(p)}, {g}), '') AS DOUBLE)"
 
 
-SPAN = r"range of (\d+(?:\.\d+)?)\s*V?\s*(?:to|-)\s*(\d+(?:\.\d+)?)\s*V"
-HYST = r"(?i)reset\s+hysteresis\s*(?:voltage\s*)?(?:should\s+be\s*)?(?:in\s+the\s+range\s+of\s*)?(\d+(?:\.\d+)?)\s*V?\s*(?:to|and|-)\s*(\d+(?:\.\d+)?)\s*V"
+SPAN, HYST = P.TRIP_RANGE, P.RESET_HYSTERESIS
 GRID5 = r"(?s)1\s+2\s+3\s+(\d)\s+(\d)\s+(\d).*?4\s+(\d).*?5\s+(\d)"
 LIST5 = r"(?s)\d\s*=\s*(\d).*?\d\s*=\s*(\d).*?\d\s*=\s*(\d).*?\d\s*=\s*(\d).*?\d\s*=\s*(\d)"
 
