@@ -3,8 +3,8 @@
 The lengths of all documents make one histogram. Dynamic programming over it chooses the bucket boundaries with the least padding. Within a bucket
 documents are numbered in a shuffled but fixed order and cut into batches of a token budget.
 
-A length is the words of a text and one end token. The histogram keeps lengths up to ``EXACT`` as they are and rounds longer ones up to three significant
-binary digits below their leading one (``FINE`` steps for each doubling), so it has a few thousand bins for any corpus and costs at most 1 / FINE of a length.
+A length is the words of a text and one end token. The histogram has a bin for every length that occurs, so the boundaries are the best of all for the true
+lengths. A corpus of W words has no more than sqrt(2 W) different lengths (100,000 for 30 GB, 6 million for 100 TB), and only these go to the driver.
 
 Defined results: null, empty and blank texts have length 1 (the end token). A document longer than the token budget makes a batch alone. Repeated rows are
 packed each by itself. An empty table gives an empty table. Other columns are kept out of the result.
@@ -12,14 +12,15 @@ packed each by itself. An empty table gives an empty table. Other columns are ke
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageledger.llm.common import word_array
 from pageledger.session import materialize
 
 BUCKETS, TOKEN_BUDGET = 16, 16_384
-EXACT, FINE = 1024, 256
 #: Documents of a bucket that one task numbers.
 CHUNK_ROWS = 100_000
 
@@ -28,27 +29,36 @@ def length(text: Column) -> Column:
     return (F.size(word_array(text)) + 1).cast("long")
 
 
-def rounded(n: Column) -> Column:
-    """The histogram bin of a length: itself up to EXACT, else the next multiple of a power of two that leaves FINE steps for each doubling."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - F.lit(int(np.log2(FINE))))
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long")).cast("long")
-
+def best_boundaries(sizes: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
+    """Upper ends of at most ``buckets`` buckets over sorted sizes with the least padding in all, by dynamic programming.
 
-def best_boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Upper ends of at most ``buckets`` buckets over sorted sizes with the least padding in all, by dynamic programming."""
+    With one bucket more, the best start ``i`` of the bucket that ends at ``j`` is the least of the lines ``cost[i] + mass[i] - many[i] * size``; slopes fall with i and sizes
+    rise with j, so the lower hull is walked once and a round takes time in proportion to the number of sizes.
+    """
     n = len(sizes)
-    many = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    mass = np.concatenate([[0], np.cumsum(counts * sizes)]).astype(np.float64)
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0
-    choices = []
-    for _ in range(min(buckets, n)):
-        new, choice = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        new[0] = 0
+    many, mass = array("q", [0]), array("q", [0])
+    for size, count in zip(sizes, counts):
+        many.append(many[-1] + count)
+        mass.append(mass[-1] + size * count)
+    # one bucket for all up to j
+    cost = array("q", [0] + [sizes[j - 1] * many[j] - mass[j] for j in range(1, n + 1)])
+    choices = [array("i", [0]) * (n + 1)]
+    for _ in range(1, min(buckets, n)):
+        new, choice = array("q", [0]), array("i", [0])
+        hull, at = [], 0  # (i, height, slope)
         for j in range(1, n + 1):
-            padding = cost[:j] + sizes[j - 1] * (many[j] - many[:j]) - (mass[j] - mass[:j])
-            choice[j] = int(np.argmin(padding))
-            new[j] = padding[choice[j]]
+            i, height, slope = j - 1, cost[j - 1] + mass[j - 1], many[j - 1]
+            while len(hull) - at >= 2:
+                (_, h1, s1), (_, h2, s2) = hull[-2], hull[-1]
+                if (height - h1) * (s2 - s1) > (h2 - h1) * (slope - s1):
+                    break
+                hull.pop()
+            hull.append((i, height, slope))
+            size = sizes[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][1] - hull[at + 1][2] * size < hull[at][1] - hull[at][2] * size:
+                at += 1
+            new.append(hull[at][1] - hull[at][2] * size + size * many[j] - mass[j])
+            choice.append(hull[at][0])
         cost = new
         choices.append(choice)
     ends, j = [], n
@@ -56,14 +66,17 @@ def best_boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int) -> list
         if j == 0:
             break
         ends.append(int(sizes[j - 1]))
-        j = int(choice[j])
+        j = choice[j]
     return ends[::-1]
 
 
 def boundaries(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Bucket ends for a table of ``n_tokens``, from the histogram of all rows."""
-    rows = lengths.groupBy(rounded(F.col("n_tokens")).alias("bin")).count().orderBy("bin").collect()  # a few thousand bins for any corpus
-    return best_boundaries(np.array([r["bin"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64), buckets) if rows else []
+    sizes, counts = array("q"), array("q")
+    for row in lengths.groupBy("n_tokens").count().orderBy("n_tokens").toLocalIterator():
+        sizes.append(row["n_tokens"])
+        counts.append(row["count"])
+    return best_boundaries(sizes, counts, buckets) if sizes else []
 
 
 def packed(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
@@ -74,7 +87,7 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BU
     chunks = max(1, -(-rows.count() // CHUNK_ROWS))
     number, end = F.lit(len(ends) - 1), F.lit(ends[-1] if ends else 1)
     for k in range(len(ends) - 2, -1, -1):
-        number, end = F.when(rounded(F.col("n_tokens")) <= ends[k], k).otherwise(number), F.when(rounded(F.col("n_tokens")) <= ends[k], ends[k]).otherwise(end)
+        number, end = F.when(F.col("n_tokens") <= ends[k], k).otherwise(number), F.when(F.col("n_tokens") <= ends[k], ends[k]).otherwise(end)
     width = 2.0**64 / chunks
     chunk = F.least(F.floor((F.col("_order").cast("double") + F.lit(2.0**63)) / F.lit(width)), F.lit(chunks - 1)).cast("long")
     placed = rows.select("doc_id", "n_tokens", "_order", number.cast("int").alias("bucket"), end.cast("long").alias("padded_length"), chunk.alias("_chunk"))

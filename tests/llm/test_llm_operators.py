@@ -261,6 +261,25 @@ def test_best_boundaries_equal_brute_force():
         assert cost(packing.best_boundaries(sizes, counts, k)) == best
 
 
+def test_best_boundaries_of_many_long_lengths():
+    """Lengths far above a thousand keep their own bins: the padding is that of a plain dynamic program over all of them."""
+    rnd = np.random.default_rng(3)
+    sizes = np.sort(rnd.choice(2_000_000, 400, replace=False)) + 1
+    counts = rnd.integers(1, 1000, 400)
+    padding = lambda i, j: int((counts[i:j] * (sizes[j - 1] - sizes[i:j])).sum())
+    best = [0, *[padding(0, j) for j in range(1, 401)]]
+    for _ in range(4):
+        best = [0, *[min(best[i] + padding(i, j) for i in range(j)) for j in range(1, 401)]]
+    ends = packing.best_boundaries(sizes.tolist(), counts.tolist(), 5)
+    places = np.searchsorted(ends, sizes)
+    assert len(ends) == 5 and int((counts * (np.array(ends)[places] - sizes)).sum()) == best[400]
+
+
+def test_packing_pads_to_lengths_that_occur(spark):
+    docs = spark.createDataFrame([(i, "w " * k, "") for i, k in enumerate([1500, 1501, 1501, 5003, 5003, 9000])], DOCS)
+    assert sorted(r.padded_length for r in packing.packed(docs, buckets=3).collect()) == [1502, 1502, 1502, 5004, 5004, 9001]
+
+
 def test_packing_batches(spark):
     rnd = random.Random(5)
     docs = spark.createDataFrame([(i, prose(rnd, rnd.choice([3, 40, 700, 3000]) + rnd.randrange(30)), "") for i in range(300)], DOCS)
