@@ -173,6 +173,42 @@ def test_near_classes_equal_brute_force(spark, n, percent):
     assert {r.doc_id: r.n_shingles for r in got} == {k: len(s) for k, s in sets.items()}
 
 
+def test_near_hot_group_around_the_threshold(spark):
+    """Hundreds of copies of one text, most pairs of them just below the threshold: no link is lost, and few pairs are compared."""
+    rnd, n, percent, sets, rows = random.Random(9), 3, 85, {}, []
+    base = prose(rnd, 120, 5000).split()
+    for key in range(400):
+        copy = list(base)
+        for _ in range(rnd.randint(1, 6)):  # words of a small store, so that copies share some edits
+            copy[rnd.randrange(len(copy))] = f"z{rnd.randrange(4)}"
+        rows.append((key, " ".join(copy), ""))
+        sets[key] = {tuple(copy[i : i + n]) for i in range(len(copy) - n + 1)}
+    docs = spark.createDataFrame(rows, DOCS)
+    got = near.near_classes(docs, n=n, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == components_of(sets, percent)
+
+
+def test_prefix_pairs_lose_no_pair(spark):
+    rnd, percent, sets = random.Random(4), 80, {}
+    for key in range(150):
+        of = sets[rnd.randrange(key)] if key % 3 else set()
+        kept = {x for x in of if rnd.random() > rnd.choice([0, 0.05, 0.1, 0.2])}
+        sets[key] = kept | {rnd.getrandbits(40) for _ in range(rnd.choice([0, 1, 2, 8]) + (0 if kept else rnd.choice([1, 2, 5, 30, 90])))}
+    component = {k: k // 2 for k in sets}
+    rows = [(k, 0, component[k], len(s), x) for k, s in sets.items() for x in s]
+    pairs = near.prefix_pairs(spark.createDataFrame(rows, "id long, part long, component long, n long, shingle long"), percent).collect()
+    linked = {(a, b) for a in sets for b in sets if a > b and component[a] != component[b] and (both := len(sets[a] & sets[b])) and 100 * both >= percent * len(sets[a] | sets[b])}
+    assert linked and linked <= {(r.a, r.b) for r in pairs} and len(pairs) == len(set(pairs))
+
+
+def test_near_rows_of_one_document_with_different_texts(spark):
+    rnd = random.Random(8)
+    a, b, c, d = (prose(rnd, 60) for _ in range(4))
+    rows = [(1, a, ""), (1, b, ""), (2, a + " more", ""), (3, b + " more", ""), (5, c, ""), (4, c, ""), (5, d, ""), (6, d, ""), (7, d + " more", ""), (8, prose(rnd, 60), "")]
+    got = near.near_classes(spark.createDataFrame(rows, DOCS), n=3, percent=85).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == {(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 1, (5, 4): 2, (6, 4): 1, (7, 4): 1, (8, 8): 1}
+
+
 def test_repeated_passages(spark):
     rnd, rows, where = random.Random(3), [], collections.defaultdict(list)
     shared = [prose(rnd, k).split() for k in (51, 60, 120, 300)]
