@@ -228,7 +228,7 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BA
     # classes that meet in a document are one component
     owned = full.join(classes, "digest").select("doc_id", "id")
     several = owned.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("hi")).where("b < hi").select("doc_id", "b")
-    links = owned.join(several, "doc_id").where("id > b").select(F.col("id").alias("a"), "b").distinct()
+    links = materialize(owned.join(several, "doc_id").where("id > b").select(F.col("id").alias("a"), "b").distinct())
 
     rest = buckets.withColumn("component", F.col("id"))
     pairs = hub_pairs(rest.withColumn("rank", F.lit(0)))
