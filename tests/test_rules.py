@@ -43,6 +43,17 @@ def test_lv_clash_alone_keeps_the_ranges(spark):
     assert tuple(Q.sanitize_specs(specs, flags, compat=True).first()) == ("m", "v", None, None, "200", "150")
 
 
+def test_a_clash_clears_its_own_row_only(spark):
+    rows = [("m", "v", "100 to 110", "105 to 130", "200", "250"), ("m", "v", "100 to 110", "120 to 130", "200", "150"), ("m", "v", "90 to 95", "120 to 130", "200", "250")]
+    specs = spark.createDataFrame(rows, "machine string, variant string, uv_range string, ov_range string, lv_cutoff string, hv_cutoff string")
+    flags = Q.order_rules(specs)
+    got = lambda compat: sorted((tuple(r)[2:] for r in Q.sanitize_specs(specs, flags, compat=compat).collect()), key=str)
+    whole = ("90 to 95", "120 to 130", "200", "250")
+    assert got(False) == sorted([(None, None, "200", "250"), ("100 to 110", "120 to 130", "200", None), whole], key=str)
+    assert got(True) == sorted([(None, None, "200", "250"), (None, None, "200", "150"), whole], key=str)
+    assert Q.sanitize_specs(specs, flags.limit(0)).exceptAll(specs).count() == 0
+
+
 @pytest.mark.parametrize("base, yb, bn", [(240, 415, 240), (240, 239, None), (120, 159, 61)])
 def test_line_voltage_and_its_inverse(spark, base, yb, bn):
     assert one(spark, B.phase_for_line(F.col("b"), F.col("y")), b=base, y=yb) == bn
