@@ -19,8 +19,12 @@ class QualityReport:
 
 
 def flag_steps(steps: DataFrame, specs: DataFrame) -> DataFrame:
-    """Cleaned steps with all their flags in the array ``step_flags``: one join, one pass."""
-    expected = specs.select("variant", Q.expected_led_labels(F.col("led_indications")).alias("expected"))
+    """Cleaned steps with all their flags in the array ``step_flags``: one join, one pass.
+
+    Specs of one variant count together, so no step is there twice: what one of them expects (five labels at most) should be shown.
+    """
+    labels = Q.expected_led_labels(F.col("led_indications"))
+    expected = specs.groupBy("variant").agg(F.array_distinct(F.flatten(F.collect_set(labels))).alias("expected"))
     before = F.concat(Q.voltage_rule_set(), Q.led_rule_set(), Q.step_delay_rule_set())
     cleaned = Q.clean_voltages(steps.join(expected, "variant").withColumn("_before", before))
     return cleaned.withColumn("step_flags", F.concat("_before", Q.step_rule_set())).drop("_before", "expected")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pageledger.functions.values import parse_range
 from pageledger.operators import compare as C, families as FA, grid as G, layout as L, quality as Q, replies as J, steps as S, steps_b as B, text as T
+from pageledger.plans.quality import quality_report
 
 
 def one(spark, column, **values):
@@ -54,6 +55,24 @@ def test_a_clash_clears_its_own_row_only(spark):
     assert Q.sanitize_specs(specs, flags.limit(0)).exceptAll(specs).count() == 0
 
 
+def test_specs_that_share_a_variant_do_not_multiply_its_steps(spark):
+    cols = ("voltage_unit", "ref_voltage", "uv_threshold_pct", "ov_threshold_pct", "uv_range", "ov_range", "asymmetry", "lv_cutoff", "hv_cutoff", "on_delay", "off_delay")
+    blank = ", ".join(f"CAST(NULL AS STRING) AS {c}" for c in cols)
+    specs = spark.sql(f"SELECT 'm' AS machine, variant, {blank}, map(led, 'on') AS led_indications FROM VALUES ('v', 'UV'), ('v', 'OV'), ('w', 'UV'), ('w', 'OV') t(variant, led)")
+    steps = spark.sql(
+        """SELECT 'v' AS variant, step_idx, 'x' AS step_name, array('UV = 1%') AS settings, array(v, 'YN : 1', 'BN : 1') AS voltages_pn, CAST(array() AS ARRAY<STRING>) AS voltage_pp, array(led) AS leds, 'ON' AS relay_status,
+ '1 s' AS on_delay, '1 s' AS off_delay, false AS section_break FROM VALUES (1, 'RN : 1', 'UV : ON'), (2, 'none', 'UV : ON'), (2, 'none', 'UV : ON') t(step_idx, v, led)"""
+    )
+    report = quality_report(specs, steps)
+    assert report.steps.count() == 3
+    counted = Q.step_counts(report.steps.withColumn("flagged", F.size("step_flags") > 0)).first()
+    assert (counted.n_steps, counted.n_voltage_steps, counted.flagged_steps) == (3, 3, 2)
+    flags = {r.variant: (r.n, r.spec_flags) for r in report.variants.groupBy("variant").agg(F.count("*").alias("n"), F.max("spec_flags").alias("spec_flags")).collect()}
+    raised = report.spec_flags.groupBy("variant").agg(F.count_if(F.col("rule_id") != "NO_STEPS").alias("n")).collect()
+    others = {r.variant: r.n for r in raised}
+    assert flags == {"v": (2, others.get("v", 0)), "w": (2, others.get("w", 0) + 1)}
+
+
 @pytest.mark.parametrize("base, yb, bn", [(240, 415, 240), (240, 239, None), (120, 159, 61)])
 def test_line_voltage_and_its_inverse(spark, base, yb, bn):
     assert one(spark, B.phase_for_line(F.col("b"), F.col("y")), b=base, y=yb) == bn
