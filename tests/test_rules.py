@@ -73,6 +73,13 @@ def test_specs_that_share_a_variant_do_not_multiply_its_steps(spark):
     assert flags == {"v": (2, others.get("v", 0)), "w": (2, others.get("w", 0) + 1)}
 
 
+def test_a_page_used_twice_is_listed_twice(spark):
+    v = spark.createDataFrame([("v",), ("w",)], "variant string")
+    pages = spark.createDataFrame([("v", 1, 2), ("v", 2, 1), ("v", 3, 1)], "variant string, rank int, page_num int")
+    got = {r.variant: (r.spec_pages, r.proc_pages, r.raw_step_count) for r in Q.audit(v, pages, pages.limit(0), v, pages, ["variant"]).collect()}
+    assert got == {"v": ([1, 1, 2], [], 3), "w": ([], [], 0)}
+
+
 @pytest.mark.parametrize("base, yb, bn", [(240, 415, 240), (240, 239, None), (120, 159, 61)])
 def test_line_voltage_and_its_inverse(spark, base, yb, bn):
     assert one(spark, B.phase_for_line(F.col("b"), F.col("y")), b=base, y=yb) == bn
