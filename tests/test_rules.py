@@ -80,6 +80,17 @@ def test_a_page_used_twice_is_listed_twice(spark):
     assert got == {"v": ([1, 1, 2], [], 3), "w": ([], [], 0)}
 
 
+def test_steps_that_share_the_first_number_are_all_first(spark):
+    rows = [("v", i, n, d) for i, n, d in ((1, "DIP S/W setting", 1), (1, "DIP S/W setting", 2), (2, "DIP S/W setting", 3), (2, "healthy", 4), (2, "healthy", 5), (3, "healthy", 6))]
+    steps = spark.createDataFrame(rows, "variant string, step_idx int, step_name string, d int").selectExpr(
+        "*", "array() AS settings", "array('RN : 1') AS voltages_pn", "array('RY : 1') AS voltage_pp", "array('UV : ON') AS leds", "'ON' AS relay_status", "false AS section_break"
+    )
+    kinds = L.step_advance(steps, spark.createDataFrame([("v", "A"), ("v", "B")], "variant string, layout string")).select("layout", "d", "kind", "advance").collect()
+    assert [r.kind for r in sorted(kinds) if r.layout == "A"] == ["header_dip", "header_dip", "dip", "step", "step", "step"]
+    # with layout B the first step takes three rows more, the others two
+    assert [r.advance for r in sorted(kinds) if r.layout == "B" and r.kind == "step"] == [6, 6, 5]
+
+
 @pytest.mark.parametrize("base, yb, bn", [(240, 415, 240), (240, 239, None), (120, 159, 61)])
 def test_line_voltage_and_its_inverse(spark, base, yb, bn):
     assert one(spark, B.phase_for_line(F.col("b"), F.col("y")), b=base, y=yb) == bn
