@@ -4,6 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pageledger.functions.text import split_lines
 from pageledger.functions.values import parse_range
 from pageledger.operators import compare as C, families as FA, grid as G, layout as L, quality as Q, replies as J, steps as S, steps_b as B, text as T
 from pageledger.plans.quality import quality_report
@@ -154,3 +155,16 @@ def test_name_ties_go_to_the_first_seen(spark):
 def test_scope_runs_over_pages(spark):
     pages = spark.createDataFrame([(1, 1, "x. SCOPE: SM1 / MAG1A"), (1, 2, "SM2_A"), (1, 3, "SM3, SM4"), (1, 4, "SM5")], "doc_id int, page_num int, text string")
     assert [r.member for r in T.scope_members(pages).orderBy("member_no").collect()] == ["SM1", "MAG1A", "SM2_A", "SM3"]
+
+
+def test_lines_are_those_of_python(spark):
+    texts = ["", "\n", "a", "a\n", "a\n\n", "\n\n", "a\r\n", "a\r\nb\n", "\r", "a\x85b\n", "a ", "\n\r", "é\nü\n", "a\x1c\n", "a\x0b", "ab\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split_lines(F.col("t")).alias("lines")).collect()
+    assert {r.t: r.lines for r in got} == {t: t.splitlines() or [""] for t in texts}
+
+
+def test_names_in_scope_are_searched_once(spark):
+    pages = spark.createDataFrame([(1, 1, "SCOPE: SM10 / MAG03"), (2, 1, "MAG03D MAG03D MAG03D")], "doc_id int, page_num int, text string")
+    names = T.block_names(pages)
+    assert {tuple(r) for r in names.collect()} == {(1, "SM10"), (1, "MAG03"), (2, "MAG03D")}
+    assert "SCOPE" not in names._jdf.queryExecution().optimizedPlan().toString()
