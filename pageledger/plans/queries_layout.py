@@ -7,6 +7,7 @@ from pageledger.operators import compare as C, layout as L, steps_b as B
 from pageledger.plans.queries_quality import full
 from pageledger.plans.queries_steps import OUT, PN, PP, shown, shown_sql, three
 from pageledger.plans.registry import register
+from pageledger.session import materialize
 
 BP, BS, SS = ("steps_b", "proc_pages"), ("specs", "steps_b"), ("specs", "steps")
 _LV4, _LV2, _HV, _AS = P.LOW_CUTOFF_BOTH, P.LOW_CUTOFF, P.HIGH_CUTOFF, P.ASYMMETRY
@@ -212,4 +213,4 @@ register(
     f"""WITH {cells_sql(ADV_B)}, pc AS (SELECT *, (row_no * 31 + col_no) % 40 AS turn FROM ce), n AS (SELECT variant AS sheet, count_if(turn NOT IN (3, 7))::BIGINT AS correct, count_if(turn = 7)::BIGINT AS wrong, count_if(turn = 3)::BIGINT AS missing, 0::BIGINT AS extra, count(*) AS total FROM pc GROUP BY variant)
 SELECT *, correct / total * 100 AS percent, CASE WHEN correct / total * 100 >= 90 THEN 'PASS' ELSE 'FAIL' END AS status FROM n""",
     BS,
-)(lambda fx: (lambda c: C.accuracy(as_sheet(c), as_sheet(perturbed(c))))(L.sheet_cells(fx.specs, fx.steps_b)))
+)(lambda fx: (lambda c: C.accuracy(as_sheet(c), as_sheet(perturbed(c))))(materialize(L.sheet_cells(fx.specs, fx.steps_b))))  # a sheet is stored, then compared

@@ -92,6 +92,16 @@ def test_steps_that_share_the_first_number_are_all_first(spark):
     assert [r.advance for r in sorted(kinds) if r.layout == "B" and r.kind == "step"] == [6, 6, 5]
 
 
+def test_specs_that_share_a_variant_write_a_header_once(spark):
+    text = ("uv_threshold_pct", "ov_threshold_pct", "uv_range", "ov_range", "lv_cutoff", "hv_cutoff")
+    one = "variant string, ref_voltage string, dip_switches array<string>"
+    specs = spark.createDataFrame([("v", "240", ["1 : ON"]), ("v", None, []), ("v", None, ["2: OFF", "3: ON"])], one).withColumns({c: F.lit("5") for c in text})
+    steps = spark.createDataFrame([], "variant string, leds array<string>")
+    cells = L.header_cells(specs, L.detect_layout(specs, steps), steps).select("c.*").collect()
+    assert len(cells) == len({(c.row, c.col) for c in cells}) == len(L.HEADER["A"]) + 3
+    assert [c.value for c in cells if c.col == 7 and c.row in (3, 4)] == ["2: OFF", "3: ON"] and cells[-1].value == L.NO_DATA
+
+
 @pytest.mark.parametrize("base, yb, bn", [(240, 415, 240), (240, 239, None), (120, 159, 61)])
 def test_line_voltage_and_its_inverse(spark, base, yb, bn):
     assert one(spark, B.phase_for_line(F.col("b"), F.col("y")), b=base, y=yb) == bn
