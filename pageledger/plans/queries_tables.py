@@ -80,7 +80,7 @@ for _fx in ("pages", "doc_pages", "manual"):
         f"grd_01_grid_rows_{_fx}",
         f"WITH {GRID1.format(src='fx_' + _fx)} SELECT doc_id, page_num, row_idx, array_to_string(cells, '|') AS cells FROM gr WHERE n >= 2",
         _fx,
-    )(lambda fx, f=_fx: G.grid_rows(getattr(fx, f)).withColumn("cells", F.array_join("cells", "|")))
+    )(lambda fx, f=_fx: G.grid_rows(fx.unstored(f)).withColumn("cells", F.array_join("cells", "|")))
 
 BARE = r"regexp_replace(upper({c}), '[^\p{{L}}\p{{N}}_]', '', 'g')"
 LIKE = f"(length({{b}}) BETWEEN 3 AND 12 AND regexp_matches({{b}}, '[A-Z]') AND regexp_matches({{b}}, '[0-9]') AND {{b}} NOT IN {sql_list(P.GENERIC_HEADER_WORDS)})"

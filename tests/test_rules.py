@@ -4,7 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pageledger.functions.text import split_lines
+from pageledger.functions.text import split_lines, wide_gaps
 from pageledger.functions.values import parse_range
 from pageledger.operators import compare as C, families as FA, grid as G, layout as L, quality as Q, replies as J, steps as S, steps_b as B, text as T
 from pageledger.plans.quality import quality_report
@@ -178,3 +178,18 @@ def test_names_in_scope_are_searched_once(spark):
     names = T.block_names(pages)
     assert {tuple(r) for r in names.collect()} == {(1, "SM10"), (1, "MAG03"), (2, "MAG03D")}
     assert "SCOPE" not in names._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("text, want", [("a  b \t c\nd", 2), ("a\u00a0 b  é", 2), ("é \x1fx", 1), ("a\x85b", 0), ("", 0)])
+def test_wide_gaps(spark, text, want):
+    assert one(spark, wide_gaps(F.col("t")), t=text) == want
+
+
+def test_a_table_that_is_read_once_is_not_stored(spark):
+    from pageledger.plans.registry import QUERIES
+    from pageledger.session import tables_made
+
+    before = len(tables_made)
+    for name in ("pgc_01_score_table_pages_manual", "pgc_02_tag_pages_manual", "grd_01_grid_rows_manual", "seg_01_tag_section_lines_manual"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(tables_made) == before
