@@ -13,6 +13,8 @@ do not matter. Empty tables give an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageledger.llm.common import WORD
@@ -30,17 +32,20 @@ UNITS = (
     "km", "cm", "mm", "kg", "mg", "ml", "kilometers", "kilometres", "miles", "meters", "metres", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres", "gallons",
     "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "cents", "euros", "percent", "degrees", "kwh", "mph",
 )
-NUMBER_PATTERN = r"(?<![\p{L}\p{N}.,])[0-9]+(?:[.,:][0-9]+)*(?![\p{L}\p{N}])"
-UNIT_PATTERN = r"(?i)(?<=<num> )(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
-NAME_PATTERN = r"(?<=[\p{Ll}\p{N},;>] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
-TRIM_PATTERN = r"(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<>\x20\x09-\x0D]+(?=[\x20\x09-\x0D]|$)|(?<=[\x20\x09-\x0D]|^)[^\p{L}\p{N}<>\x20\x09-\x0D]+(?=[\p{L}\p{N}<])"
+# Each begins with a look at one character that most places fail: a look behind at every character takes longer.
+NUMBER_PATTERN = r"(?=[0-9])(?<![\p{L}\p{N}.,])[0-9]+(?:[.,:][0-9]+)*(?![\p{L}\p{N}])"
+UNIT_PATTERN = r"(?i)(<num> )(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
+NAME_PATTERN = r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;>] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+TRIM_PATTERN = (
+    r"(?![a-z0-9 ])(?:(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<>\x20\x09-\x0D]++(?=[\x20\x09-\x0D]|$)|(?<=[\x20\x09-\x0D]|^)[^\p{L}\p{N}<>\x20\x09-\x0D]++(?=[\p{L}\p{N}<]))"
+)
 
 
 def template(text: Column) -> Column:
     """The text with placeholders; it has as many words as before, so places in both agree."""
     out = F.regexp_replace(text, NAME_PATTERN, NAME)
     out = F.regexp_replace(out, NUMBER_PATTERN, NUMBER)
-    out = F.regexp_replace(out, UNIT_PATTERN, UNIT)
+    out = F.regexp_replace(out, UNIT_PATTERN, f"$1{UNIT}")
     return F.regexp_replace(F.lower(out), TRIM_PATTERN, "")
 
 
@@ -57,17 +62,16 @@ def bare(word: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """``key, pos, h`` for every window of a text with enough literal words."""
-    t = rows.select(key, words(template(F.col("text"))).alias("w"))
-    starts = F.slice("w", 1, F.greatest(F.size("w") - (WINDOW - 1), F.lit(0)))
-    # one hash for each window; null where too few words are literal
-    hashed = F.transform(
-        starts,
-        lambda _, i: F.when(
-            F.size(F.filter(F.slice("w", i + 1, WINDOW), lambda x: ~F.startswith(x, F.lit("<")))) >= LITERAL, F.xxhash64(F.slice("w", i + 1, WINDOW))
-        ),
-    )
-    return t.select(key, F.posexplode(hashed).alias("pos", "h")).where("h IS NOT NULL")
+    """``key, pos, h`` for every window of a text with enough literal words.
+
+    Words are hashed once and windows take hashes by their place: a slice of an array copies the whole array first, once for each window.
+    """
+    # never null, and exploded with "outer": else the optimizer filters nulls and empty arrays first and makes the template twice
+    w = rows.select(key, words(template(F.coalesce("text", F.lit("")))).alias("w"))
+    t = w.select(key, F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("w", lambda x: F.startswith(x, F.lit("<")).cast("int")).alias("signs"))
+    placed = t.select(key, "hashes", "signs", F.posexplode_outer("signs").alias("pos", "sign")).where(F.col("pos") + WINDOW <= F.size("signs"))
+    at = lambda name: [F.get(name, F.col("pos") + k) for k in range(WINDOW)]
+    return placed.where(reduce(lambda a, b: a + b, at("signs")) <= WINDOW - LITERAL).select(key, "pos", F.xxhash64(*at("hashes")).alias("h"))
 
 
 def one_row_each(rows: DataFrame, key: str) -> DataFrame:
@@ -147,14 +151,14 @@ def plain(text: Column) -> Column:
 def whole_items(docs: DataFrame, benchmark: DataFrame, own: DataFrame) -> DataFrame:
     """The same rows for items without a usable window, which count where all their words stand one after another."""
     rest = distinct_items(benchmark).join(own.select("item_id").distinct(), "item_id", "left_anti").select("item_id", plain(F.col("text")).alias("item"))
-    rest = materialize(rest.where(F.size("item") >= SHORTEST).withColumn("n", F.least(F.size("item"), F.lit(WINDOW))).withColumn("h", F.xxhash64("n", F.slice("item", 1, F.col("n")))))
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", plain(F.col("text")).alias("w"))
+    rest = materialize(rest.where(F.size("item") >= SHORTEST).withColumn("n", F.least(F.size("item"), F.lit(WINDOW))).withColumn("h", F.xxhash64("n", F.transform(F.slice("item", 1, F.col("n")), lambda x: F.xxhash64(x)))))
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.transform(plain(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)).alias("hashes"))
     # at most WINDOW lengths; without such items no text is read
     lengths = sorted(r.n for r in rest.select("n").distinct().collect())
 
     def starts_of(n: int) -> Column:
-        heads = F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0)))
-        return F.transform(heads, lambda _, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(n), F.slice("w", i + 1, n)).alias("h")))
+        places = F.when(F.size("hashes") >= n, F.sequence(F.lit(0), F.size("hashes") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(n), F.array(*[F.get("hashes", i + k) for k in range(n)])).alias("h")))
 
     empty = "doc_id LONG, item_id LONG, first_word LONG, n_windows LONG, item_windows LONG, n_slots LONG, verbatim BOOLEAN"
     if not lengths:
