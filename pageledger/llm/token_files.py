@@ -11,6 +11,8 @@ hash of the text, the index gives the first; the directory has them all. An empt
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pageledger.llm.common import SharedFile, mix, new_folder, open_fs, pieces, split_words, text_column
-from pageledger.llm.tokens import Cache, tokenizer
+from pageledger.llm.tokens import Cache, special_pattern, tokenizer
 from pageledger.session import materialize
 
 MAGIC = b"PLIDS001"
@@ -33,16 +35,56 @@ KEYS_PER_BUCKET = 50_000
 DIRECTORY = "shard int, offset long, doc_id long, n_tokens long"
 
 
+#: Normalizer and pre-tokenizer of a tokenizer whose words may be cut here: it lower-cases, and merges within letters, a digit, or other signs.
+CUT_HERE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+#: Words of these characters have one normal form, and their cuts are those of the pattern above.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PIECES_KEPT = 200_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level model."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Encoder:
-    """Ids of texts: words between ASCII white space are encoded apart, which this kind of tokenizer (white space dropped, merges within words) allows."""
+    """Ids of texts: words between ASCII white space are encoded apart, which this kind of tokenizer (white space dropped, merges within words) allows.
+
+    Where the tokenizer's own rules are those of ``CUT_HERE``, a plain word is cut into its pieces here and only the merges are left to the library; pieces are fewer than
+    words. Every other word goes to the library whole.
+    """
 
     def __init__(self, path: str, end_id: int):
         self.encoder, self.end_id = tokenizer(path), end_id
+        self.model = self.encoder.model
         self.type = np.dtype("<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words = Cache(self.word)
+        self.words, self.pieces = Cache(self.word), Cache(self.piece, PIECES_KEPT)
+        rules = json.loads(self.encoder.to_str())
+        self.cuts = (rules["normalizer"], rules["pre_tokenizer"]) == CUT_HERE and rules["model"]["type"] == "BPE"
+        self.added = special_pattern(path)
 
     def word(self, word: str) -> bytes:
-        return np.array(self.encoder.encode(word, add_special_tokens=False).ids, self.type).tobytes()
+        if self.cuts and PLAIN.fullmatch(word) and not (self.added and self.added.search(word)):
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
+        return self.packed(self.encoder.encode(word, add_special_tokens=False).ids)
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return self.packed([t.id for t in self.model.tokenize(shown)])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.type.char}", *ids)
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with their end ids, and the number for each text."""
