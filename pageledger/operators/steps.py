@@ -170,7 +170,7 @@ def layout_a_context(pages: DataFrame, keys: Sequence[str] = KEYS, names: Column
 
 def section_state(steps: DataFrame, ctx: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds ``later`` (from the first "supply off change" on), ``pair`` (1 or 2 in a run-time DIP pair), ``nominal`` (phase voltage of the
-    later section) and ``ov_seen`` (an earlier step name holds "ov").
+    later section) and ``ov_seen`` (an earlier step name holds "ov"). Steps that share a number enter the later section together.
 
     The nominal comes from the pages; a couple step's own voltage overrides it; the voltage in a couple step's name counts only
     while nothing else is known.
@@ -189,7 +189,7 @@ def section_state(steps: DataFrame, ctx: DataFrame, keys: Sequence[str] = KEYS)
     second = F.coalesce("_prev_run", F.lit(False)) & ((place - 1) % 2 == 1) & dip
     paired = near.withColumn("pair", F.when(first, 1).when(second, 2).otherwise(0)).drop("_prev_run", "_next_dip", "_last_other")
     alone = F.col("pair") == 0
-    opened = with_running(paired, k, "step_idx", width=width, later=running_max(alone & _has("supply off change")), ov_seen=running_max(_has("ov"), inclusive=False))
+    opened = with_running(paired, k, "step_idx", width=width, later=running_max(alone & _has("supply off change"), peers=True), ov_seen=running_max(_has("ov"), inclusive=False))
     opened = opened.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("later", "ov_seen")})
     couple = alone & F.col("later") & _has("supply couple")
     own = F.when(couple, voltage_value(F.get("voltages_pn", 0)))
@@ -197,7 +197,8 @@ def section_state(steps: DataFrame, ctx: DataFrame, keys: Sequence[str] = KEYS)
     named = F.when(couple, F.when(named > 300, F.bround(named / P.SQRT3, 1)).otherwise(named))
     # the earliest name voltage: the running maximum of (-position, value)
     out = with_running(
-        opened, k, "step_idx", width=width, _own=running_last(own), _named=running_max(F.when(named.isNotNull(), F.struct((-F.col("step_idx")).alias("at"), named.alias("v"))))
+        opened, k, "step_idx", width=width, _own=running_last(own, peers=True),
+        _named=running_max(F.when(named.isNotNull(), F.struct((-F.col("step_idx")).alias("at"), named.alias("v"))), peers=True),
     ).join(ctx.select(*k, F.col("nominal").alias("_page_nominal")), k, "left")
     return out.withColumn("nominal", F.coalesce("_own", "_page_nominal", F.col("_named.v"))).drop("_own", "_named", "_page_nominal")
 
