@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageledger.functions import patterns as P
 from pageledger.functions.text import filled, first_match, rx, strip
 from pageledger.functions.values import PN, PP, is_spurious_delay, phases, plain_number, voltage_value
-from pageledger.operators.ordered import following, previous, renumber, running_last, running_max, width_for, with_running
+from pageledger.operators.ordered import following, previous, renumber, running_last, running_max, running_sum, width_for, with_running
 
 KEYS = ("variant",)
 OV_KINDS = "ov healthy|ov faulty|ov hystersis"
@@ -328,15 +328,15 @@ def phase_angle_entry(state: DataFrame) -> DataFrame:
 
 
 def dedupe_healthy(steps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """From the change of section on only the first "healthy condition" stays."""
+    """From the change of section on only one "healthy condition" stays: the first, or one of those that share its number."""
     k = list(keys)
     n = _name()
-    start = steps.groupBy(*k).agg(F.min(F.when(_has("supply off change", n), F.col("step_idx"))).alias("_start"))
-    marked = steps.join(start, k)
-    again = (F.col("step_idx") >= F.col("_start")) & (n == "healthy condition")
-    first = marked.filter(again).groupBy(*k).agg(F.min("step_idx").alias("_first"))
-    repeat = again & (F.col("step_idx") > F.col("_first"))
-    return marked.join(first, k, "left").filter(~F.coalesce(repeat, F.lit(False))).select(*steps.columns)
+    placed = steps.dropna(subset=[*k])
+    width = width_for(placed, k, "step_idx")
+    later = with_running(placed, k, "step_idx", width=width, _later=running_max(F.col("step_idx").isNotNull() & _has("supply off change", n), peers=True))
+    again = F.coalesce(F.col("_later") & F.col("step_idx").isNotNull() & (n == "healthy condition"), F.lit(False))
+    counted = with_running(later, k, "step_idx", width=width, _nth=running_sum(F.when(again, 1)))
+    return counted.filter(~(again & (F.col("_nth") > 1))).select(*steps.columns)
 
 
 def link_specs_to_steps(steps: DataFrame, specs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -26,7 +26,7 @@ def layout_a(steps: DataFrame, pages: DataFrame, keys: Sequence[str] = A.KEYS, n
     state = A.runtime_dip_pair(state, context, keys)
     state = A.symmetric_ov(A.section_b_settings(state, context, keys), context, keys)
     state = A.correct_nominal(A.derive_phase_phase(A.settings_spacing(state)))
-    once = A.dedupe_healthy(materialize(A.phase_angle_entry(state)), keys)  # read three times there
+    once = A.dedupe_healthy(materialize(A.phase_angle_entry(state)), keys)  # read twice there
     return A.renumbered(J.normalize_step(_as_sent(once.drop(*STATE))), keys)
 
 

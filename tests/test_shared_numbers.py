@@ -18,3 +18,10 @@ def test_peers_are_seen_in_chunks_too(spark):
     df = spark.range(40).select(F.lit("k").alias("k"), (F.col("id") / 4).cast("int").alias("i"), (F.col("id") % 4).alias("v"))
     got = with_running(df, ["k"], "i", 4, m=running_max(F.when(F.col("i") == 3, F.col("v")), peers=True)).collect()
     assert len(got) == 40 and all(r.m == (None if r.i < 3 else 3) for r in got)
+
+
+def test_one_healthy_step_stays_of_those_that_share_its_number(spark):
+    rows = [step(1, "healthy condition"), step(2, "Supply OFF change"), step(2, "healthy condition"), step(2, "healthy condition"), step(3, "healthy condition"), step(3, "b")]
+    df = spark.createDataFrame([*rows, step(4, "healthy condition")], STEP)
+    got = sorted((r.step_idx, r.step_name) for r in S.dedupe_healthy(df).collect())
+    assert got == [(1, "healthy condition"), (2, "Supply OFF change"), (2, "healthy condition"), (3, "b")]
