@@ -1,6 +1,7 @@
-"""Cells of a sheet are made where its steps were placed."""
+"""Cells of a sheet are made and compared where its steps were placed."""
 
-from pageledger.operators import layout as L
+from pageledger.operators import compare as C, layout as L
+from pageledger.plans.queries_layout import as_sheet, with_perturbed
 from test_rules import STEP, step
 
 SPECS = "variant string, ref_voltage string, uv_threshold_pct string, ov_threshold_pct string, uv_range string, ov_range string, lv_cutoff string, hv_cutoff string, dip_switches array<string>"
@@ -31,3 +32,16 @@ def test_headers_and_notices(spark):
     assert cells["v", 3, 7] == "1 : ON" and cells["w", 10, 6] == L.NO_DATA and L.NO_DATA not in {t for (v, _, _), t in cells.items() if v != "w"}
     # two specs: each step is written twice, one below the other
     assert sorted(t for (v, _, c), t in cells.items() if v == "v" and c == 6 and t.startswith("healthy")) == sorted(f"healthy {i}" for i in range(1, 30) for _ in "AB")
+
+
+def test_sheets_are_compared_where_they_are_made(spark):
+    specs, steps = tables(spark)
+    assert_dealt_below_cells(C.accuracy_of(with_perturbed(as_sheet(L.sheet_cells(specs, steps)))))
+
+
+def test_what_stands_twice_is_compared_with_each_of_the_other_side(spark):
+    kind = "sheet string, row_no int, col_no int, value string"
+    ref = spark.createDataFrame([("s", 1, 1, "a"), ("s", 1, 1, "b"), ("s", 2, 1, " "), ("s", None, 1, "n"), ("r", 1, 1, "x"), ("e", 1, 1, None)], kind)
+    gen = spark.createDataFrame([("s", 1, 1, " a "), ("s", 1, 1, "a"), ("s", 1, 2, "c"), ("s", None, 1, "n"), ("g", 1, 1, "y"), ("e", 1, 1, "z")], kind)
+    want = {"s": (2, 2, 1, 2, 5, 40.0, "FAIL"), "r": (None,) * 6 + ("ERROR: not in generated",), "g": (None,) * 6 + ("ERROR: not in reference",), "e": (0, 0, 0, 1, 0, 0.0, "FAIL")}
+    assert {r.sheet: tuple(r)[1:] for r in C.accuracy(ref, gen).collect()} == want
