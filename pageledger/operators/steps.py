@@ -15,6 +15,7 @@ from pageledger.functions import patterns as P
 from pageledger.functions.text import filled, first_match, rx, strip
 from pageledger.functions.values import PN, PP, is_spurious_delay, phases, plain_number, voltage_value
 from pageledger.operators.ordered import following, previous, renumber, running_last, running_max, running_sum, width_for, with_running
+from pageledger.session import materialize
 
 KEYS = ("variant",)
 OV_KINDS = "ov healthy|ov faulty|ov hystersis"
@@ -362,19 +363,21 @@ def enrich_specs(specs: DataFrame, pages: DataFrame, keys: Sequence[str] = ("doc
         delay = F.when(F.endswith(delay, F.lit("s")), F.replace(delay, F.lit("s"), F.lit(" sec"))).otherwise(delay)
     else:
         delay = F.when(delay.isin("instant", "continuous"), delay).otherwise(F.regexp_replace(delay, r"\s*s$", " sec"))
-    span = F.lit(r"(?i)(\d{3})\s*(?:to|-)\s*(\d{3})\s*VAC")
+    span = r"(?i)(\d{3})\s*(?:to|-)\s*(\d{3})\s*VAC"
+    found_spans = F.regexp_extract_all(t, F.lit(span), F.lit(0))
     ranges = F.filter(
-        F.zip_with(F.regexp_extract_all(t, span, F.lit(1)), F.regexp_extract_all(t, span, F.lit(2)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        lambda r: (r["a"].cast("int") > 50) | (r["b"].cast("int") > 50),
+        F.transform(found_spans, lambda m: F.struct(F.regexp_extract(m, span, 1).alias("a"), F.regexp_extract(m, span, 2).alias("b"))), lambda r: (r["a"].cast("int") > 50) | (r["b"].cast("int") > 50)
     )
     two = F.slice(F.transform(ranges, lambda r: F.concat(r["a"], F.lit("-"), r["b"], F.lit(" VAC"))), 1, 2)
     page = F.col("page_num")
-    facts = pages.withColumn("_r", two).groupBy(*keys).agg(
-        _first(ref).alias("_ref"), _first(delay).alias("_delay"),
+    # the text is searched once: what it says is small and read twice, and a filter here would have the patterns tried twice
+    told = materialize(pages.select(*keys, "page_num", ref.alias("_ref"), delay.alias("_delay"), two.alias("_r")))
+    facts = told.groupBy(*keys).agg(
+        _first(F.col("_ref")).alias("_ref"), _first(F.col("_delay")).alias("_delay"),
         # the first two ranges stand on the first page with a range, or on that page and the next one with a range
         F.min(F.when(F.size("_r") >= 1, F.struct(page, F.col("_r")))).alias("_one"),
     )
-    rest = pages.withColumn("_r", two).filter(F.size("_r") >= 1).join(facts.select(*keys, F.col("_one.page_num").alias("_p1")), list(keys))
+    rest = told.filter(F.size("_r") >= 1).join(facts.select(*keys, F.col("_one.page_num").alias("_p1")), list(keys))
     after = rest.filter("page_num > _p1").groupBy(*keys).agg(F.min(F.struct(page, F.col("_r"))).alias("_next"))
     facts = facts.join(after, list(keys), "left")
     first_r = F.get("_one._r", 0)

@@ -343,7 +343,7 @@ SELECT sp.doc_id, coalesce(ref_voltage, rv) AS ref_voltage, CASE WHEN on_delay I
  CASE WHEN has_reply AND ov_range IS NULL AND len(ra) >= 2 THEN concat(ra[2], '-', rb[2], ' VAC') ELSE ov_range END AS ov_range FROM sp LEFT JOIN rx USING (doc_id)""",
     "manual",
 )(
-    lambda fx: S.enrich_specs(fx.spark.sql(BARE_SPECS + f" parquet.`{fx.sf_dir}/orders.parquet`"), fx.manual).select(
+    lambda fx: S.enrich_specs(fx.spark.sql(BARE_SPECS + f" parquet.`{fx.sf_dir}/orders.parquet`"), fx.unstored("manual")).select(
         "doc_id", "ref_voltage", "on_delay", "uv_range", "ov_range"
     )
 )
