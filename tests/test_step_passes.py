@@ -1,6 +1,19 @@
-"""Texts are searched once."""
+"""Texts are searched and lengths looked at once."""
 
-from pageledger.operators import steps as S
+from pyspark.sql import functions as F
+
+from pageledger.operators import ordered, steps as S
+from pageledger.plans import procedure as PR
+from test_rules import STEP, step
+
+
+def test_layout_a_looks_at_lengths_once(spark, monkeypatch):
+    looked, whole = [], ordered.width_for
+    for module in (ordered, S, PR):
+        monkeypatch.setattr(module, "width_for", lambda *a, **k: looked.append(a) or whole(*a, **k), raising=False)
+    pages = spark.createDataFrame([("v", 1, "symmetrically reduce the voltage to 300 V")], "variant string, page_num int, text string")
+    df = spark.createDataFrame([step(1, "healthy condition"), step(2, "UV symmetrical Healthy condition")], STEP)
+    assert PR.layout_a(df, pages, names=F.lit("v")).count() == 3 and len(looked) == 1
 
 
 def test_texts_are_searched_once_for_specs(spark):
